@@ -106,12 +106,13 @@ def range_buckets(df: DataFrame, order: str, buckets: int | None = None) -> list
 
 
 def running_totals(df: DataFrame, order: str, values: Sequence[str], descending: bool = False,
-                   buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
-    """Running totals over the whole table, ordered by a column that is unique in it.
+                   buckets: int | None = None, prefix: str = "cum_", by: Sequence[str] = ()) -> DataFrame:
+    """Running totals over the whole table (or per ``by`` group), ordered by a column that is unique in it.
 
     Rows are split into ranges of the ordering column; the totals of earlier ranges (one row per range) are added to
     a running total inside each range. No task sees the whole table.
     """
+    groups = list(by)
     cuts = range_buckets(df, order, buckets)
     if not cuts:
         bucketed = df.withColumn("_bucket", F.lit(0.0))
@@ -120,15 +121,16 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], descending:
                             handleInvalid="keep")
         bucketed = cutter.transform(df.withColumn("_order", F.col(order).cast("double"))).drop("_order")
     by_bucket = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    earlier = W.orderBy(by_bucket).rowsBetween(W.unboundedPreceding, -1)
-    offsets = bucketed.groupBy("_bucket").agg(*[F.sum(v).alias(v) for v in values]).select(
-        "_bucket", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_before_{v}") for v in values]
+    earlier = W.partitionBy(*groups).orderBy(by_bucket).rowsBetween(W.unboundedPreceding, -1)
+    offsets = bucketed.groupBy(*groups, "_bucket").agg(*[F.sum(v).alias(v) for v in values]).select(
+        *groups, "_bucket", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_before_{v}") for v in values]
     )
+    if not groups:
+        offsets = F.broadcast(offsets)  # one row per bucket
     by_value = F.col(order).desc() if descending else F.col(order).asc()
-    inside = W.partitionBy("_bucket").orderBy(by_value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    # one row per bucket: the number of buckets bounds the broadcast
+    inside = W.partitionBy(*groups, "_bucket").orderBy(by_value).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        bucketed.join(F.broadcast(offsets), "_bucket")
+        bucketed.join(offsets, [*groups, "_bucket"])
         .select(*df.columns, *[(F.sum(v).over(inside) + F.col(f"_before_{v}")).alias(prefix + v) for v in values])
     )
 

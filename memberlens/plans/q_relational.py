@@ -241,7 +241,7 @@ def b15(t):
 
 @query("b16_imputation", """
 WITH v AS (SELECT d.doc_id, n_chars, quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
-SELECT doc_id, COALESCE(quality, 1.5) AS constant_fill, COALESCE(quality, 0) AS zero_fill, ROUND(COALESCE(quality, (SELECT AVG(quality) FROM v)), 6) AS mean_fill FROM v""")
+SELECT doc_id, CAST(COALESCE(quality, 1.5) AS DOUBLE) AS constant_fill, COALESCE(quality, 0) AS zero_fill, ROUND(COALESCE(quality, (SELECT AVG(quality) FROM v)), 6) AS mean_fill FROM v""")
 def b16(t):
     v = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
     mean = v.agg(F.avg("quality").alias("m"))
@@ -369,15 +369,15 @@ def k48(t):
 
 
 @query("c17_join_miss_reasons", """
-WITH m AS (SELECT c_custkey AS member_id, c_mktsegment AS coverage FROM customer WHERE c_nationkey < 20), q AS (SELECT c_custkey AS member_id, CASE WHEN c_acctbal > 1000 THEN 1 ELSE 0 END AS q FROM customer WHERE c_nationkey > 4),
+WITH m AS (SELECT c_custkey AS member_id, c_mktsegment AS coverage FROM customer WHERE c_acctbal < 8000), q AS (SELECT c_custkey AS member_id, CASE WHEN c_acctbal > 1000 THEN 1 ELSE 0 END AS q FROM customer WHERE c_acctbal > 0),
 lost AS (SELECT DISTINCT o_custkey AS member_id FROM orders)
 SELECT CASE WHEN m.member_id IS NULL THEN 'not in member list' WHEN q.q = 0 THEN 'not qualified' WHEN q.q IS NULL THEN 'no qualification entry'
             WHEN UPPER(TRIM(coverage)) IN ('BUILDING') THEN 'excluded coverage' ELSE 'other' END AS failure_reason, COUNT(DISTINCT lost.member_id) AS unmatched_members
 FROM lost LEFT JOIN m ON m.member_id = lost.member_id LEFT JOIN q ON q.member_id = lost.member_id GROUP BY 1""")
 def c17(t):
     events = t.orders.select(F.col("o_custkey").alias("member_id"), F.lit(None).cast("string").alias("market"))
-    members = t.customer.where("c_nationkey < 20").select(F.col("c_custkey").alias("member_id"), F.col("c_mktsegment").alias("coverage"))
-    qualified = t.customer.where("c_nationkey > 4").select(F.col("c_custkey").alias("member_id"), x.flag(F.col("c_acctbal") > 1000).alias("is_qualified"))
+    members = t.customer.where("c_acctbal < 8000").select(F.col("c_custkey").alias("member_id"), F.col("c_mktsegment").alias("coverage"))
+    qualified = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("member_id"), x.flag(F.col("c_acctbal") > 1000).alias("is_qualified"))
     return co.unmatched_reasons(events, members, qualified, ["BUILDING"])
 
 
