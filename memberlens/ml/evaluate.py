@@ -117,10 +117,10 @@ def calibration_table(df: DataFrame, label: str, scores: Sequence[str], bins: in
 
     Bins are closed on the right and the first one holds the smallest score. Edges come from one aggregate row.
     """
-    edges = df.agg(F.least(*[F.min(s) for s in scores], F.lit(float("inf"))).alias("lo"),
-                   F.greatest(*[F.max(s) for s in scores], F.lit(float("-inf"))).alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    base = df.select(F.col(label).alias("_y"), *scores).crossJoin(F.broadcast(edges)).withColumn("_width", width)  # one row
+    lo = F.least(*[F.min(s) for s in scores], F.lit(float("inf")))
+    hi = F.greatest(*[F.max(s) for s in scores], F.lit(float("-inf")))
+    edges = df.agg(F.struct(lo.alias("lo"), ((hi - lo) / F.lit(bins)).alias("_width")).alias("e"))
+    base = df.select(F.col(label).alias("_y"), *scores, edges.scalar().alias("_e")).select("_y", *scores, "_e.*")
     pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("model"), F.col(s).cast("double").alias("score")) for s in scores]))
     long = base.select("_y", "lo", "_width", pairs.alias("_p")).select("_y", "lo", "_width", "_p.*").where(F.col("score").isNotNull())
     above = F.lit(0)

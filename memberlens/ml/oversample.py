@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 import numpy as np
@@ -23,7 +24,8 @@ def _distances(queries: np.ndarray, data: np.ndarray) -> Iterable[tuple[slice, n
         yield part, np.sqrt(((queries[part, None, :] - data[None, :, :]) ** 2).sum(axis=2))
 
 
-def nearest_neighbours(points: DataFrame, k: int = 5, pivots: int = 64, block_rows: int = 2000, seed: int = 42) -> DataFrame:
+def nearest_neighbours(points: DataFrame, k: int = 5, pivots: int = 64, block_rows: int = 2000,
+                       seed: int = 42) -> DataFrame:
     """The ``k`` nearest other rows of each distinct vector: (rep, lo, hi, neighbour vector, distance).
 
     ``points`` has id and vec. Equal vectors are merged first, however many there are: a vector with copies is its own
@@ -139,6 +141,7 @@ def oversampled(df: DataFrame, label: str = "label", k: int = 5, seed: int = 42,
     if few < 2 or missing <= 0:
         return rows
     own = df.where(F.col(label) == minority).select("id", "vec")
+    search.setdefault("pivots", max(16, min(4096, math.isqrt(few))))
     neighbours = nearest_neighbours(own, k, seed=seed, **search)
     reps = own.groupBy("vec").agg(F.min("id").alias("rep"))
     numbered = running_totals(own.select("id").withColumn("one", F.lit(1)), "id", ["one"])

@@ -52,16 +52,17 @@ def treatment_required(spine: DataFrame, mapped: DataFrame) -> DataFrame:
 
 def office_treatments(lines: DataFrame, mapped: DataFrame, places: Sequence[str] = codes.OFFICE_PLACES,
                       dx_lines: Sequence[int] = (1, 2)) -> DataFrame:
-    """Distinct (member, date, condition, provider) of office claims with a leading diagnosis.
+    """Distinct (member, month, condition, provider) of office claims with a leading diagnosis.
 
-    Lines and diagnoses meet on the claim; both are reduced to what matters first, so a claim with many lines and
-    many diagnoses does not multiply.
+    Lines and diagnoses meet on the claim. Lines are reduced to the months they fall in and diagnoses to condition and
+    provider first, so a claim with many lines and many diagnoses does not multiply.
     """
-    visits = lines.where(F.col("place_of_service").isin(list(places))).select("member_id", "claim_id", "service_date").distinct()
+    visits = lines.where(F.col("place_of_service").isin(list(places))).select(
+        "member_id", "claim_id", month_start("service_date").alias("service_month")).distinct()
     reasons = with_condition(mapped.where(F.col("dx_line_number").isin(list(dx_lines)))).select(
         "member_id", "claim_id", "condition", "provider_id").distinct()
     return visits.join(reasons, ["member_id", "claim_id"]).select(
-        "member_id", "service_date", "condition", "provider_id").distinct()
+        "member_id", "service_month", "condition", "provider_id").distinct()
 
 
 def treatment_months(spine: DataFrame, treatments: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def treatment_months(spine: DataFrame, treatments: DataFrame) -> DataFrame:
             f"{c}_treated_this_month": (0, 0),
         }, F.col("condition") == c) for c in CONDITIONS
     ]
-    return lb.month_windows(spine, [(treatments, "service_date", measures)])
+    return lb.month_windows(spine, [(treatments, "service_month", measures)])
 
 
 def care_coordination(spine: DataFrame, treatments: DataFrame, required: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def care_coordination(spine: DataFrame, treatments: DataFrame, required: DataFra
     two months back; neither needs the set of providers.
     """
     provider_months = treatments.select(
-        "member_id", "condition", "provider_id", month_start("service_date").alias("month")
+        "member_id", "condition", "provider_id", F.col("service_month").alias("month")
     ).where(F.col("provider_id").isNotNull()).distinct()
     by_month = provider_months.groupBy("member_id", month_number("month").alias("_m")).agg(*[
         agg(F.when(F.col("condition") == c, F.col("provider_id"))).alias(f"_{name}_{c}")

@@ -14,6 +14,7 @@ from memberlens.functions.expr import (
     engagement_group, first_filled, flag, group_flags, is_ed_line, is_ip_line, months_crossed, normalised_code,
     normalised_value, prefix, synonym,
 )
+from memberlens.operators.tabular import full_outer
 from memberlens.operators.windows import label_columns
 
 CONDITION_COLUMNS = [f"cnt_hcc_{name}" for name in codes.CONDITION_GROUPS] + ["cnt_hcc_other_complex"]
@@ -126,27 +127,31 @@ def diagnosis_events(lines: DataFrame, mapped: DataFrame) -> DataFrame:
     })
 
 
-def revenue_events(lines: DataFrame) -> DataFrame:
-    return _claim_base(lines.where(F.col("revenue_code").isNotNull())).withColumns({
-        "event_type": F.lit("CLAIM_REVENUE"), "code_type": F.lit("REV"), "code": F.col("revenue_code"),
-        "code_family": prefix("revenue_code", 3),
-    })
-
+def line_events(lines: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """Revenue and procedure events of all claim lines from one pass: a line gives up to two events.
 
-def procedure_events(lines: DataFrame, categories: DataFrame | None = None) -> DataFrame:
-    """Procedure lines; ``categories`` (hcpcs_code, hcpcs_category, hcpcs_category_short) names their kind."""
-    with_code = lines.where(F.col("hcpcs_code").isNotNull())
-    extra: list[str] = []
+    ``categories`` (hcpcs_code, hcpcs_category, hcpcs_category_short) names the kind of procedure.
+    """
+    base = _claim_base(lines)
     if categories is not None:
-        named = categories.select(
-            F.upper(F.trim("hcpcs_code")).alias("_code"), "hcpcs_category", "hcpcs_category_short"
-        )
-        with_code = with_code.join(named, F.upper(F.trim("hcpcs_code")) == F.col("_code"), "left").drop("_code")
-        extra = ["hcpcs_category", "hcpcs_category_short"]
-    return _claim_base(with_code, extra).withColumns({
-        "event_type": F.lit("CLAIM_PROCEDURE"), "code_type": F.lit("HCPCS"), "code": F.col("hcpcs_code"),
-        "code_family": F.when(F.col("hcpcs_code").rlike("^[A-Z]"), prefix("hcpcs_code", 1)),
-    })
+        named = categories.groupBy(F.upper(F.trim("hcpcs_code")).alias("_code")).agg(
+            F.max("hcpcs_category").alias("_category"), F.max("hcpcs_category_short").alias("_short"))
+        base = base.join(named, F.upper(F.trim("hcpcs_code")) == F.col("_code"), "left").drop("_code")
+    else:
+        base = base.withColumns({"_category": F.lit(None).cast("string"), "_short": F.lit(None).cast("string")})
+
+    def event(kind: str, code_type: str, code: str, family: Column, category: Column, short: Column) -> Column:
+        return F.struct(F.lit(kind).alias("event_type"), F.lit(code_type).alias("code_type"), F.col(code).alias("code"),
+                        family.alias("code_family"), category.alias("hcpcs_category"), short.alias("hcpcs_category_short"))
+
+    none = F.lit(None).cast("string")
+    family = F.when(F.col("hcpcs_code").rlike("^[A-Z]"), prefix("hcpcs_code", 1))
+    found = F.array(
+        F.when(F.col("revenue_code").isNotNull(), event("CLAIM_REVENUE", "REV", "revenue_code", prefix("revenue_code", 3), none, none)),
+        F.when(F.col("hcpcs_code").isNotNull(),
+               event("CLAIM_PROCEDURE", "HCPCS", "hcpcs_code", family, F.col("_category"), F.col("_short"))))
+    exploded = base.withColumn("_event", F.explode(F.filter(found, lambda e: e.isNotNull())))
+    return exploded.select("*", "_event.*").drop("_event", "_category", "_short")
 
 
 def note_events(scores: DataFrame) -> DataFrame:
@@ -210,11 +215,22 @@ def diagnosis_signal(events: DataFrame) -> DataFrame:
     )
 
 
-def combined_signal(daily: DataFrame, diagnosis: DataFrame) -> DataFrame:
-    """Member-days of either signal, missing measures as 0."""
-    keys = ["member_id", "event_date"]
-    values = [c for c in [*daily.columns, *diagnosis.columns] if c not in keys]
-    return daily.join(diagnosis, keys, "full").select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in values])
+def combined_signal(events: DataFrame) -> DataFrame:
+    """Member-days with both signals, missing ones as 0.
+
+    A full outer join of the two signals gives the same rows; as both come from one log at one grain, a single
+    aggregate does without the join and the second scan.
+    """
+    named = {"any_ed_on_date": "is_ed_event", "any_ip_on_date": "is_ip_event", **{c: c for c in SOURCE_COLUMNS}}
+    on_claim = F.col("event_type") == "CLAIM_DIAGNOSIS"
+    return events.groupBy("member_id", "event_date").agg(
+        *[F.max(flag(F.col(c))).alias(n) for n, c in named.items()],
+        *[F.max(flag(on_claim & (F.col(c) > 0))).alias(c) for c in THEME_COLUMNS])
+
+
+def joined_signals(daily: DataFrame, diagnosis: DataFrame) -> DataFrame:
+    """Member-days of either signal when the two come from different logs."""
+    return full_outer(daily, diagnosis, ["member_id", "event_date"])
 
 
 def day_labels(signal: DataFrame, horizons: Sequence[int] = (30, 60, 90), mode: str = "days") -> DataFrame:

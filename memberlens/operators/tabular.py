@@ -77,13 +77,15 @@ def mean_of_member_max(df: DataFrame, values: Sequence[str], key: str = "member_
     return df.groupBy(key).agg(*[F.max(v).alias(v) for v in values]).agg(*[F.avg(v).alias(f"avg_member_{v}") for v in values])
 
 
-def ordered_text(df: DataFrame, by: Sequence[str], text: str, name: str, separator: str = " ") -> DataFrame:
-    """Texts of a group joined in text order; NULL counts as empty.
+def ordered_text(df: DataFrame, by: Sequence[str], text: str, name: str, separator: str = " ", unique: bool = False) -> DataFrame:
+    """Texts of a group joined in text order; NULL counts as empty. ``unique`` keeps one of each repeated text.
 
-    The result is one value per group, so a group must fit the size of a string value; callers reduce repeats first.
+    The result is one string per group, so what a group holds is bounded by what a string value can hold. Repeats are
+    dropped before the shuffle, in the same aggregate.
     """
     value = F.coalesce(F.col(text), F.lit(""))
-    return df.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(value)), separator).alias(name))
+    texts = F.collect_set(value) if unique else F.collect_list(value)
+    return df.groupBy(*by).agg(F.array_join(F.array_sort(texts), separator).alias(name))
 
 
 def as_map(df: DataFrame, by: Sequence[str], key: str, value: str, name: str) -> DataFrame:
@@ -142,10 +144,10 @@ def outlier_flags(areas: DataFrame, directions: Mapping[str, str], area: str) ->
 
     ``directions`` maps a column to ``high`` or ``low``. All means and deviations come from one aggregate.
     """
-    stats = areas.agg(*[f(c).alias(f"{p}_{c}") for c in directions for p, f in (("m", F.avg), ("s", F.stddev_samp))])
-    joined = areas.crossJoin(F.broadcast(stats))  # one row
+    stats = areas.agg(F.struct(*[f(c).alias(f"{p}_{c}") for c in directions for p, f in (("m", F.avg), ("s", F.stddev_samp))]).alias("s"))
+    joined = areas.withColumn("_stats", stats.scalar())
     picked = []
     for c, bad in directions.items():
-        mean, sd = F.col(f"m_{c}"), F.col(f"s_{c}")
+        mean, sd = F.col(f"_stats.m_{c}"), F.col(f"_stats.s_{c}")
         picked.append(flag(F.col(c) > mean + sd if bad == "high" else F.col(c) < mean - sd).alias(f"{c}_outlier"))
     return joined.select(area, *picked)

@@ -16,6 +16,9 @@ from pyspark.sql.window import WindowSpec
 from memberlens.functions.expr import as_col, day_number, either, flag
 
 
+MAX_RANGES = 2000  # ranges of a whole-table ordering; their totals are ordered in one task
+
+
 def timeline(key: str = "member_id", order: str = "event_date") -> WindowSpec:
     return W.partitionBy(key).orderBy(order)
 
@@ -97,7 +100,7 @@ def with_group_means(df: DataFrame, value: str, groupings: dict[str, Sequence[st
 def range_buckets(df: DataFrame, order: str, buckets: int | None = None) -> list[float]:
     """Cut points that split the ordered column into shares of similar size (a bounded number of doubles)."""
     if buckets is None:
-        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        buckets = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), MAX_RANGES)
     if buckets < 2:
         return []
     shares = [i / buckets for i in range(1, buckets)]

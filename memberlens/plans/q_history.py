@@ -23,8 +23,7 @@ def claim_log(t):
     lines = r.claims(t)
     mapped = ev.mapped_diagnoses(r.diagnoses(t), r.code_map(t))
     return ev.event_log([
-        ev.diagnosis_events(lines, mapped), ev.revenue_events(lines), ev.procedure_events(lines),
-        ev.fill_events(r.fills(t)),
+        ev.diagnosis_events(lines, mapped), ev.line_events(lines), ev.fill_events(r.fills(t)),
     ])
 
 
@@ -115,6 +114,7 @@ def k3(t):
     return ev.daily_signal(feed_log(t))
 
 
+FEED_DAILY = FEED_SIGNAL.replace("daily AS", "feed_daily AS")
 CLAIM_SIGNAL = LOG + """,
 daily AS (
   SELECT member_id, event_date, MAX(CASE WHEN is_ed_event THEN 1 ELSE 0 END) AS any_ed_on_date,
@@ -133,8 +133,16 @@ signal AS (
 
 
 def claim_signal(t):
-    log = claim_log(t)
-    return ev.combined_signal(ev.daily_signal(log), ev.diagnosis_signal(log))
+    return ev.combined_signal(claim_log(t))
+
+
+@query("k4_joined_signals", r.sql(CLAIM_SIGNAL, FEED_DAILY, body="""
+SELECT COALESCE(a.member_id, b.member_id) AS member_id, COALESCE(a.event_date, b.event_date) AS event_date, COALESCE(a.any_ed_on_date, 0) AS any_ed_on_date,
+       COALESCE(a.any_ip_on_date, 0) AS any_ip_on_date, COALESCE(b.has_diabetes, 0) AS has_diabetes, COALESCE(b.has_smi, 0) AS has_smi
+FROM feed_daily a FULL OUTER JOIN dxday b ON a.member_id = b.member_id AND a.event_date = b.event_date"""))
+def k4_joined(t):
+    both = ev.joined_signals(ev.daily_signal(feed_log(t)), ev.diagnosis_signal(claim_log(t)))
+    return both.select("member_id", "event_date", "any_ed_on_date", "any_ip_on_date", "has_diabetes", "has_smi")
 
 
 @query("k4_combined_signal", r.sql(CLAIM_SIGNAL, body="SELECT * FROM signal"))

@@ -259,22 +259,36 @@ def k26(t):
     return cl.treatment_months(r.spine(t), treatments(t))
 
 
-@query("k27_k28_care_coordination", r.sql(r.SPINE, CONDITION, REQUIRED, TREATED, body=f"""
+def _coordination(picked):
+    return r.sql(r.SPINE, CONDITION, REQUIRED, TREATED, body=f"""
 , counts AS (
   SELECT s.member_id, s.month, {", ".join(f"COUNT(DISTINCT CASE WHEN condition = '{c}' THEN provider_id END) AS n_{c}" for c in cl.CONDITIONS)}
   FROM spine s LEFT JOIN treated t ON t.member_id = s.member_id AND tm BETWEEN s.month - INTERVAL 2 MONTH AND s.month GROUP BY 1, 2),
 sets AS (
   SELECT s.member_id, s.month, {", ".join(f"ARRAY_AGG(DISTINCT provider_id) FILTER (condition = '{c}' AND tm = s.month) AS now_{c}, ARRAY_AGG(DISTINCT provider_id) FILTER (condition = '{c}' AND tm < s.month) AS prev_{c}" for c in cl.CONDITIONS)}
   FROM spine s LEFT JOIN treated t ON t.member_id = s.member_id AND tm BETWEEN s.month - INTERVAL 2 MONTH AND s.month GROUP BY 1, 2)
-SELECT r.*, {", ".join(
-    f"CASE WHEN {c}_treatment_required = 1 THEN CASE WHEN n_{c} = 1 THEN 1 ELSE 0 END END AS {c}_coordinated_care_last_3_months, "
-    f"CASE WHEN {c}_treatment_required = 1 THEN CASE WHEN LEN(LIST_FILTER(COALESCE(now_{c}, []), lambda p: NOT LIST_CONTAINS(COALESCE(prev_{c}, []), p))) > 0 THEN 1 ELSE 0 END END AS {c}_new_provider_this_month"
-    for c in cl.CONDITIONS)}
-FROM required r JOIN counts USING (member_id, month) JOIN sets USING (member_id, month)"""))
-def k27(t):
+SELECT {picked} FROM required r JOIN counts USING (member_id, month) JOIN sets USING (member_id, month)""")
+
+
+def coordination(t):
     return cl.care_coordination(r.spine(t), treatments(t), cl.treatment_required(r.spine(t), mapped(t)))
 
 
+@query("k27_single_provider", _coordination("r.*, " + ", ".join(
+    f"CASE WHEN {c}_treatment_required = 1 THEN CASE WHEN n_{c} = 1 THEN 1 ELSE 0 END END AS {c}_coordinated_care_last_3_months" for c in cl.CONDITIONS)))
+def k27(t):
+    out = coordination(t)
+    return out.select(*[c for c in out.columns if not c.endswith("_new_provider_this_month")])
+
+
+@query("k28_new_provider", _coordination("member_id, month, " + ", ".join(
+    f"CASE WHEN {c}_treatment_required = 1 THEN CASE WHEN LEN(LIST_FILTER(COALESCE(now_{c}, []), lambda p: NOT LIST_CONTAINS(COALESCE(prev_{c}, []), p))) > 0 THEN 1 ELSE 0 END END AS {c}_new_provider_this_month"
+    for c in cl.CONDITIONS)))
+def k28(t):
+    out = coordination(t)
+    return out.select("member_id", "month", *[c for c in out.columns if c.endswith("_new_provider_this_month")])
+
+
 # ---- pharmacy ------------------------------------------------------------------------------------------
 
 DRUGS = {"insulin": "insulin", "oral_antidiabetic": "oral_antidiab", "beta_blocker": "beta_blocker", "opiate": "opioid", "antipsych": "antipsychotic"}

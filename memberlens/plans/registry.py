@@ -21,13 +21,16 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._open: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
-            return self.spark.read.parquet(self.path(name))
+            if name not in self._open:
+                self._open[name] = self.spark.read.parquet(self.path(name))
+            return self._open[name]
         raise AttributeError(name)
 
 
