@@ -121,16 +121,15 @@ def pharmacy_months(spine: DataFrame, fills: DataFrame, classes: Mapping[str, Co
     script does: the window is ``[m-2, first day of m]`` and only fills on a first day count as refills or new drugs.
     """
     by_date = mode == "date"
-    long = None
-    for name, hit in classes.items():
-        part = fills.where(hit).select("member_id", "ndc", "filled_date", "days_supply", F.lit(name).alias("class"))
-        long = part if long is None else long.unionByName(part)
-    long = long.where(F.col("filled_date").isNotNull())
+    taken = F.explode(F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in classes.items()])))
+    # every branch below starts from this one shuffle
+    long = fills.where(F.col("filled_date").isNotNull()).select(
+        "member_id", "ndc", "filled_date", "days_supply", taken.alias("class")).distinct()
     filled = month_start("filled_date")
     opens = F.when(F.col("filled_date") == filled, filled).otherwise(F.add_months(filled, 1)) if by_date else filled
     visible = F.explode(F.sequence(opens, F.add_months(filled, 2), F.expr("interval 1 month")))
     per_drug = (
-        long.distinct().withColumn("month", visible)
+        long.withColumn("month", visible)
         .groupBy("member_id", "month", "class", "ndc").agg(F.sum("days_supply").alias("days"))
     )
     names = list(classes)

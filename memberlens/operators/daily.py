@@ -25,7 +25,7 @@ def claim_lookback(anchors: DataFrame, claims: DataFrame, lag_months: int = 4, e
     because the published table has them.
     """
     return lb.day_lookback(anchors, claims, [
-        lb.Measure("paid_sum", F.col("paid_amount"), scale=9),
+        lb.Measure("paid_sum", F.col("paid_amount")),
         lb.Measure("cnt_ed_visits", is_ed_line("place_of_service", "revenue_code"), "days"),
         lb.Measure("cnt_ip_visits", is_ip_line("place_of_service", "revenue_code"), "days"),
         *extra,

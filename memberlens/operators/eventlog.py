@@ -15,7 +15,7 @@ from memberlens.functions.expr import (
     normalised_value, prefix, synonym,
 )
 from memberlens.operators.tabular import full_outer
-from memberlens.operators.windows import label_columns
+from memberlens.operators.windows import with_labels
 
 CONDITION_COLUMNS = [f"cnt_hcc_{name}" for name in codes.CONDITION_GROUPS] + ["cnt_hcc_other_complex"]
 THEME_COLUMNS = [f"has_{name}" for name in codes.THEMATIC_GROUPS]
@@ -242,7 +242,8 @@ def day_labels(signal: DataFrame, horizons: Sequence[int] = (30, 60, 90), mode:
     admitted = (F.col("any_ed_on_date") == 1) | (F.col("any_ip_on_date") == 1)
     themes = [flag(admitted & (F.col(c) == 1)).alias("y_" + c.removeprefix("has_").removesuffix("_thematic") + "_day")
               for c in THEME_COLUMNS if c in signal.columns]
-    return signal.select("member_id", "event_date", *label_columns(horizons, mode=mode), *themes)
+    kept = [c for n in horizons for c in (f"y_ed_{n}d", f"y_ip_{n}d", f"y_any_{n}d")]
+    return with_labels(signal, horizons, mode=mode).select("member_id", "event_date", *kept, *themes)
 
 
 def labelled_events(events: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:

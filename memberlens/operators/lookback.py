@@ -21,8 +21,8 @@ from memberlens.functions.expr import as_col, available_from, day_number, month_
 class Measure:
     """What to take from the facts.
 
-    ``total`` adds ``value`` (cast to a decimal so that sums stay exact), ``count`` counts rows where ``value`` is
-    true, ``days`` counts distinct days with such a row.
+    ``total`` adds ``value``, kept to ``scale`` decimals as a whole number so that sums are exact and fast; ``count``
+    counts rows where ``value`` is true, ``days`` counts distinct days with such a row.
     """
 
     name: str
@@ -62,7 +62,8 @@ def member_days(events: DataFrame, key: str = "member_id", date: str = "event_da
 def _daily(measure: Measure | MonthMeasure) -> Column:
     """The measure within one day (or, for measures that add up, within one month)."""
     if measure.kind == "total":
-        return F.sum(measure.value.cast(f"decimal(28,{measure.scale})"))
+        # an overflow of the 64-bit sum is an error, never a wrong value
+        return F.sum(F.round(measure.value * F.lit(10**measure.scale)).cast("bigint"))
     if measure.kind == "count":
         return F.count_if(measure.value)
     if measure.kind in ("days", "any"):
@@ -79,9 +80,8 @@ def day_lookback(anchors: DataFrame, facts: DataFrame, measures: Sequence[Measur
     available: ``fact <= add_months(anchor, -lag_months)`` and ``fact <= anchor - lag_days``. Anchors without facts
     get zeros.
 
-    A fact dated ``e`` is seen by the anchors from ``max(e + newest, available)`` to ``e + oldest``. It therefore adds
-    its value on the first of these days and takes it back on the day after the last; a running total per person
-    then holds the answer at each anchor. The cost is linear in facts and anchors.
+    Without a lag in months every window is a range frame over the day number. With one, the newest visible day has no
+    fixed distance to the anchor, and the facts are swept instead (see ``_swept``). Both cost one shuffle by person.
     """
     source = fact_date or date
     by_day = (
@@ -91,43 +91,51 @@ def day_lookback(anchors: DataFrame, facts: DataFrame, measures: Sequence[Measur
         # an ignored NULL in a sum must not blank the running total
         .select(key, "_fact_day", *[F.coalesce(F.col(m.name), F.lit(0)).alias(m.name) for m in measures])
     )
+    outputs = [(f"{m.name}_{s.suffix}" if s.suffix else m.name, m, i) for i, s in enumerate(spans) for m in measures]
+    marks = anchors.select(F.col(key), day_number(date).alias("_day"), F.lit(1).alias("_anchor"))
+    seen = (_swept if lag_months else _framed)(marks, by_day, outputs, spans, key, lag_months, lag_days)
+    return seen.where(F.col("_anchor") == 1).select(
+        F.col(key), F.date_from_unix_date("_day").alias(date), *[_whole(F.col(n), m).alias(n) for n, m, _ in outputs])
+
+
+def _whole(value: Column, measure: Measure | MonthMeasure) -> Column:
+    filled = F.coalesce(value, F.lit(0))
+    return filled / F.lit(float(10**measure.scale)) if measure.kind == "total" else filled
+
+
+def _framed(marks: DataFrame, by_day: DataFrame, outputs: Sequence[tuple[str, Measure, int]], spans: Sequence[DaySpan],
+            key: str, lag_months: int, lag_days: int) -> DataFrame:
+    """Windows of fixed distance to the anchor as range frames."""
+    days = by_day.select(key, day_number("_fact_day").alias("_day"), *dict.fromkeys(m.name for _, m, _ in outputs))
+    order = W.partitionBy(key).orderBy("_day")
+    return marks.unionByName(days, allowMissingColumns=True).select(key, "_day", "_anchor", *[
+        F.sum(m.name).over(order.rangeBetween(-spans[i].oldest, -max(spans[i].newest, lag_days))).alias(n)
+        for n, m, i in outputs])
+
+
+def _swept(marks: DataFrame, by_day: DataFrame, outputs: Sequence[tuple[str, Measure, int]], spans: Sequence[DaySpan],
+           key: str, lag_months: int, lag_days: int) -> DataFrame:
+    """Running totals of what becomes visible and what drops out.
+
+    A fact dated ``e`` is seen by the anchors from ``max(e + newest, available)`` to ``e + oldest``. It adds its value
+    on the first of these days and takes it back on the day after the last, so a running total per person holds the
+    answer at each anchor. The cost is linear in facts and anchors. Changes on one day share a row.
+    """
     fact = day_number("_fact_day")
     ready = day_number(available_from("_fact_day", lag_months)) if lag_months else fact
-    steps = []
+    bounds, changes = {}, []
     for i, span in enumerate(spans):
-        start = F.greatest(fact + max(span.newest, lag_days), ready)
-        stop = fact + span.oldest + 1
-        for day, sign in ((start, 1), (stop, -1)):
-            steps.append(
-                F.when(start < stop, F.struct(day.alias("day"), F.lit(i).alias("span"), F.lit(sign).alias("sign")))
-            )
-    moved = by_day.withColumn("_step", F.explode(F.filter(F.array(*steps), lambda s: s.isNotNull())))
-    outputs = [(f"{m.name}_{s.suffix}" if s.suffix else m.name, m, i) for i, s in enumerate(spans) for m in measures]
-    deltas = moved.select(
-        F.col(key),
-        F.col("_step.day").alias("_day"),
-        F.lit(0).alias("_anchor"),
-        *[
-            F.when(F.col("_step.span") == i, F.when(F.col("_step.sign") > 0, F.col(m.name)).otherwise(-F.col(m.name)))
-            .alias(name)
-            for name, m, i in outputs
-        ],
-    )
-    marks = anchors.select(F.col(key), day_number(date).alias("_day"), F.lit(1).alias("_anchor"))
+        start, stop = F.greatest(fact + max(span.newest, lag_days), ready), fact + span.oldest + 1
+        bounds |= {f"_start{i}": F.when(start < stop, start), f"_stop{i}": F.when(start < stop, stop)}
+        changes += [F.col(f"_start{i}"), F.col(f"_stop{i}")]
+    moved = by_day.withColumns(bounds).withColumn("_day", F.explode(F.array_distinct(F.array_compact(F.array(*changes)))))
+    deltas = moved.select(F.col(key), "_day", F.lit(0).alias("_anchor"), *[
+        F.when(F.col("_day") == F.col(f"_start{i}"), F.col(m.name)).when(F.col("_day") == F.col(f"_stop{i}"), -F.col(m.name)).alias(n)
+        for n, m, i in outputs])
     # changes of a day come before that day's anchor
     running = W.partitionBy(key).orderBy("_day", "_anchor").rowsBetween(W.unboundedPreceding, W.currentRow)
-    swept = marks.unionByName(deltas, allowMissingColumns=True).select(
-        key, "_day", "_anchor", *[F.sum(name).over(running).alias(name) for name, _, _ in outputs]
-    )
-    return swept.where(F.col("_anchor") == 1).select(
-        F.col(key),
-        F.date_from_unix_date("_day").alias(date),
-        *[
-            (F.coalesce(F.col(name), F.lit(0)).cast("double") if m.kind == "total" else F.coalesce(F.col(name), F.lit(0)))
-            .alias(name)
-            for name, m, _ in outputs
-        ],
-    )
+    return marks.unionByName(deltas, allowMissingColumns=True).select(
+        key, "_day", "_anchor", *[F.sum(n).over(running).alias(n) for n, _, _ in outputs])
 
 
 def possession_ratio(anchors: DataFrame, fills: DataFrame, classes: dict[str, Column], days: Sequence[int],
@@ -190,7 +198,8 @@ def month_windows(spine: DataFrame, sources: Sequence[tuple[DataFrame, str, Sequ
             if measure.kind == "any":
                 out = F.coalesce(F.max(base).over(frame), F.lit(0)).cast("int")
             else:
-                out = F.coalesce(F.sum(base).over(frame), F.lit(0)).cast("double" if measure.kind == "total" else "bigint")
+                out = _whole(F.sum(base).over(frame), measure)
+                out = out if measure.kind == "total" else out.cast("bigint")
             outputs.append((name, out))
     seen = union.select(key, "_month", "_spine", *[out.alias(name) for name, out in outputs])
     return seen.where(F.col("_spine") == 1).select(key, F.col("_month").alias(month), *[name for name, _ in outputs])

@@ -70,14 +70,12 @@ def change(value: str, key: str = "member_id", date: str = "month") -> Column:
     return F.col(value) - F.lag(value, 1).over(timeline(key, date))
 
 
-def label_columns(horizons: Iterable[int], ed: str = "any_ed_on_date", ip: str = "any_ip_on_date",
-                  mode: str = "days", key: str = "member_id", date: str = "event_date") -> list[Column]:
-    """Look-ahead labels for both admission kinds, and for either, per horizon."""
-    out = []
-    for n in horizons:
-        y_ed, y_ip = look_ahead(ed, n, mode, key, date), look_ahead(ip, n, mode, key, date)
-        out += [y_ed.alias(f"y_ed_{n}d"), y_ip.alias(f"y_ip_{n}d"), either(y_ed, y_ip).alias(f"y_any_{n}d")]
-    return out
+def with_labels(days: DataFrame, horizons: Iterable[int], ed: str = "any_ed_on_date", ip: str = "any_ip_on_date",
+                mode: str = "days", key: str = "member_id", date: str = "event_date") -> DataFrame:
+    """Add look-ahead labels for both admission kinds, and for either, per horizon."""
+    ahead = list(horizons)
+    seen = days.select("*", *[look_ahead(c, n, mode, key, date).alias(f"y_{k}_{n}d") for n in ahead for k, c in (("ed", ed), ("ip", ip))])
+    return seen.select("*", *[either(f"y_ed_{n}d", f"y_ip_{n}d").alias(f"y_any_{n}d") for n in ahead])
 
 
 def with_group_means(df: DataFrame, value: str, groupings: dict[str, Sequence[str]]) -> DataFrame:

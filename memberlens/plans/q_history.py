@@ -190,12 +190,12 @@ def k6(t):
 
 @query("e1_label_next_7d", r.sql(FEED_SIGNAL, body=f"SELECT {KEYS}{_label_sql((7,), DAY_FRAME)} FROM daily"))
 def e1(t):
-    return ev.daily_signal(feed_log(t)).select("member_id", "event_date", *wn.label_columns((7,)))
+    return ev.day_labels(ev.daily_signal(feed_log(t)), (7,))
 
 
 @query("e1_label_next_7_rows", r.sql(FEED_SIGNAL, body=f"SELECT {KEYS}{_label_sql((7,), ROW_FRAME)} FROM daily"))
 def e1_rows(t):
-    return ev.daily_signal(feed_log(t)).select("member_id", "event_date", *wn.label_columns((7,), mode="rows"))
+    return ev.day_labels(ev.daily_signal(feed_log(t)), (7,), mode="rows")
 
 
 def feed_days(t):
@@ -505,7 +505,7 @@ SELECT f.*, m.market, m.dob, m.gender, {", ".join(f"COALESCE(y_{k}_{n}d, 0) AS y
 FROM features f JOIN members m ON m.member_id = f.member_id
 LEFT JOIN labels l ON l.member_id = f.member_id AND l.event_date = f.event_date"""))
 def k11(t):
-    labels = ev.daily_signal(feed_log(t)).select("member_id", "event_date", *wn.label_columns((7, 14)))
+    labels = ev.day_labels(ev.daily_signal(feed_log(t)), (7, 14))
     members = r.members(t).select("member_id", "market", "dob", "gender")
     return dy.member_day_table(feed_features(t), members, labels)
 

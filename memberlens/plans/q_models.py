@@ -13,7 +13,6 @@ from memberlens.ml import oversample as ov
 from memberlens.ml import train as tr
 from memberlens.operators import cohort as co
 from memberlens.operators import eventlog as el
-from memberlens.operators import windows as wn
 from memberlens.plans import q_history as qh
 from memberlens.plans import roles as r
 from memberlens.plans.registry import query
@@ -26,7 +25,7 @@ KEYS = ["member_id", "event_date"]
 
 def model_rows(t, horizons=(7,)) -> DataFrame:
     """Member-day features with labels and a member-level split."""
-    labels = el.daily_signal(qh.feed_log(t)).select(*KEYS, *wn.label_columns(horizons))
+    labels = el.day_labels(el.daily_signal(qh.feed_log(t)), horizons)
     rows = qh.feed_features(t).join(labels, KEYS, "left")
     y = [c for c in labels.columns if c.startswith("y_")]
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in y})
