@@ -119,51 +119,59 @@ def pharmacy_months(spine: DataFrame, fills: DataFrame, classes: Mapping[str, Co
     ``mode='month'`` works on calendar months: the last three are ``m-2`` to ``m``, and refills and first fills count
     for the month they fall in. ``mode='date'`` compares fill dates with the first day of the month, as the published
     script does: the window is ``[m-2, first day of m]`` and only fills on a first day count as refills or new drugs.
+
+    A fill is visible from the month ``opens`` to two months after its own. Days of supply are added when it opens and
+    taken back after its last month. A drug counts once however many of its fills are visible: each fill carries it
+    until it closes or the drug's next fill opens. Everything is then one running pass per member, without joins.
     """
     by_date = mode == "date"
     taken = F.explode(F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in classes.items()])))
-    # every branch below starts from this one shuffle
     long = fills.where(F.col("filled_date").isNotNull()).select(
         "member_id", "ndc", "filled_date", "days_supply", taken.alias("class")).distinct()
-    filled = month_start("filled_date")
-    opens = F.when(F.col("filled_date") == filled, filled).otherwise(F.add_months(filled, 1)) if by_date else filled
-    visible = F.explode(F.sequence(opens, F.add_months(filled, 2), F.expr("interval 1 month")))
-    per_drug = (
-        long.withColumn("month", visible)
-        .groupBy("member_id", "month", "class", "ndc").agg(F.sum("days_supply").alias("days"))
-    )
-    names = list(classes)
-    recent = per_drug.groupBy(*KEYS).agg(
-        *[F.count(F.when(F.col("class") == n, 1)).alias(f"num_{n}_drugs_last_3_months") for n in names],
-        *[F.sum(F.when(F.col("class") == n, F.col("days"))).alias(f"_days_{n}") for n in names],
-    )
-    firsts = long.groupBy("member_id").agg(
-        *[F.min(F.when(F.col("class") == n, F.col("filled_date"))).alias(f"_first_{n}") for n in names])
-    refills = long.where(F.dayofmonth("filled_date") == 1) if by_date else long
-    starts = long.groupBy("member_id", "class", "ndc").agg(F.min("filled_date").alias("filled_date"))
-    if by_date:
-        starts = starts.where(F.dayofmonth("filled_date") == 1)
-    monthly = lb.month_windows(spine, [
-        (refills, "filled_date", [
-            lb.MonthMeasure({f"_now_{n}": (0, 0), f"_prev_{n}": (-1, -1)}, F.col("class") == n) for n in names]),
-        (starts, "filled_date", [
-            lb.MonthMeasure({f"{n}_new_drug_this_month": (0, 0)}, F.col("class") == n) for n in names]),
-    ])
-    joined = monthly.join(firsts, "member_id", "left").join(recent, KEYS, "left")
+    own, on_first = month_number("filled_date"), F.dayofmonth("filled_date") == 1
+    opens = F.when(on_first, own).otherwise(own + 1) if by_date else own
+    drug = W.partitionBy("member_id", "class", "ndc").orderBy("filled_date", "days_supply")
+    seen = long.select("member_id", "class", F.col("days_supply").alias("_days"), opens.alias("_opens"), own.alias("_own"),
+                       (on_first if by_date else F.lit(True)).alias("_counts"),
+                       F.lead(opens).over(drug).alias("_next"), (F.row_number().over(drug) == 1).alias("_first"))
+    closes = F.least(F.col("_own") + 3, F.coalesce(F.col("_next"), F.col("_own") + 3))
+
+    def change(kind: str, month: Column, value: Column, when: Column | None = None) -> Column:
+        cell = F.struct(month.alias("m"), F.lit(kind).alias("kind"), value.cast("bigint").alias("v"))
+        return cell if when is None else F.when(when, cell)
+
+    one, visible = F.lit(1), F.col("_opens") < closes
+    changes = F.array_compact(F.array(
+        change("ever", F.col("_opens"), one),
+        change("days", F.col("_opens"), F.col("_days")), change("days", F.col("_own") + 3, -F.col("_days")),
+        change("drugs", F.col("_opens"), one, visible), change("drugs", closes, -one, visible),
+        change("refill", F.col("_own"), one, F.col("_counts")), change("start", F.col("_own"), one, F.col("_counts") & F.col("_first")),
+    ))
+    kinds, names = ["ever", "days", "drugs", "refill", "start"], list(classes)
+    by_month = seen.select("member_id", "class", F.explode(changes).alias("c")).groupBy("member_id", F.col("c.m").alias("_m")).agg(*[
+        F.sum(F.when((F.col("class") == n) & (F.col("c.kind") == k), F.col("c.v"))).alias(f"{k}_{n}") for n in names for k in kinds])
+    marks = spine.select("member_id", month_number("month").alias("_m"), F.lit(1).alias("_spine"), F.col("month"))
+    month = W.partitionBy("member_id").orderBy("_m")
+    so_far, now, before = month.rangeBetween(W.unboundedPreceding, 0), month.rangeBetween(0, 0), month.rangeBetween(-1, -1)
+
+    def total(kind: str, name: str, frame) -> Column:
+        return F.coalesce(F.sum(f"{kind}_{name}").over(frame), F.lit(0))
+
+    wide = marks.unionByName(by_month, allowMissingColumns=True).select("member_id", "month", "_spine", *[
+        total(k, n, f).alias(f"{w}_{n}") for n in names for k, w, f in (
+            ("ever", "ever", so_far), ("days", "days", so_far), ("drugs", "drugs", so_far), ("refill", "now", now),
+            ("refill", "prev", before), ("start", "start", now))
+    ]).where(F.col("_spine") == 1)
     out = []
     for n in names:
-        first = F.col(f"_first_{n}")
-        ever = (first <= F.col("month")) if by_date else (month_start(first) <= F.col("month"))
-        mpr = F.coalesce(F.col(f"_days_{n}"), F.lit(0)) / F.lit(90.0)
+        ever, mpr = F.col(f"ever_{n}") > 0, F.col(f"days_{n}") / F.lit(90.0)
         out += [
-            flag(ever).alias(f"{n}_ever_prescribed"),
-            F.coalesce(f"num_{n}_drugs_last_3_months", F.lit(0)).alias(f"num_{n}_drugs_last_3_months"),
-            gated(ever, mpr).alias(f"{n}_mpr_last_3_months"),
-            gated(ever, at_least(mpr, adherent_at)).alias(f"{n}_med_adherent"),
-            flag((F.col(f"_prev_{n}") == 1) & (F.col(f"_now_{n}") == 0)).alias(f"{n}_missed_refill_this_month"),
-            F.col(f"{n}_new_drug_this_month"),
+            flag(ever).alias(f"{n}_ever_prescribed"), F.col(f"drugs_{n}").alias(f"num_{n}_drugs_last_3_months"),
+            gated(ever, mpr).alias(f"{n}_mpr_last_3_months"), gated(ever, at_least(mpr, adherent_at)).alias(f"{n}_med_adherent"),
+            flag((F.col(f"prev_{n}") > 0) & (F.col(f"now_{n}") == 0)).alias(f"{n}_missed_refill_this_month"),
+            flag(F.col(f"start_{n}") > 0).alias(f"{n}_new_drug_this_month"),
         ]
-    return joined.select(*KEYS, *out)
+    return wide.select(*KEYS, *out)
 
 
 def facility_months(spine: DataFrame, lines: DataFrame) -> DataFrame:
