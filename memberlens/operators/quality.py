@@ -9,7 +9,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.functions.expr import as_col
 from memberlens.operators.tabular import duplicate_keys
 
 
@@ -104,27 +103,37 @@ class Check:
     informational: bool = False
 
 
+def _status(informational: Column) -> Column:
+    return F.when(informational, "INFO").when(F.col("n_findings") == 0, "OK").otherwise("ISSUES FOUND")
+
+
 def run_suite(checks: Sequence[Check]) -> DataFrame:
     """One row per check: its status and the number of findings. Only counts leave the executors."""
     rows = []
     for check in checks:
         found = check.findings if check.bad is None else check.findings.where(check.bad)
         n = found.agg(F.count("*").alias("n_findings"))
-        status = F.when(F.lit(check.informational), "INFO").when(F.col("n_findings") == 0, "OK").otherwise("ISSUES FOUND")
-        rows.append(n.select(F.lit(check.name).alias("check"), status.alias("status"), "n_findings"))
+        rows.append(n.select(F.lit(check.name).alias("check"), _status(F.lit(check.informational)).alias("status"), "n_findings"))
     return reduce(DataFrame.unionByName, rows)
 
 
-def member_day_suite(days: DataFrame, labels: Sequence[str], required: Sequence[str] = ("member_id", "event_date"),
-                     keys: Sequence[str] = ("member_id", "event_date"), asof: str | None = None) -> list[Check]:
-    """The standard checks of a member-day table."""
-    checks = [
-        Check("duplicate_keys", duplicate_keys(days, keys)),
-        Check("null_keys", null_counts(days, required), F.col("null_count") > 0),
-        Check("invalid_labels", invalid_values(days, labels), F.col("invalid_count") > 0),
-        Check("null_labels", null_counts(days, labels), F.col("null_count") > 0),
-    ]
+def row_suite(df: DataFrame, bad_rows: Mapping[str, Column]) -> DataFrame:
+    """All checks that look at one row at a time, from a single scan."""
+    counts = long_counts(df, bad_rows, "check", "n_findings")
+    return counts.select("check", _status(F.lit(False)).alias("status"), "n_findings")
+
+
+def member_day_suite(days: DataFrame, labels: Sequence[str], keys: Sequence[str] = ("member_id", "event_date"),
+                     asof: str | None = None) -> DataFrame:
+    """The standard checks of a member-day table: one scan for the row checks and one grouping for repeated keys."""
+    def any_of(conditions):
+        return reduce(lambda a, b: a | b, conditions)
+
+    bad = {
+        "null_keys": any_of(F.col(k).isNull() for k in keys),
+        "null_labels": any_of(F.col(y).isNull() for y in labels),
+        "invalid_labels": any_of(~F.coalesce(F.col(y), F.lit(0)).isin(0, 1) for y in labels),
+    }
     if asof:
-        late = as_col(keys[-1]) > F.lit(asof).cast("date")
-        checks.append(Check("future_dates", rule_breaches(days, {"future": late}), F.col("invalid_record_count") > 0))
-    return checks
+        bad["future_dates"] = F.col(keys[-1]) > F.lit(asof).cast("date")
+    return row_suite(days, bad).unionByName(run_suite([Check("duplicate_keys", duplicate_keys(days, keys))]))
