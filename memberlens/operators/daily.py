@@ -24,20 +24,37 @@ def claim_lookback(anchors: DataFrame, claims: DataFrame, lag_months: int = 4, e
     With a lag of four months nothing is younger than 120 days, so the 90-day columns are all zero; they are kept
     because the published table has them.
     """
-    return lb.day_lookback(anchors, claims, [
+    dated = claims.withColumn("_claim_date", F.coalesce("service_date", "service_end_date"))
+    return lb.day_lookback(anchors, dated, [
         lb.Measure("paid_sum", F.col("paid_amount")),
         lb.Measure("cnt_ed_visits", is_ed_line("place_of_service", "revenue_code"), "days"),
         lb.Measure("cnt_ip_visits", is_ip_line("place_of_service", "revenue_code"), "days"),
         *extra,
-    ], CLAIM_SPANS, fact_date="service_date", lag_months=lag_months)
+    ], CLAIM_SPANS, fact_date="_claim_date", lag_months=lag_months)
 
 
-def fill_lookback(anchors: DataFrame, fills: DataFrame, lag_months: int = 2) -> DataFrame:
+def claim_event_lookback(anchors: DataFrame, events: DataFrame, lag_months: int = 4) -> DataFrame:
+    """The published claim block over the event log: amounts, ED / IP days, conditions, categories and procedures.
+
+    It counts events, so the amount of a line enters once for each event the line gives.
+    """
+    short = F.col("hcpcs_category_short")
+    return lb.day_lookback(anchors, events.where(F.col("event_type").startswith("CLAIM_")), [
+        lb.Measure("paid_sum", F.col("paid_amount")),
+        lb.Measure("cnt_ed_visits", F.col("is_ed_event"), "days"), lb.Measure("cnt_ip_visits", F.col("is_ip_event"), "days"),
+        *[lb.Measure(f"cnt_hcc_{c}", F.col(f"cnt_hcc_{c}") > 0, "count") for c in codes.CONDITION_GROUPS],
+        lb.Measure("cnt_any_hcc", F.col("hcc_category").isNotNull(), "count"),
+        *[lb.Measure(f"cnt_proc_{c}", short == c, "count") for c in ("psychotherapy", "psychiatric_evals")],
+        lb.Measure("cnt_outpatient", ~(F.col("is_ed_event") | F.col("is_ip_event")), "count"),
+    ], CLAIM_SPANS, lag_months=lag_months)
+
+
+def fill_event_lookback(anchors: DataFrame, events: DataFrame, lag_months: int = 2) -> DataFrame:
     """Number of fills per drug class over 90 and 180 days."""
     return lb.day_lookback(
-        anchors, fills.where(F.col("days_supply") > 0),
-        [lb.Measure(f"cnt_fills_{c}", F.col(f"is_{c}"), "count") for c in codes.DAILY_DRUG_CLASSES],
-        [lb.DaySpan("90d", 90), lb.DaySpan("180d", 180)], fact_date="filled_date", lag_months=lag_months,
+        anchors, events.where(F.col("event_type") == "PHARMACY_FILL"),
+        [lb.Measure(f"cnt_fills_{c}", F.col(f"is_fill_{c}"), "count") for c in codes.DAILY_DRUG_CLASSES],
+        [lb.DaySpan("90d", 90), lb.DaySpan("180d", 180)], lag_months=lag_months,
     )
 
 

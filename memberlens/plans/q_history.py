@@ -11,7 +11,9 @@ from memberlens.operators import eventlog as ev
 from memberlens.operators import lookback as lb
 from memberlens.operators import windows as wn
 from memberlens.plans import roles as r
+from memberlens.plans import stages
 from memberlens.plans.registry import query
+from memberlens.sources.tables import stored
 
 ASOF = "2002-01-01"
 
@@ -564,3 +566,47 @@ def c13(t):
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("payer_score"))
     joined = dy.with_snapshot(r.claims(t), snapshot, ["payer_score"], date="service_date")
     return joined.select("member_id", "claim_id", "claim_line_number", "payer_score")
+
+
+# ---- the whole chain -----------------------------------------------------------------------------------
+
+def chain_days(t):
+    members = ev.cohort(r.members(t), None, F.lit(ASOF).cast("date")).select(
+        "member_id", "market", "dob", "gender", "engagement_group", "normalized_coverage", "months_since_batched")
+    log = stored(claim_log(t), "event-log", ["event_type"])
+    return stages.member_days(log, r.fills(t), members)
+
+
+CHAIN = CLAIM_SIGNAL + """,
+idx AS (SELECT DISTINCT member_id, event_date FROM log),
+look AS (
+  SELECT i.member_id, i.event_date, CAST(COALESCE(SUM(paid_amount), 0) AS DOUBLE) AS paid_sum_180d,
+         COUNT(DISTINCT CASE WHEN is_ed_event THEN c.event_date END) AS cnt_ed_visits_180d,
+         COUNT(*) FILTER (has_diabetes > 0) AS cnt_hcc_diabetes_180d, COUNT(hcc_category) AS cnt_any_hcc_180d,
+         COUNT(*) FILTER (c.event_date < i.event_date - 90 AND NOT (is_ed_event OR is_ip_event)) AS cnt_outpatient_90_180d
+  FROM idx i LEFT JOIN log c ON c.member_id = i.member_id AND c.event_type LIKE 'CLAIM_%' AND c.event_date < i.event_date
+   AND c.event_date >= i.event_date - 180 AND c.event_date <= CAST(i.event_date - INTERVAL 4 MONTH AS DATE)
+  GROUP BY 1, 2),
+mpr AS (
+  SELECT i.member_id, i.event_date, COALESCE(SUM(CASE WHEN drug_type = 'ECONOMY' THEN days_supply END), 0) / 180.0::DOUBLE AS mpr_insulin_180d,
+         COUNT(*) FILTER (drug_type = 'LARGE') AS cnt_fills_opioid_180d
+  FROM idx i LEFT JOIN fills f ON f.member_id = i.member_id AND f.days_supply > 0 AND f.filled_date < i.event_date
+   AND f.filled_date >= i.event_date - 180 AND f.filled_date <= CAST(i.event_date - INTERVAL 2 MONTH AS DATE)
+  GROUP BY 1, 2),
+chain AS (
+  SELECT l.*, ROUND(mpr_insulin_180d, 9) AS mpr_insulin_180d, cnt_fills_opioid_180d, m.market
+  FROM look l JOIN mpr USING (member_id, event_date) JOIN members m ON m.member_id = l.member_id)"""
+
+
+@query("k7_event_log_chain", r.sql(r.MEMBERS, CHAIN, body="SELECT * FROM chain"))
+def k7_chain(t):
+    return chain_days(t).select(
+        "member_id", "event_date", "paid_sum_180d", "cnt_ed_visits_180d", "cnt_hcc_diabetes_180d", "cnt_any_hcc_180d", "cnt_outpatient_90_180d",
+        F.round("mpr_insulin_180d", 9).alias("mpr_insulin_180d"), "cnt_fills_opioid_180d", "market")
+
+
+@query("k11_modelling_rows")
+def k11_modelling(t):
+    snapshot = t.orders.groupBy(F.col("o_custkey").alias("member_id"), F.year("o_orderdate").alias("payment_year")).agg(
+        F.count("*").cast("double").alias("payer_score"))
+    return stages.modelling_rows(stored(chain_days(t), "member-days"), snapshot)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from datetime import datetime, timedelta
 from functools import reduce
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
+from memberlens.session import shared_dir
+
 
 def scan(spark: SparkSession, name: str) -> DataFrame:
     """A table by a name that is only known at run time."""
@@ -85,6 +88,18 @@ def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write a stage to the shared folder and read it back.
+
+    What follows starts from the files: a long lineage ends here, a lost executor re-reads instead of recomputing, and
+    later scans take only the columns and partitions they need.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    replace_table(df, folder, partition_by)
+    return spark.read.schema(df.schema).parquet(folder).select(*df.columns)
+
+
 def insert_into(df: DataFrame, schema: T.StructType, path: str) -> None:
     """Append to a table with a declared schema; columns are matched by name and cast or rejected."""
     df.to(schema).write.mode("append").parquet(path)
@@ -128,7 +143,7 @@ def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
         raise ValueError(f"unknown report kind {kind!r}")
     nested = (T.ArrayType, T.MapType, T.StructType)
     flat = df.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in df.schema.fields])
-    flat.write.mode("overwrite").option("header", True).csv(path)
+    flat.write.mode("overwrite").option("header", True).option("escape", "\"").csv(path)
 
 
 def stacked(frames: Mapping[str, DataFrame], column: str = "origin") -> DataFrame:
