@@ -102,6 +102,15 @@ def local_factors(contributions: DataFrame, features: Sequence[str], keys: Seque
     return contributions.select(*keys, "base_value", strongest(1).alias("increasing_factors"), strongest(-1).alias("decreasing_factors"), "margin")
 
 
+def key_drivers(contributions: DataFrame, features: Sequence[str], keys: Sequence[str], n: int = 3) -> DataFrame:
+    """The ``n`` features that moved a row's score most in either direction, strongest first."""
+    pairs = F.array(*[
+        F.struct((-F.abs(F.col("contributions")[i])).alias("k"), F.lit(f).alias("feature"), F.col("contributions")[i].alias("contribution"))
+        for i, f in enumerate(features)])
+    top = F.slice(F.array_sort(pairs), 1, n)
+    return contributions.select(*keys, F.transform(top, lambda p: F.struct(p["feature"], p["contribution"])).alias("key_drivers"))
+
+
 def global_factors(contributions: DataFrame, features: Sequence[str], top_n: int = 25, epsilon: float = 1e-6) -> DataFrame:
     """Mean absolute contribution per feature, ranked. The aggregate has one row, the result one per feature."""
     wide = contributions.agg(*[F.avg(F.abs(F.col("contributions")[i])).alias(f) for i, f in enumerate(features)])

@@ -179,11 +179,19 @@ def score_buildup(weights: Mapping[str, float], intercept: float) -> tuple[Colum
 
 
 def consolidated_individuals(scored: DataFrame, label: str, first: str, second: str, build: tuple[Column, Column] | None = None,
-                             since: str | None = None, month: str = "month") -> DataFrame:
-    """One row per member and month of all splits with both scores, the class and the score build-up."""
+                             since: str | None = None, month: str = "month", boosted: DataFrame | None = None) -> DataFrame:
+    """One row per member and month of all splits with both scores, the class and the score build-ups.
+
+    ``boosted`` holds the local factors of the second model per member and month; they are attached as JSON.
+    """
     rows = scored if since is None else scored.where(F.col(month) >= F.lit(since).cast("date"))
     out = [F.col("member_id"), F.col(month), F.col("split"), F.col(label).alias("actual_event"), F.col(first).alias("logistic_prob"),
            F.col(second).alias("boosted_prob"), risk_class(F.col(first)).alias("risk_class")]
     if build:
         out += [build[0].alias("logistic_score_build"), build[1].alias("logistic_total_score")]
+    if boosted is not None:
+        parts = [c for c in boosted.columns if c not in ("member_id", month)]
+        factors = boosted.select("member_id", month, F.to_json(F.struct(*parts)).alias("boosted_score_build"))
+        rows = rows.join(factors, ["member_id", month], "left")
+        out.append(F.col("boosted_score_build"))
     return rows.select(*out)

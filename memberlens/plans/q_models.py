@@ -196,11 +196,17 @@ def explained(t):
 
 @query("l15_local_factors")
 def l15(t):
-    out = at.local_factors(explained(t), FEATURES, KEYS, top_n=3)
+    moved = explained(t)
+    out = at.local_factors(moved, FEATURES, KEYS, top_n=3)
     return out.select(*KEYS, "base_value", F.to_json("increasing_factors").alias("increasing_factors"),
                       F.to_json("decreasing_factors").alias("decreasing_factors"), "margin")
 
 
+@query("l20_key_drivers")
+def l20_drivers(t):
+    return at.key_drivers(explained(t), FEATURES, KEYS).select(*KEYS, F.to_json("key_drivers").alias("key_drivers"))
+
+
 @query("l16_global_factors")
 def l16(t):
     return at.global_factors(explained(t), FEATURES)

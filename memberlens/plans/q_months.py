@@ -11,6 +11,7 @@ from memberlens.operators import months as mo
 from memberlens.operators import cohort as co
 from memberlens.plans import roles as r
 from memberlens.plans.registry import query
+from memberlens.sources.tables import stored
 
 CUTOFF = r.LAST_MONTH
 MARKETS = ["nation_1", "nation_2", "nation_3"]
@@ -500,13 +501,14 @@ def c12(t):
 # ---- assembly and cohorts ------------------------------------------------------------------------------
 
 def consolidated(t):
-    """The wide member-month table of the main blocks."""
-    spine = r.spine(t)
+    """The wide member-month table of the main blocks. The member-months are a stage that all blocks start from."""
+    months = stored(spans(t).drop("month_end"), "member-months")
+    spine, members = months.select("member_id", "month"), r.members(t)
+    days = cl.event_day_months(months.where("is_enrolled = 1").select("member_id", "month"), r.claims(t))
     return mo.star_join(
-        spine,
-        [spans(t).drop("month_end"), mo.engagement_months(spine, r.members(t)), event_days(t), labels(t),
-         mo.notes_months(spine, r.note_scores_over_time(t))],
-        [mo.product_and_market_flags(r.members(t), MARKETS, PREFIXES), mo.demographics(r.members(t), "2023-01-01")],
+        months,
+        [mo.engagement_months(spine, members), days, mo.month_labels(days, months), mo.notes_months(spine, r.note_scores_over_time(t))],
+        [mo.product_and_market_flags(members, MARKETS, PREFIXES), mo.demographics(members, "2023-01-01")],
     )
 
 

@@ -128,3 +128,12 @@ def test_daily_feature_blocks(spark):
     got = dy.modelling_columns(days_frame).first()
     assert (got["day_of_week"], got["is_female"], got["is_engaged_in_program"], got["is_category_abd"]) == (0, 1, 1, 1)
     assert extra is days_frame
+
+
+def test_labelled_events_carry_member_and_day(spark):
+    log = ev.event_log(feeds(spark))
+    members = spark.createDataFrame([(1, "m", d("2000-01-01"), "F", "engaged_in_program", "ABD", 3, True, True)],
+                                    "member_id long, market string, dob date, gender string, engagement_group string, normalized_coverage string, "
+                                    "months_since_batched int, has_ever_been_engaged boolean, is_batched boolean")
+    out = ev.labelled_events(log, members, ev.day_labels(ev.combined_signal(log), (30,)))
+    assert out.where("member_id <> 1").count() == 0 and out.where("market = 'm' AND y_any_30d IS NOT NULL").count() == log.where("member_id = 1").count()

@@ -145,6 +145,8 @@ def test_boosted_contributions_add_up(spark, learnt):
     assert gap < 1e-6
     top = at.local_factors(local, features, ["member_id"], top_n=1, binary=["flag"])
     assert top.where(F.size("increasing_factors") > 1).count() == 0
+    drivers = at.key_drivers(local, features, ["member_id"], 2).first()["key_drivers"]
+    assert len(drivers) == 2 and abs(drivers[0]["contribution"]) >= abs(drivers[1]["contribution"])
     ranked = at.global_factors(local, features)
     assert ranked.orderBy("rank").first()["feature"] == "a"
     assert tr.importances(model, features)["a"] > 0.5
@@ -168,3 +170,20 @@ def test_small_training_helpers(spark, learnt):
     assert rows(tr.filled(holes, ["a", "b"]), "b") == [(0.0,), (4.0,)] and rows(tr.filled(holes, ["a", "b"], "mean"), "b") == [(4.0,), (4.0,)]
     assert tr.ablations(["a", "b", "c"], {"g": ["A"], "h": ["b"]}) == {"horizon_0": ["c"], "horizon_1": ["a", "c"], "horizon_2": ["a", "b", "c"]}
     assert at.background_sample(df, 5, "member_id").count() == 5
+
+
+def test_consolidated_individuals_keep_months_apart(spark):
+    df = spark.createDataFrame([(1, "2024-01-01", "train", 1, 0.9, 0.2), (1, "2024-02-01", "train", 0, 0.6, 0.3), (1, "2022-02-01", "train", 0, 0.6, 0.3)],
+                               "member_id long, month string, split string, y int, lr double, gb double").withColumn("month", F.col("month").cast("date"))
+    factors = df.select("member_id", "month", F.lit(0.5).alias("base_value"), F.col("gb").alias("margin"))
+    got = rows(ev.consolidated_individuals(df, "y", "lr", "gb", ev.score_buildup({"lr": 2.0}, 1.0), "2023-01-01", boosted=factors),
+               "risk_class", "logistic_total_score", "boosted_score_build")
+    assert got == [("high", 2.8, '{"base_value":0.5,"margin":0.2}'), ("medium", 2.2, '{"base_value":0.5,"margin":0.3}')]
+
+
+def test_recent_windows(spark):
+    df = spark.createDataFrame([(1, "2024-01-01"), (1, "2024-03-01"), (2, "2024-02-01")], "member_id long, month string").withColumn("month", F.col("month").cast("date"))
+    assert [r["member_id"] for r in ev.recent_report(df, "2024-02-01", "2024-12-01").collect()] == [1, 2]
+    scored = df.withColumn("a", F.lit(0.5)).withColumn("b", F.lit(0.1))
+    assert {r["risk_classification"] for r in ev.recent_consensus(scored, "a", "b", k=1).collect()} == {"MEDIUM"}
+    assert ev.class_summary(scored.withColumn("y", F.lit(1)), ["member_id"], "a", "y").where("member_id = 1").first()[1:] == (2, 1.0, 0.5, 2)

@@ -113,3 +113,18 @@ def test_cohort_windows(spark):
     engaged = F.col("is_engaged") == 1
     assert [r[1] for r in rows(mo.cohort_window(data, engaged), *KEYS)] == [d("2024-02-01"), d("2024-06-01"), d("2024-12-01")]
     assert rows(mo.master_cohort(data, engaged), *KEYS) == [(1, d("2023-01-01")), (1, d("2024-02-01")), (1, d("2024-06-01")), (2, d("2024-01-01"))]
+
+
+def test_spans_become_dense_and_blocks_join(spark):
+    spans = spark.createDataFrame([(1, d("2023-12-01"), d("2024-02-01"))], "member_id long, first_month date, last_month date")
+    sp = mo.dense_months(spans)
+    assert [r[1] for r in rows(sp)] == [d("2023-12-01"), d("2024-01-01"), d("2024-02-01")]
+    members = spark.createDataFrame([(1, "M", d("1990-06-01"), "abd x", "tacoma", d("2024-01-15"), None)],
+                                    "member_id long, gender string, dob date, coverage string, market string, first_selected_date date, first_engaged_date date")
+    wide = mo.star_join(sp, [mo.engagement_months(sp, members)], [mo.product_and_market_flags(members), mo.demographics(members, "2023-01-01")])
+    got = table(wide, "month", "is_selected_month", "is_ever_engaged", "is_abd", "is_market_tacoma", "is_market_other", "age_bucket", "is_age_30_34", "is_male")
+    assert got[d("2024-01-01")] == (1, 0, 1, 1, 0, 30, 1, 1) and got[d("2023-12-01")][0] == 0
+    trends = mo.engagement_trends(sp.withColumns({c: F.when(F.col("month") == d("2024-02-01"), 1).otherwise(0) for c in (
+        "is_potentially_not_responsive", "texted_in_month", "likes_to_converse_by_text_in_month", "success_rate_this_month")}))
+    feb = trends.where(F.col("month") == d("2024-02-01")).first()
+    assert (feb["became_non_responsive"], feb["started_texting"], feb["stopped_texting"], feb["success_rate_increased"]) == (1, 1, 0, 1)
