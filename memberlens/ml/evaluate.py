@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.functions.expr import month_start, priority_label, ratio
+from memberlens.functions.expr import priority_label, ratio
 from memberlens.operators.tabular import latest_periods
 from memberlens.operators.windows import running_totals
 

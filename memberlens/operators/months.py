@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from memberlens.functions import codes
 from memberlens.functions.expr import (
-    at_least, band_flags, band_start, calendar_flags, flag, gender_flags, month_number, month_start, one_hot,
+    at_least, band_flags, band_start, calendar_flags, flag, gender_flags, month_start, one_hot,
     prefix_flags, ratio, years_crossed,
 )
 from memberlens.operators import lookback as lb

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memberlens.functions import codes
-from memberlens.functions.expr import either, flag
+from memberlens.functions.expr import flag
 from memberlens.operators import daily as dy
 from memberlens.operators import eventlog as ev
 from memberlens.operators import lookback as lb
@@ -529,9 +529,6 @@ def k12(t):
                       "cnt_ed_7d_rolling", "cnt_click_7d_new")
 
 
-DX_DAYS = CLAIM_SIGNAL
-
-
 @query("k13_first_occurrence", r.sql(CLAIM_SIGNAL, body="""
 , firsts AS (
   SELECT member_id, MIN(CASE WHEN has_diabetes > 0 THEN event_date END) AS first_diabetes_date,

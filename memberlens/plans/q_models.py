@@ -291,5 +291,3 @@ def l22(t):
 @query("d22_class_weights", "SELECT quality, COUNT(*) AS n, (SELECT COUNT(*) FILTER (quality = 0)::DOUBLE / COUNT(*) FILTER (quality = 1) FROM labels) AS neg_per_pos FROM labels GROUP BY 1")
 def d22(t):
     return tr.class_counts(t.labels, "quality").withColumnRenamed("label", "quality")
-
-

@@ -8,7 +8,6 @@ from memberlens.functions import codes
 from memberlens.operators import clinical as cl
 from memberlens.operators import eventlog as ev
 from memberlens.operators import months as mo
-from memberlens.operators import cohort as co
 from memberlens.plans import roles as r
 from memberlens.plans.registry import query
 from memberlens.sources.tables import stored

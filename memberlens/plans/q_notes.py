@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from memberlens.functions import codes
 from memberlens.operators import notes as nt
-from memberlens.operators import tabular as tb
 from memberlens.plans import roles as r
 from memberlens.plans.registry import query
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from memberlens.functions.expr import engagement_group, gender_flags
 from memberlens.operators import cohort as co
 from memberlens.operators import quality as ql
 from memberlens.operators import tabular as tb
@@ -43,15 +44,10 @@ def m3(t):
 WITH f AS (SELECT CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 0 END AS m, CASE WHEN c_mktsegment = 'FURNITURE' THEN 1 ELSE 0 END AS f FROM customer)
 SELECT 'two_genders' AS rule, COUNT(*) FILTER (m + f <> 1) AS invalid_record_count FROM f UNION ALL SELECT 'all_genders', 0 FROM f GROUP BY 1""")
 def m4(t):
-    flags = t.customer.select(*ql_gender())
+    flags = t.customer.select(*gender_flags("c_mktsegment"))
     return ql.one_hot_breaches(flags, {"two_genders": ["is_male", "is_female"], "all_genders": ["is_male", "is_female", "is_gender_unknown"]})
 
 
-def ql_gender():
-    from memberlens.functions.expr import gender_flags
-    return gender_flags("c_mktsegment")
-
-
 @query("m5_split_leaks", """
 WITH s AS (SELECT o_custkey AS member_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'TRAIN' ELSE 'TEST' END AS dataset_split FROM orders)
 SELECT member_id, COUNT(DISTINCT dataset_split) AS splits FROM s GROUP BY 1 HAVING COUNT(DISTINCT dataset_split) > 1""")
@@ -93,7 +89,6 @@ def m9(t):
 SELECT market, CASE WHEN has_ever_been_engaged THEN 'engaged_in_program' WHEN is_batched THEN 'selected_not_engaged' ELSE 'not_selected_for_engagement' END AS engagement_group,
        COUNT(*) AS row_count, COUNT(DISTINCT member_id) AS unique_members, MIN(first_selected_date) AS first_date, MAX(first_selected_date) AS last_date FROM members GROUP BY 1, 2"""))
 def m9_market(t):
-    from memberlens.functions.expr import engagement_group
     members = r.members(t).withColumn("engagement_group", engagement_group("has_ever_been_engaged", "is_batched"))
     return ql.distribution(members, ["market", "engagement_group"], "first_selected_date")
 

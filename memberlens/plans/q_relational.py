@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +10,6 @@ from memberlens.functions import expr as x
 from memberlens.operators import cohort as co
 from memberlens.operators import eventlog as ev
 from memberlens.operators import tabular as tb
-from memberlens.operators import windows as wn
 from memberlens.plans import roles as r
 from memberlens.plans.registry import TABLE_NAMES, query
 from memberlens.session import shared_dir
