@@ -16,6 +16,7 @@ from memberlens.operators import eventlog as el
 from memberlens.plans import q_history as qh
 from memberlens.plans import roles as r
 from memberlens.plans.registry import query
+from memberlens.sources.tables import stored
 
 FEATURES = ["cnt_ed_7d", "cnt_click_7d", "note_health_score", "note_risk_harm_score", "note_social_stab_score",
             "note_med_adherence_score", "note_care_engagement_score", "note_program_trust_score", "note_self_score"]
@@ -63,7 +64,7 @@ def l3(t):
 
 @query("l4_scores_all_splits")
 def l4(t):
-    rows = model_rows(t)
+    rows = stored(model_rows(t), "model-rows")
     model = tr.train_logistic(rows.where("split = 'train'"), FEATURES, LABEL)
     return tr.labelled(tr.score(model, rows, FEATURES), "score").select(*KEYS, "split", LABEL, "score", "pred_label")
 
@@ -190,8 +191,9 @@ def l14(t):
 
 
 def explained(t):
-    model = boosted(t)
-    return at.local_contributions(model, model_rows(t), FEATURES, KEYS)
+    rows = stored(model_rows(t), "model-rows")
+    model = tr.train_boosted(rows.where("split = 'train'"), FEATURES, LABEL, maxIter=5, maxDepth=3)
+    return at.local_contributions(model, rows, FEATURES, KEYS)
 
 
 @query("l15_local_factors")
@@ -267,7 +269,7 @@ def l20_report(t):
 @query("l21_feature_ablation")
 def l21(t):
     groups = {"lagged": ["cnt_ed_7d"], "operational": ["cnt_click_7d"], "notes": [f for f in FEATURES if f.startswith("note_")]}
-    rows = model_rows(t).persist()
+    rows = stored(model_rows(t), "model-rows")
     out = []
     for name, features in tr.ablations(FEATURES + ["note_self_score"], {k: v for k, v in groups.items() if k != "notes"}).items():
         kept = list(dict.fromkeys(features))
@@ -279,7 +281,7 @@ def l21(t):
 
 @query("l22_targets")
 def l22(t):
-    rows = model_rows(t, (7, 14)).persist()
+    rows = stored(model_rows(t, (7, 14)), "model-rows")
     out = []
     for target in [f"y_{k}_{n}d" for n in (7, 14) for k in ("any", "ed", "ip")]:
         model = tr.train_logistic(rows.where("split = 'train'"), FEATURES, target, max_iter=20)
