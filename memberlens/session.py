@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -29,19 +30,19 @@ def local_session(app: str = "memberlens", cpus: int | str = "*", shuffle_partit
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the session names it.
+    """Folder every executor can reach: the session's setting, or else the context's checkpoint folder.
 
-    A local session without the setting gets a fresh temporary folder. A cluster session without it is an
-    error, because a folder on one machine would be lost with that machine.
+    A session inside one process that has neither gets a fresh temporary folder, as its checkpoint folder. A cluster
+    session without one is an error, because a folder on one machine would be lost with that machine.
     """
-    configured = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    fresh = tempfile.mkdtemp(prefix="memberlens-", dir="/tmp")
-    spark.conf.set(CHECKPOINT_CONF, fresh)
-    return fresh
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="memberlens-", dir="/tmp"))
+    return context.getCheckpointDir()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
