@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memberlens.llm import decontamination, language, packing, sharding, tokenfile
+from memberlens.llm import decontamination, language, packing, pii, sharding, tokenfile
 from memberlens.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,10 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = language.predict(docs.select("doc_id", "text"), language.fit(docs))
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.digest(pii.find(docs, pii.fit(docs)))
