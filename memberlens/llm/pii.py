@@ -388,9 +388,13 @@ def joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts of base spans by kind, a checksum of them, and all spans as text."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(F.col(key), *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
