@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memberlens.llm import decontamination, language, packing, pii, sharding, tokenfile
+from memberlens.llm import decontamination, language, near_duplicates, packing, pii, sharding, tokenfile
 from memberlens.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,25 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of personal data in every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pii.digest(pii.find(docs, pii.fit(docs)))
+
+
+@query
+def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate component of every document, on four-word shingles."""
+    found = near_duplicates.near_duplicates(table(spark, folder, "documents"), words=4)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+ORACLES["op10_minhash_near_dedup"] = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, least(4, len(w)) AS n, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM doc UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON r.other = l.a)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.other) AS component_id, d.doc_id = min(r.other) AS kept
+FROM doc d JOIN reach r USING (doc_id) LEFT JOIN size s USING (doc_id) GROUP BY d.doc_id, s.n"""
