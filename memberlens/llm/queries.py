@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memberlens.llm import decontamination, language, near_duplicates, packing, pii, sharding, tokenfile
+from memberlens.llm import decontamination, kdsearch, language, near_duplicates, packing, pii, sharding, tokenfile
 from memberlens.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,21 @@ link AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.do
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM doc UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON r.other = l.a)
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.other) AS component_id, d.doc_id = min(r.other) AS kept
 FROM doc d JOIN reach r USING (doc_id) LEFT JOIN size s USING (doc_id) GROUP BY d.doc_id, s.n"""
+
+
+@query
+def op2_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return kdsearch.top_k(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
+ORACLES["op2_exact_top_k"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+WHERE rank <= 10"""
