@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memberlens.llm import decontamination, kdsearch, language, near_duplicates, packing, pii, sharding, tokenfile
+from memberlens.llm import decontamination, kdsearch, language, licenses, near_duplicates, packing, pii, sharding, tokenfile
 from memberlens.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,9 @@ scored AS (
 SELECT query_id, rank, vec_id, score FROM (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
 WHERE rank <= 10"""
+
+
+@query
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licenses in every document."""
+    return licenses.scan(table(spark, folder, "documents"))
