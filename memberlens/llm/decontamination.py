@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memberlens.llm.common import carried, column, restored
 from memberlens.llm.fmindex import FMIndex
 
 WINDOW = 10
@@ -160,15 +161,14 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     ``keep`` names further columns to hand through.
     """
     spark = docs.sparkSession
-    carried = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), F.lit(0).cast("long").alias("n_words"),
-                      F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"), *carried)
+    keep = tuple(c for c in keep if c != key)
+    out = docs.select(column(key).alias("key"), column(text).alias("body"), F.lit(0).cast("long").alias("n_words"),
+                      F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"), *carried(keep, text))
     schema = out.schema
     for block in list(item_blocks(items, item_key, item_text, block_words)) or [[]]:
         sent = spark.sparkContext.broadcast(Windows(block, window))
         out = out.mapInPandas(shard_search(sent, shard_words), schema)
-    named = [F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)]
-    return out.select(F.col("key").alias(key), "n_words", "spans", "items", *named)
+    return out.select(F.col("key").alias(key), "n_words", "spans", "items", *restored(keep, text))
 
 
 def shard_search(sent, shard_words: int):

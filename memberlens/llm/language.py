@@ -19,10 +19,11 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memberlens.llm.common import carried, column, restored
+
 UNKNOWN = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -75,19 +76,19 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def windows_of(text: str, length: int = WINDOW) -> np.ndarray:
-    """The whole text as rows of bytes; the last row is filled with zeros."""
+def windows_of(text: str, length: int = WINDOW) -> tuple[np.ndarray, int]:
+    """The whole text as rows of bytes, the last one filled with zeros, and the number of bytes."""
     raw = np.frombuffer(text.lower().encode(), np.uint8)
     out = np.zeros((max(1, -(-len(raw) // length)), length), np.uint8)
     out.reshape(-1)[:len(raw)] = raw
-    return out
+    return out, len(raw)
 
 
 def train(texts: list[str], labels: list[str], seed: int = 7) -> Network:
     """Fit by Adam on cross-entropy, with batches balanced over the labels."""
     names = sorted(set(labels))
     target = np.array([names.index(x) for x in labels])
-    data = np.concatenate([windows_of(t)[:1] for t in texts])
+    data = np.concatenate([windows_of(t)[0][:1] for t in texts])
     rng = np.random.default_rng(seed)
     widest, width = max(WIDTHS), len(WIDTHS) * FILTERS
     mask = np.concatenate([np.repeat([[1.0] * w * EMBEDDED + [0.0] * (widest - w) * EMBEDDED], FILTERS, 0) for w in WIDTHS]).T
@@ -156,45 +157,46 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     return train([r[3] for r in rows], [r[2] for r in rows]) if rows else None
 
 
-def predict(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with lang_pred and score, from whole texts."""
-    from pyspark.sql import types as T
-
+def predict(docs: DataFrame, network: Network | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """lang_pred and score of every row, from its whole text, with the columns of ``keep``."""
     sent = docs.sparkSession.sparkContext.broadcast(network)
-    kept = [f.name for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    base = docs.select(*kept)
-    schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    rows = docs.select(column(text).alias("body"), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), *carried(keep, text))
 
     def run(batches):
-        net = sent.value
         for frame in batches:
-            labels, scores = [UNKNOWN] * len(frame), [0.0] * len(frame)
-            where, pending, sizes, held = [], [], [], 0
-
-            def settle():
-                chances = net.probabilities(np.concatenate(pending))
-                at = 0
-                for i, (windows, used) in zip(where, sizes):
-                    weight = np.full(windows, float(WINDOW))
-                    weight[-1] = used - WINDOW * (windows - 1)
-                    mean = weight @ chances[at:at + windows] / used
-                    at += windows
-                    best = int(mean.argmax())
-                    labels[i], scores[i] = net.labels[best], float(min(1.0, mean[best]))
-
-            for i, body in enumerate(frame[text]):
-                if net is None or not body or not LETTER.search(body):
-                    continue
-                windows = windows_of(body)
-                where.append(i)
-                pending.append(windows)
-                sizes.append((len(windows), len(body.lower().encode())))
-                held += len(windows)
-                if held >= 4 * CHUNK:
-                    settle()
-                    where, pending, sizes, held = [], [], [], 0
-            if where:
-                settle()
+            labels, scores = judged(sent.value, list(frame["body"]))
             yield frame.assign(lang_pred=labels, score=scores)
 
-    return base.mapInPandas(run, schema)
+    return rows.mapInPandas(run, rows.schema).select("lang_pred", "score", *restored(keep, text))
+
+
+def judged(network: Network | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Label and score of each text; windows of several texts are convolved together."""
+    labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    pending: list[tuple[int, np.ndarray, int]] = []
+
+    def settle() -> None:
+        chances = network.probabilities(np.concatenate([w for _, w, _ in pending]))
+        at = 0
+        for i, windows, used in pending:
+            weight = np.full(len(windows), float(WINDOW))
+            weight[-1] = used - WINDOW * (len(windows) - 1)
+            mean = weight @ chances[at:at + len(windows)] / used
+            at += len(windows)
+            best = int(mean.argmax())
+            labels[i], scores[i] = network.labels[best], float(min(1.0, mean[best]))
+
+    held = 0
+    for i, body in enumerate(texts):
+        if network is None or not body or not LETTER.search(body):
+            continue
+        windows, used = windows_of(body)
+        pending.append((i, windows, used))
+        held += len(windows)
+        if held >= 4 * CHUNK:
+            settle()
+            pending.clear()
+            held = 0
+    if pending:
+        settle()
+    return labels, scores

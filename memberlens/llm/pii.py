@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memberlens.llm.common import carried, column, restored
+
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -357,8 +359,8 @@ def added_spans(base: list[Span], label: np.ndarray, margin: np.ndarray) -> list
 def find(docs: DataFrame, tagger: Tagger | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, base and spans (base and added ones together) of every document; ``keep`` names columns to hand through."""
     sent = docs.sparkSession.sparkContext.broadcast(tagger)
-    carried = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), F.array().cast(SPANS).alias("base"), F.array().cast(SPANS).alias("spans"), *carried)
+    keep = tuple(c for c in keep if c != key)
+    rows = docs.select(column(key).alias("key"), column(text).alias("body"), F.array().cast(SPANS).alias("base"), F.array().cast(SPANS).alias("spans"), *carried(keep, text))
 
     def shown(spans: list[Span]) -> list[dict]:
         return [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans]
@@ -380,7 +382,7 @@ def find(docs: DataFrame, tagger: Tagger | None, key: str = "doc_id", text: str
             yield frame.assign(base=[shown(s) for s in base], spans=[shown(s) for s in both])
 
     out = rows.mapInPandas(run, rows.schema)
-    return out.select(F.col("key").alias(key), "base", "spans", *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])
+    return out.select(F.col("key").alias(key), "base", "spans", *restored(keep, text))
 
 
 def joined(spans):

@@ -92,7 +92,7 @@ FROM doc d LEFT JOIN word h USING (doc_id) LEFT JOIN owner o USING (doc_id)"""
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from three quarters of them."""
     docs = table(spark, folder, "documents")
-    found = language.predict(docs.select("doc_id", "text"), language.fit(docs))
+    found = language.predict(docs, language.fit(docs))
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
