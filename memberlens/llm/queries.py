@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memberlens.llm import decontamination, kdsearch, language, licenses, near_duplicates, packing, pii, sharding, tokenfile
+from memberlens.llm import decontamination, kdsearch, language, licenses, near_duplicates, packing, pii, repeats, sharding, tokenfile
 from memberlens.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,9 @@ WHERE rank <= 10"""
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licenses in every document."""
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What stays of every document without 100-byte strings that start earlier too."""
+    return repeats.digest(repeats.repeated_spans(table(spark, folder, "documents")))
