@@ -44,6 +44,12 @@ IP_REVENUE_CODES = [
     "0201", "0202", "0203", "0204", "0206", "0207", "0208", "0209", "0210", "0211", "0212", "0214", "0219",
 ]
 
+# Inpatient revenue codes of the member-month counts, in the published order.
+MONTH_IP_REVENUE_CODES = [
+    "0100", "0110", "0120", "0130", "0140", "0150", "0160", "0170", "0180", "0190", "0200", "0121", "0122", "0123", "0131",
+    "0132", "0133", "0141", "0142", "0143", "0151", "0152", "0153",
+]
+
 # Synonyms of the two admission kinds in free-text feeds.
 ED_SYNONYMS = ["ed", "emergency"]
 IP_SYNONYMS = ["ip", "inpatient", "in-patient"]
@@ -81,5 +87,4 @@ DAILY_DRUG_CLASSES = ["antipsychotic", "insulin", "oral_antidiab", "statin", "be
 MONTHLY_DRUG_CLASSES = ["insulin", "oral_antidiabetic", "beta_blocker", "opiate", "antipsych"]
 
 ADHERENT_AT = 0.8
-NOTE_LENGTH_LIMIT = 6000
 DEFAULT_RISK_SCORE = 1.5

@@ -217,6 +217,6 @@ def event_day_months(spine: DataFrame, lines: DataFrame) -> DataFrame:
     measures = [
         lb.MonthMeasure({f"{k}_events_in_month": (0, 0), f"{k}_events_last_3_months": (-2, 0),
                          f"{k}_events_last_3_6_months": (-5, -3)}, revenue.isin(listed), "days")
-        for k, listed in (("ed", codes.ED_REVENUE_CODES), ("ip", codes.IP_REVENUE_CODES))
+        for k, listed in (("ed", codes.ED_REVENUE_CODES), ("ip", codes.MONTH_IP_REVENUE_CODES))
     ]
     return lb.month_windows(spine, [(lines, "service_date", measures)])

@@ -21,14 +21,19 @@ from memberlens.functions.expr import as_col, available_from, day_number, month_
 class Measure:
     """What to take from the facts.
 
-    ``total`` adds ``value``, kept to ``scale`` decimals as a whole number so that sums are exact and fast; ``count``
-    counts rows where ``value`` is true, ``days`` counts distinct days with such a row.
+    ``total`` adds amounts as decimals with nine places and returns such a decimal, ``whole`` adds whole numbers;
+    ``count`` counts rows where ``value`` is true, ``days`` counts distinct days with such a row. A sum that does not fit
+    is an error, never a wrong value.
     """
 
     name: str
     value: Column
     kind: str = "total"
-    scale: int = 4
+
+
+#: Amounts as they are declared, and their sums.
+AMOUNT = "decimal(31,9)"
+AMOUNT_SUM = "decimal(38,9)"
 
 
 @dataclass(frozen=True)
@@ -45,13 +50,13 @@ class MonthMeasure:
     """One measure seen through several month windows.
 
     ``windows`` maps an output name to ``(first, last)``: months ``m + first`` to ``m + last`` around the spine month
-    ``m``. ``any`` gives 0/1, ``count`` the number of rows, ``days`` the number of distinct dates, ``total`` a sum.
+    ``m``. ``any`` gives 0/1, ``count`` the number of rows, ``days`` the number of distinct dates, ``total`` a sum of
+    decimal amounts and ``whole`` one of whole numbers.
     """
 
     windows: dict[str, tuple[int, int]]
     value: Column
     kind: str = "any"
-    scale: int = 4
 
 
 def member_days(events: DataFrame, key: str = "member_id", date: str = "event_date") -> DataFrame:
@@ -62,8 +67,9 @@ def member_days(events: DataFrame, key: str = "member_id", date: str = "event_da
 def _daily(measure: Measure | MonthMeasure) -> Column:
     """The measure within one day (or, for measures that add up, within one month)."""
     if measure.kind == "total":
-        # an overflow of the 64-bit sum is an error, never a wrong value
-        return F.sum(F.round(measure.value * F.lit(10**measure.scale)).cast("bigint"))
+        return F.sum(measure.value.cast(AMOUNT)).cast(AMOUNT_SUM)
+    if measure.kind == "whole":
+        return F.sum(measure.value.cast("bigint"))
     if measure.kind == "count":
         return F.count_if(measure.value)
     if measure.kind in ("days", "any"):
@@ -100,7 +106,7 @@ def day_lookback(anchors: DataFrame, facts: DataFrame, measures: Sequence[Measur
 
 def _whole(value: Column, measure: Measure | MonthMeasure) -> Column:
     filled = F.coalesce(value, F.lit(0))
-    return filled / F.lit(float(10**measure.scale)) if measure.kind == "total" else filled
+    return filled.cast(AMOUNT_SUM) if measure.kind == "total" else filled
 
 
 def _framed(marks: DataFrame, by_day: DataFrame, outputs: Sequence[tuple[str, Measure, int]], spans: Sequence[DaySpan],
@@ -144,7 +150,7 @@ def possession_ratio(anchors: DataFrame, fills: DataFrame, classes: dict[str, Co
     """Days of supply filled in the window divided by its length, per drug class and window."""
     usable = fills.where(F.col(supply) > 0)
     measures = [
-        Measure(f"mpr_{name}", F.when(hit, F.col(supply)).otherwise(0), scale=0) for name, hit in classes.items()
+        Measure(f"mpr_{name}", F.when(hit, F.col(supply)).otherwise(0), "whole") for name, hit in classes.items()
     ]
     out = day_lookback(anchors, usable, measures, [DaySpan(f"{n}d", n) for n in days], key, date, fact_date,
                        lag_months, lag_days)

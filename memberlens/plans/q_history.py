@@ -331,7 +331,7 @@ anchors AS (SELECT DISTINCT member_id, admit_date AS event_date FROM feed)"""
 
 @query("k7_lookback_7d", r.sql(FEED_LOOKBACK, body="""
 SELECT a.member_id, a.event_date,
-       CAST(COALESCE(SUM(CAST(f.value AS DECIMAL(18,4))), 0) AS DOUBLE) AS value_7d,
+       CAST(COALESCE(SUM(CAST(f.value AS DECIMAL(31,9))), 0) AS DOUBLE) AS value_7d,
        COUNT(*) FILTER (f.event_type = 'error') AS n_error_7d,
        COUNT(DISTINCT CASE WHEN f.event_type = 'error' THEN f.admit_date END) AS error_days_7d,
        COUNT(DISTINCT CASE WHEN f.event_type = 'purchase' THEN f.admit_date END) AS purchase_days_7d
@@ -344,7 +344,12 @@ def k7_feed(t):
     return lb.day_lookback(anchors, feed, [
         lb.Measure("value", F.col("value")), lb.Measure("n_error", kinds == "error", "count"),
         lb.Measure("error_days", kinds == "error", "days"), lb.Measure("purchase_days", kinds == "purchase", "days"),
-    ], [lb.DaySpan("7d", 7)], fact_date="admit_date", lag_days=2)
+    ], [lb.DaySpan("7d", 7)], fact_date="admit_date", lag_days=2).withColumn("value_7d", F.col("value_7d").cast("double"))
+
+
+def amounts_as_double(df):
+    """Sums are exact decimals; the comparison run takes doubles."""
+    return df.withColumns({c: F.col(c).cast("double") for c in df.columns if c.startswith("paid_sum")})
 
 
 CLAIM_LOOKBACK = r.CLAIMS + f""",
@@ -371,8 +376,8 @@ SELECT member_id, event_date,
 FROM joined GROUP BY 1, 2"""))
 def k7_claims(t):
     claims = r.claims(t)
-    return dy.claim_lookback(lb.member_days(claims, date="service_date").withColumnRenamed("service_date", "event_date"),
-                             claims, lag_months=4)
+    found = dy.claim_lookback(lb.member_days(claims, date="service_date").withColumnRenamed("service_date", "event_date"), claims, lag_months=4)
+    return amounts_as_double(found)
 
 
 @query("c9_range_join_days", r.sql(r.CLAIMS, body=f"""

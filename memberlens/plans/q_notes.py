@@ -80,23 +80,34 @@ def k42_objects(t):
                           size("population_baselines").alias("everywhere"))
 
 
+#: Cues that the generated texts do contain.
+QUERY_CUES = {
+    "Health": (["tion", "heing"], ["idiot", "stupid"]), "Program_Trust": (["thing"], ["loser", "scum"]), "Self": (["license"], ["worthless"]),
+    "Risk_Harm": (["token"], ["password"]), "Social_Stability": (["@mail"], ["+1 ("]), "Med_Adherence": (["der "], ["les "]),
+    "Care_Engagement": (["que", "user"], ["!!", "ung"]),
+}
+
+
 def _cue(words):
-    return " + ".join(f"(CASE WHEN CONTAINS(low, '{w.replace(chr(39), chr(39) * 2)}') THEN 1 ELSE 0 END)" for w in words)
+    return " + ".join(f"(CASE WHEN CONTAINS(low, '{w}') THEN 1 ELSE 0 END)" for w in words)
 
 
 TWO_PASS = NOTES + """,
-fit AS (SELECT *, LOWER(combined_notes) AS low, LENGTH(combined_notes) > 6000 AS big FROM notes),
-answers AS (""" + " UNION ALL ".join(
-    f"SELECT market, note_date, member_id, '{c}' AS category, {_cue(up)} AS up, {_cue(down)} AS down FROM fit WHERE NOT big" for c, (up, down) in nt.LEXICON.items()) + ")"
+fit AS (SELECT *, LOWER(combined_notes) AS low FROM notes),
+cues AS (""" + " UNION ALL ".join(
+    f"SELECT market, note_date, member_id, '{c}' AS category, {_cue(up)} AS up, {_cue(down)} AS down FROM fit" for c, (up, down) in QUERY_CUES.items()) + """),
+seeds AS (SELECT *, CASE WHEN up + down > 0 THEN GREATEST(1, LEAST(5, 3 + up - down)) END AS seed FROM cues),
+means AS (SELECT member_id, category, AVG(seed) AS own FROM seeds GROUP BY 1, 2)"""
 
 
 @query("k43_two_pass_scores", r.sql(TWO_PASS, body="""
-SELECT market, note_date, member_id, category, CASE WHEN up + down > 0 THEN GREATEST(1, LEAST(5, 3 + up - down)) END::BIGINT AS score,
-       (1 + LEAST(up + down, 4))::BIGINT AS confidence, 'PROCESSED' AS processing_status FROM answers
-UNION ALL SELECT market, note_date, member_id, c.name, NULL, NULL, 'SKIPPED_OVERSIZED' FROM fit CROSS JOIN (VALUES """
-    + ", ".join(f"('{c}')" for c in codes.NOTE_CATEGORIES) + ") c(name) WHERE big"))
+SELECT market, note_date, s.member_id, s.category,
+       CASE WHEN up + down = 1 THEN FLOOR((seed + own) / 2 + 0.5) ELSE seed END::BIGINT AS score,
+       (1 + LEAST(up + down, 4))::BIGINT AS confidence, 'PROCESSED' AS processing_status
+FROM seeds s JOIN means m ON m.member_id = s.member_id AND m.category = s.category"""))
 def k43(t):
-    return nt.two_pass_scores(notes(t)).select("market", "note_date", "member_id", "category", "score", "confidence", "processing_status")
+    scored = nt.two_pass_scores(notes(t), nt.lexicon_reply(QUERY_CUES), nt.informed_reply(QUERY_CUES))
+    return scored.select("market", "note_date", "member_id", "category", "score", "confidence", "processing_status")
 
 
 @query("k44_reply_parsing", """

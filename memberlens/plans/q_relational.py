@@ -507,7 +507,15 @@ def f1(t):
 
 
 VISITS = r.MAPPED + """,
-v AS (SELECT hcc_code, icd_code, icd_desc, place_of_service = '23' AS ed, place_of_service = '21' AS ip FROM mapped WHERE hcc_code IS NOT NULL AND place_of_service IN ('21', '23')),
+v AS (
+  SELECT hcc_code, icd_code, icd_desc,
+         place_of_service = '23' OR COALESCE(revenue_code IN ('0450', '0451', '0452', '0456', '0459', '0981'), FALSE) AS ed,
+         place_of_service = '21' OR COALESCE(revenue_code IN (
+           '0100', '0101', '0110', '0111', '0112', '0113', '0114', '0120', '0121', '0122', '0123', '0124', '0130', '0131', '0132', '0133',
+           '0134', '0140', '0141', '0142', '0143', '0144', '0150', '0151', '0152', '0153', '0154', '0160', '0164', '0170', '0171', '0172',
+           '0173', '0174', '0179', '0200', '0201', '0202', '0203', '0204', '0206', '0207', '0208', '0209', '0210', '0211', '0212', '0214',
+           '0219'), FALSE) AS ip
+  FROM mapped WHERE hcc_code IS NOT NULL AND (ed OR ip)),
 r1 AS (SELECT hcc_code, kind, ROW_NUMBER() OVER (PARTITION BY kind ORDER BY COUNT(*) DESC, hcc_code) AS rn
        FROM (SELECT hcc_code, 'ED' AS kind FROM v WHERE ed UNION ALL SELECT hcc_code, 'IP' FROM v WHERE ip) GROUP BY 1, 2),
 r2 AS (SELECT hcc_code, icd_code, icd_desc, COUNT(*) AS icd_count, ROW_NUMBER() OVER (PARTITION BY hcc_code ORDER BY COUNT(*) DESC, icd_code, icd_desc) AS rn
@@ -516,7 +524,12 @@ r2 AS (SELECT hcc_code, icd_code, icd_desc, COUNT(*) AS icd_count, ROW_NUMBER()
 
 def top_conditions(t):
     mapped = ev.mapped_diagnoses(r.diagnoses(t), r.code_map(t))
-    return tb.top_codes(mapped, {"ED": F.col("place_of_service") == "23", "IP": F.col("place_of_service") == "21"}, 5)
+    listed = lambda revenue: F.coalesce(F.col("revenue_code").isin(revenue), F.lit(False))
+    visits = {
+        "ED": (F.col("place_of_service") == codes.ED_PLACE) | listed(codes.ED_REVENUE_CODES),
+        "IP": (F.col("place_of_service") == codes.IP_PLACE) | listed(codes.IP_REVENUE_CODES),
+    }
+    return tb.top_codes(mapped, visits, 5)
 
 
 @query("f2_two_stage_top_k", r.sql(VISITS, body="SELECT hcc_code, icd_code, icd_desc, icd_count FROM r2 WHERE rn <= 5"))
@@ -616,7 +629,7 @@ def h5(t):
 
 @query("h6_truncate_flag", "SELECT doc_id, SUBSTRING(text, 1, 6000) AS short_text, LENGTH(text) > 6000 AS is_oversized FROM documents")
 def h6(t):
-    short, over = x.truncated("text", codes.NOTE_LENGTH_LIMIT)
+    short, over = x.truncated("text", 6000)
     return t.documents.select("doc_id", short.alias("short_text"), over.alias("is_oversized"))
 
 

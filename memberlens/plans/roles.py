@@ -67,7 +67,8 @@ def claims(t: Tables) -> DataFrame:
         "member_id", F.col("l_orderkey").alias("claim_id"), F.col("l_linenumber").alias("claim_line_number"),
         F.to_date("l_shipdate").alias("service_date"), F.to_date("l_shipdate").alias("service_end_date"),
         F.expr("CASE l_returnflag WHEN 'R' THEN '23' WHEN 'A' THEN '21' ELSE '11' END").alias("place_of_service"),
-        F.expr("CASE WHEN l_quantity < 5 THEN '0450' WHEN l_quantity >= 48 THEN '0120' "
+        F.expr("CASE WHEN l_quantity < 5 THEN '0450' WHEN l_quantity >= 48 THEN '0120' WHEN l_quantity = 47 THEN '0180' "
+               "WHEN l_quantity = 46 THEN '0190' WHEN l_quantity = 45 THEN '0101' WHEN l_quantity = 44 THEN '0219' "
                "WHEN l_linestatus = 'O' THEN '0300' END").alias("revenue_code"),
         F.expr("CASE WHEN l_linenumber <= 4 THEN concat('G', 9000 + l_linenumber) END").alias("hcpcs_code"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("paid_amount"),
@@ -81,7 +82,8 @@ claims AS (
   SELECT o_custkey AS member_id, l_orderkey AS claim_id, l_linenumber AS claim_line_number,
          CAST(l_shipdate AS DATE) AS service_date, CAST(l_shipdate AS DATE) AS service_end_date,
          CASE l_returnflag WHEN 'R' THEN '23' WHEN 'A' THEN '21' ELSE '11' END AS place_of_service,
-         CASE WHEN l_quantity < 5 THEN '0450' WHEN l_quantity >= 48 THEN '0120'
+         CASE WHEN l_quantity < 5 THEN '0450' WHEN l_quantity >= 48 THEN '0120' WHEN l_quantity = 47 THEN '0180'
+              WHEN l_quantity = 46 THEN '0190' WHEN l_quantity = 45 THEN '0101' WHEN l_quantity = 44 THEN '0219'
               WHEN l_linestatus = 'O' THEN '0300' END AS revenue_code,
          CASE WHEN l_linenumber <= 4 THEN 'G' || (9000 + l_linenumber) END AS hcpcs_code,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS paid_amount,

@@ -1,4 +1,5 @@
 import datetime as dt
+from decimal import Decimal
 import random
 
 import pytest
@@ -26,6 +27,8 @@ def brute(anchors, facts, oldest, newest, lag_months, lag_days):
 
 def measures():
     return [lb.Measure("v", F.col("v")), lb.Measure("n", F.col("hit"), "count"), lb.Measure("days", F.col("hit"), "days")]
+
+
 SCHEMA = "member_id long, event_date date, v double, hit boolean"
 
 
@@ -43,7 +46,7 @@ def test_lookback_equals_brute_force(spark, seed, lag_months, lag_days):
     for span in spans:
         want = brute(anchors, facts, span.oldest, span.newest, lag_months, lag_days)
         s = span.suffix
-        have = {k: (round(v, 4), n, c) for k, (v, n, c) in table(got, ["member_id", "event_date"], f"v_{s}", f"n_{s}", f"days_{s}").items()}
+        have = {k: (round(float(v), 4), n, c) for k, (v, n, c) in table(got, ["member_id", "event_date"], f"v_{s}", f"n_{s}", f"days_{s}").items()}
         assert have == want
 
 
@@ -91,8 +94,21 @@ def test_month_windows(spark):
         lb.MonthMeasure({"days3": (-2, 0)}, always, "days"), lb.MonthMeasure({"sum2": (-1, 0)}, F.col("v"), "total")])])
     have = table(got, ["member_id", "month"], "any_prev", "n3", "n_now", "days3", "sum2")
     assert have == {
-        (1, d("2024-01-01")): (1, 1, 2, 2, 9.0), (1, d("2024-02-01")): (1, 3, 1, 3, 12.0),
-        (1, d("2024-04-01")): (0, 3, 0, 1, 0.0), (2, d("2024-02-01")): (0, 0, 0, 0, 0.0)}
+        (1, d("2024-01-01")): (1, 1, 2, 2, 9), (1, d("2024-02-01")): (1, 3, 1, 3, 12),
+        (1, d("2024-04-01")): (0, 3, 0, 1, 0), (2, d("2024-02-01")): (0, 0, 0, 0, 0)}
+
+
+def test_amounts_keep_nine_decimals(spark):
+    day = F.lit("2024-01-02").cast("date")
+    facts = spark.range(1000).select(F.lit(1).alias("member_id"), day.alias("event_date"), F.lit("0.000040001").cast("decimal(31,9)").alias("v"))
+    anchors = spark.range(1).select(F.lit(1).alias("member_id"), F.date_add(day, 3).alias("event_date"))
+    for lag in (0, 1):
+        at = anchors.withColumn("event_date", F.date_add("event_date", 31 * lag))
+        got = lb.day_lookback(at, facts, [lb.Measure("v", F.col("v"))], [lb.DaySpan("90d", 90)], lag_months=lag).first()
+        assert got["v_90d"] == Decimal("0.040001000")
+    months = anchors.select("member_id", F.lit("2024-01-01").cast("date").alias("month"))
+    total = lb.month_windows(months, [(facts, "event_date", [lb.MonthMeasure({"paid": (0, 0)}, F.col("v"), "total")])]).first()
+    assert total["paid"] == Decimal("0.040001000")
 
 
 def test_first_followup(spark):
