@@ -54,11 +54,12 @@ def member_bucket(key: Column | str = "member_id", salt: str = "", buckets: int
 def member_split(df: DataFrame, shares: Mapping[str, float], key: str = "member_id", seed: str = "",
                  column: str = "split") -> DataFrame:
     """Assign all rows of a member to one split in the given shares (which add up to 1)."""
-    bucket, edge, rules = member_bucket(key, seed), 0.0, []
+    size = 2**32
+    bucket, edge, rules = member_bucket(key, seed, size), 0.0, []
     names = list(shares)
     for name in names[:-1]:
         edge += shares[name]
-        rules.append((bucket < round(edge * 100), name))
+        rules.append((bucket < round(edge * size), name))
     return df.withColumn(column, priority_label(rules, names[-1]) if rules else F.lit(names[-1]))
 
 

@@ -228,6 +228,27 @@ def combined_signal(events: DataFrame) -> DataFrame:
         *[F.max(flag(on_claim & (F.col(c) > 0))).alias(c) for c in THEME_COLUMNS])
 
 
+def line_signal(lines: DataFrame, mapped: DataFrame, fills: DataFrame | None = None) -> DataFrame:
+    """The combined signal of claim lines and fills, straight from the lines.
+
+    Flags are all that is needed, so the event shape is never built: a line gets its claim's conditions and counts if it
+    would give an event (a diagnosed claim, a revenue or a procedure code); days with fills alone hold zeros.
+    """
+    rolled = diagnosis_rollup(mapped).select("member_id", "claim_id", *THEME_COLUMNS, F.lit(True).alias("_diagnosed"))
+    seen = lines.join(rolled, ["member_id", "claim_id"], "left").where(
+        F.col("_diagnosed") | F.col("revenue_code").isNotNull() | F.col("hcpcs_code").isNotNull())
+    days = seen.select(
+        "member_id", F.coalesce("service_date", "service_end_date").alias("event_date"),
+        flag(is_ed_line("place_of_service", "revenue_code")).alias("any_ed_on_date"),
+        flag(is_ip_line("place_of_service", "revenue_code")).alias("any_ip_on_date"),
+        *[flag(F.coalesce(F.col(c), F.lit(0)) > 0).alias(c) for c in THEME_COLUMNS])
+    names = days.columns[2:]
+    if fills is not None:
+        filled = fills.where(F.col("filled_date").isNotNull() & (F.col("days_supply") > 0))
+        days = days.unionByName(filled.select("member_id", F.col("filled_date").alias("event_date"), *[F.lit(0).alias(c) for c in names]))
+    return days.groupBy("member_id", "event_date").agg(*[F.max(c).alias(c) for c in names])
+
+
 def joined_signals(daily: DataFrame, diagnosis: DataFrame) -> DataFrame:
     """Member-days of either signal when the two come from different logs."""
     return full_outer(daily, diagnosis, ["member_id", "event_date"])

@@ -29,6 +29,16 @@ def claim_log(t):
     ])
 
 
+def full_log(t):
+    """One log of all feeds: claims, fills, admissions and scored notes."""
+    lines = r.claims(t)
+    mapped = ev.mapped_diagnoses(r.diagnoses(t), r.code_map(t))
+    return ev.event_log([
+        ev.diagnosis_events(lines, mapped), ev.line_events(lines), ev.fill_events(r.fills(t)),
+        ev.admission_events(r.feed(t), "ADT", "adt"), ev.note_events(r.note_scores(t)),
+    ])
+
+
 def feed_log(t):
     """Admissions and scored notes from the events feed, in the common shape."""
     return ev.event_log([
@@ -74,16 +84,33 @@ log AS (
   FROM fills WHERE days_supply > 0)""" % {"ed": ED, "ip": IP}
 
 
-@query("k1_event_log", r.sql(LOG, body="""
+FULL_LOG = LOG + """,
+feed AS (
+  SELECT user_id AS member_id, CAST(ts AS DATE) AS admit_date, event_type, value,
+         CASE event_type WHEN 'error' THEN 'ED' WHEN 'purchase' THEN 'Inpatient' ELSE event_type END AS setting,
+         CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+  FROM events),
+full_log AS (
+  SELECT *, CAST(NULL AS BIGINT) AS score FROM log
+  UNION ALL
+  SELECT member_id, admit_date, 'ADT', setting, LOWER(setting) IN ('ed', 'emergency'), LOWER(setting) IN ('ip', 'inpatient', 'in-patient'),
+         NULL, NULL, NULL, NULL, NULL, NULL FROM feed
+  UNION ALL
+  SELECT member_id, admit_date, 'CARE_NOTE',
+         (['HEALTH', 'PROGRAM_TRUST', 'SELF', 'RISK_HARM', 'SOCIAL_STABILITY', 'MED_ADHERENCE', 'CARE_ENGAGEMENT'])[k % 7 + 1],
+         FALSE, FALSE, NULL, NULL, NULL, NULL, NULL, CAST(k % 5 + 1 AS BIGINT) FROM feed)"""
+
+
+@query("k1_event_log", r.sql(FULL_LOG, body="""
 SELECT event_type, code, COUNT(*) AS n, MIN(event_date) AS first_date, MAX(event_date) AS last_date,
        COUNT(*) FILTER (is_ed_event) AS n_ed, COUNT(*) FILTER (is_ip_event) AS n_ip,
-       CAST(SUM(paid_amount) AS DOUBLE) AS paid, COUNT(DISTINCT member_id) AS members
-FROM log GROUP BY event_type, code"""))
+       CAST(SUM(paid_amount) AS DOUBLE) AS paid, SUM(score)::BIGINT AS score, COUNT(DISTINCT member_id) AS members
+FROM full_log GROUP BY event_type, code"""))
 def k1(t):
-    return claim_log(t).groupBy("event_type", "code").agg(
+    return full_log(t).groupBy("event_type", "code").agg(
         F.count("*").alias("n"), F.min("event_date").alias("first_date"), F.max("event_date").alias("last_date"),
         F.count_if("is_ed_event").alias("n_ed"), F.count_if("is_ip_event").alias("n_ip"),
-        F.sum("paid_amount").cast("double").alias("paid"), F.count_distinct("member_id").alias("members"),
+        F.sum("paid_amount").cast("double").alias("paid"), F.sum("score").alias("score"), F.count_distinct("member_id").alias("members"),
     )
 
 
@@ -135,7 +162,7 @@ signal AS (
 
 
 def claim_signal(t):
-    return ev.combined_signal(claim_log(t))
+    return ev.line_signal(r.claims(t), ev.mapped_diagnoses(r.diagnoses(t), r.code_map(t)), r.fills(t))
 
 
 @query("k4_joined_signals", r.sql(CLAIM_SIGNAL, FEED_DAILY, body="""
@@ -166,6 +193,26 @@ ROW_FRAME = "PARTITION BY member_id ORDER BY event_date ROWS BETWEEN 1 FOLLOWING
 KEYS = "member_id, event_date, "
 
 
+@query("k4_signal_of_log", r.sql(CLAIM_SIGNAL, body="SELECT * FROM signal"))
+def k4_log(t):
+    """The same days drawn from the finished log."""
+    days = ev.combined_signal(claim_log(t))
+    return days.select("member_id", "event_date", "any_ed_on_date", "any_ip_on_date", "has_hiv", "has_diabetes", "has_smi")
+
+
+@query("k1_labelled_events", r.sql(CLAIM_SIGNAL, r.MEMBERS, body=f"""
+, labels AS (SELECT {KEYS}{_label_sql((30,), DAY_FRAME)} FROM signal)
+SELECT event_type, market, COUNT(*) AS n, SUM(y_ed_30d)::BIGINT AS y_ed, SUM(y_ip_30d)::BIGINT AS y_ip, SUM(y_any_30d)::BIGINT AS y_any
+FROM log JOIN members USING (member_id) LEFT JOIN labels USING (member_id, event_date)
+WHERE market IS NOT NULL GROUP BY event_type, market"""))
+def k1_labelled(t):
+    members = ev.cohort(r.members(t), None, F.lit(ASOF).cast("date"))
+    log = stored(claim_log(t), "event-log")
+    events = ev.labelled_events(log, members, ev.day_labels(ev.combined_signal(log), (30,)))
+    return events.groupBy("event_type", "market").agg(
+        F.count("*").alias("n"), F.sum("y_ed_30d").alias("y_ed"), F.sum("y_ip_30d").alias("y_ip"), F.sum("y_any_30d").alias("y_any"))
+
+
 @query("k5_day_labels_30_60_90", r.sql(CLAIM_SIGNAL, body=f"SELECT {KEYS}{_label_sql((30, 60, 90), DAY_FRAME)} FROM signal"))
 def k5(t):
     labels = ev.day_labels(claim_signal(t), (30, 60, 90))
@@ -575,12 +622,12 @@ def c13(t):
 def chain_days(t):
     members = ev.cohort(r.members(t), None, F.lit(ASOF).cast("date")).select(
         "member_id", "market", "dob", "gender", "engagement_group", "normalized_coverage", "months_since_batched")
-    log = stored(claim_log(t), "event-log", ["event_type"])
+    log = stored(full_log(t), "event-log", ["event_type"])
     return stages.member_days(log, r.fills(t), members)
 
 
-CHAIN = CLAIM_SIGNAL + """,
-idx AS (SELECT DISTINCT member_id, event_date FROM log),
+CHAIN = FULL_LOG + """,
+idx AS (SELECT DISTINCT member_id, event_date FROM full_log),
 look AS (
   SELECT i.member_id, i.event_date, CAST(COALESCE(SUM(paid_amount), 0) AS DOUBLE) AS paid_sum_180d,
          COUNT(DISTINCT CASE WHEN is_ed_event THEN c.event_date END) AS cnt_ed_visits_180d,
@@ -591,20 +638,43 @@ look AS (
   GROUP BY 1, 2),
 mpr AS (
   SELECT i.member_id, i.event_date, COALESCE(SUM(CASE WHEN drug_type = 'ECONOMY' THEN days_supply END), 0) / 180.0::DOUBLE AS mpr_insulin_180d,
-         COUNT(*) FILTER (drug_type = 'LARGE') AS cnt_fills_opioid_180d
+         COUNT(*) FILTER (drug_type = 'LARGE') AS cnt_fills_opioid_180d,
+         COALESCE(SUM(CASE WHEN drug_type = 'SMALL' AND f.filled_date >= i.event_date - 90 THEN days_supply END), 0) / 90.0::DOUBLE AS mpr_antipsychotic_90d
   FROM idx i LEFT JOIN fills f ON f.member_id = i.member_id AND f.days_supply > 0 AND f.filled_date < i.event_date
    AND f.filled_date >= i.event_date - 180 AND f.filled_date <= CAST(i.event_date - INTERVAL 2 MONTH AS DATE)
   GROUP BY 1, 2),
+adt AS (
+  SELECT i.member_id, i.event_date, COUNT(DISTINCT CASE WHEN setting = 'ED' THEN admit_date END) AS cnt_ed_adt_180d,
+         COUNT(DISTINCT CASE WHEN setting = 'Inpatient' AND admit_date >= i.event_date - 90 THEN admit_date END) AS cnt_ip_adt_90d
+  FROM idx i LEFT JOIN feed f ON f.member_id = i.member_id AND f.admit_date BETWEEN i.event_date - 180 AND i.event_date - 1 GROUP BY 1, 2),
+note_day AS (
+  SELECT member_id, event_date, MAX(CASE WHEN code = 'HEALTH' THEN score END) AS note_health_score,
+         MAX(CASE WHEN code = 'MED_ADHERENCE' THEN score END) AS note_med_adherence_score
+  FROM full_log WHERE event_type = 'CARE_NOTE' GROUP BY 1, 2),
+full_daily AS (
+  SELECT member_id, event_date, MAX(CASE WHEN is_ed_event THEN 1 ELSE 0 END) AS any_ed_on_date,
+         MAX(CASE WHEN is_ip_event THEN 1 ELSE 0 END) AS any_ip_on_date FROM full_log GROUP BY 1, 2),
+day_label AS (SELECT """ + KEYS + _label_sql((30, 60, 90), DAY_FRAME) + """ FROM full_daily),
+wide AS (
+  SELECT l.member_id, l.event_date, paid_sum_180d, cnt_ed_visits_180d + cnt_ed_adt_180d AS cnt_ed_visits_180d, cnt_ip_adt_90d,
+         cnt_hcc_diabetes_180d, cnt_any_hcc_180d, cnt_outpatient_90_180d, ROUND(mpr_insulin_180d, 9) AS mpr_insulin_180d,
+         cnt_fills_opioid_180d, m.market, note_health_score, COALESCE(y_ed_30d, 0) AS y_ed_30d, COALESCE(y_ip_60d, 0) AS y_ip_60d,
+         COALESCE(y_any_90d, 0) AS y_any_90d,
+         CASE WHEN note_med_adherence_score > 3 AND mpr_antipsychotic_90d < 0.2 THEN 1 ELSE 0 END AS doubtful
+  FROM look l JOIN mpr USING (member_id, event_date) JOIN adt USING (member_id, event_date) JOIN members m ON m.member_id = l.member_id
+  LEFT JOIN note_day USING (member_id, event_date) LEFT JOIN day_label USING (member_id, event_date)
+  WHERE m.market IS NOT NULL),
 chain AS (
-  SELECT l.*, ROUND(mpr_insulin_180d, 9) AS mpr_insulin_180d, cnt_fills_opioid_180d, m.market
-  FROM look l JOIN mpr USING (member_id, event_date) JOIN members m ON m.member_id = l.member_id)"""
+  SELECT * EXCLUDE (doubtful), MAX(doubtful) OVER (PARTITION BY member_id ORDER BY event_date
+    RANGE BETWEEN INTERVAL 60 DAY PRECEDING AND CURRENT ROW) AS inconsistency_med_noncompliance FROM wide)"""
 
 
 @query("k7_event_log_chain", r.sql(r.MEMBERS, CHAIN, body="SELECT * FROM chain"))
 def k7_chain(t):
     return chain_days(t).select(
-        "member_id", "event_date", "paid_sum_180d", "cnt_ed_visits_180d", "cnt_hcc_diabetes_180d", "cnt_any_hcc_180d", "cnt_outpatient_90_180d",
-        F.round("mpr_insulin_180d", 9).alias("mpr_insulin_180d"), "cnt_fills_opioid_180d", "market")
+        "member_id", "event_date", F.col("paid_sum_180d").cast("double").alias("paid_sum_180d"), "cnt_ed_visits_180d", "cnt_ip_adt_90d",
+        "cnt_hcc_diabetes_180d", "cnt_any_hcc_180d", "cnt_outpatient_90_180d", F.round("mpr_insulin_180d", 9).alias("mpr_insulin_180d"),
+        "cnt_fills_opioid_180d", "market", "note_health_score", "y_ed_30d", "y_ip_60d", "y_any_90d", "inconsistency_med_noncompliance")
 
 
 @query("k11_modelling_rows")

@@ -699,7 +699,7 @@ def h14(t):
 
 # ---- K: cohort splits, extraction, areas ---------------------------------------------------------------
 
-BUCKET = "CAST('0x' || SUBSTR(MD5(o_custkey::VARCHAR), 1, 8) AS BIGINT) % 100"
+BUCKET = "CAST('0x' || SUBSTR(MD5(o_custkey::VARCHAR), 1, 8) AS BIGINT) / 4294967296.0 * 100"
 
 
 @query("k37_dataset_variants", """
