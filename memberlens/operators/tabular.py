@@ -78,15 +78,34 @@ def mean_of_member_max(df: DataFrame, values: Sequence[str], key: str = "member_
     return df.groupBy(key).agg(*[F.max(v).alias(v) for v in values]).agg(*[F.avg(v).alias(f"avg_member_{v}") for v in values])
 
 
-def ordered_text(df: DataFrame, by: Sequence[str], text: str, name: str, separator: str = " ", unique: bool = False) -> DataFrame:
+def ordered_text(df: DataFrame, by: Sequence[str], text: str, name: str, separator: str = " ", unique: bool = False,
+                 count: str | None = None) -> DataFrame:
     """Texts of a group joined in text order; NULL counts as empty. ``unique`` keeps one of each repeated text.
 
-    The result is one string per group, so what a group holds is bounded by what a string value can hold. Repeats are
-    dropped before the shuffle, in the same aggregate.
+    Repeats are counted before the shuffle, so a group meets as its distinct texts; the one string, whose size bounds what a
+    group can hold, is built in the last step. ``count`` adds the number of rows.
     """
-    value = F.coalesce(F.col(text), F.lit(""))
-    texts = F.collect_set(value) if unique else F.collect_list(value)
-    return df.groupBy(*by).agg(F.array_join(F.array_sort(texts), separator).alias(name))
+    per_text = df.groupBy(*by, F.coalesce(F.col(text), F.lit("")).alias("_text")).agg(F.count("*").alias("_n"))
+    parts = F.array_sort(F.collect_list(F.struct("_text", "_n")))
+    texts = F.transform(parts, lambda p: p["_text"] if unique else F.array_join(F.array_repeat(p["_text"], p["_n"].cast("int")), separator))
+    counted = [F.sum("_n").alias(count)] if count else []
+    return per_text.groupBy(*by).agg(F.array_join(texts, separator).alias(name), *counted)
+
+
+def conditional_distinct(df: DataFrame, by: Sequence[str], counts: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """Distinct values under a condition, several of them per group.
+
+    Rows that meet no condition leave first, each measure is reduced to its distinct values before the shuffle, and the
+    counts are plain sums; rows are never expanded once per measure.
+    """
+    parts = [
+        df.where(condition & value.isNotNull()).select(*by, value.alias("_v")).distinct().groupBy(*by).agg(F.count("*").alias(name))
+        for name, (condition, value) in counts.items()
+    ]
+    out = df.select(*by).distinct()
+    for part in parts:
+        out = out.join(part, list(by), "left")
+    return out.select(*by, *[F.coalesce(name, F.lit(0)).alias(name) for name in counts])
 
 
 def as_map(df: DataFrame, by: Sequence[str], key: str, value: str, name: str) -> DataFrame:

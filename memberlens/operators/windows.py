@@ -136,6 +136,20 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], descending:
     )
 
 
+def ranked_in_groups(df: DataFrame, groups: Sequence[str], value: str, ties: Sequence[str], rank: str) -> DataFrame:
+    """Row numbers from the largest ``value`` down, for few large groups.
+
+    Rows of one value are numbered among themselves, and the rows of larger values in the group are a running total over
+    the distinct values, which are far fewer than rows; no task sorts a whole group.
+    """
+    counts = df.groupBy(*groups, value).agg(F.count("*").alias("_rows"))
+    larger = W.partitionBy(*groups).orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select(*groups, value, F.coalesce(F.sum("_rows").over(larger), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*groups, value).orderBy(*ties))
+    return df.withColumn("_inside", inside).join(before, [*groups, value]).select(
+        *df.columns, (F.col("_before") + F.col("_inside")).cast("int").alias(rank))
+
+
 def cumulative_share(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
     """Distinct values with the share of rows at or below each (the cumulative distribution)."""
     counts = df.where(F.col(order).isNotNull()).groupBy(order).agg(F.count("*").alias("n"))

@@ -359,8 +359,7 @@ SELECT place_of_service, provider_id, n, CAST(rn AS INTEGER) AS rn FROM (
   FROM claims GROUP BY 1, 2)"""))
 def e9(t):
     counts = r.claims(t).groupBy("place_of_service", "provider_id").agg(F.count("*").alias("n"))
-    w = wn.W.partitionBy("place_of_service").orderBy(F.desc("n"), "provider_id")
-    return counts.withColumn("rn", F.row_number().over(w))
+    return wn.ranked_in_groups(counts, ["place_of_service"], "n", ["provider_id"], "rn")
 
 
 @query("e10_cumulative_distribution", """

@@ -214,9 +214,9 @@ def l16(t):
     return at.global_factors(explained(t), FEATURES)
 
 
-@query("l17_background_sample", "SELECT c_custkey, c_acctbal FROM customer ORDER BY MD5(c_custkey || ':42'), c_custkey LIMIT 1000")
+@query("l17_background_sample", "SELECT c_custkey, c_acctbal FROM customer WHERE CAST('0x' || SUBSTR(MD5(c_custkey || ':42'), 1, 8) AS BIGINT) < 429496730")
 def l17(t):
-    return at.background_sample(t.customer.select("c_custkey", "c_acctbal"), 1000, "c_custkey")
+    return at.background_sample(t.customer.select("c_custkey", "c_acctbal"), 0.1, "c_custkey")
 
 
 @query("l18_ranked_weights")

@@ -57,8 +57,8 @@ def m5(t):
 
 
 @query("m6_constant_features", """
-SELECT 'l_quantity' AS column_name, ROUND(STDDEV_SAMP(l_quantity), 6) AS deviation, FALSE AS is_constant FROM lineitem
-UNION ALL SELECT 'always_one', 0.0::DOUBLE, TRUE FROM lineitem GROUP BY 1""")
+SELECT column_name, ROUND(STDDEV_SAMP(v), 6) AS deviation, COALESCE(STDDEV_SAMP(v), 0) = 0 AS is_constant
+FROM (SELECT 'l_quantity' AS column_name, l_quantity AS v FROM lineitem UNION ALL SELECT 'always_one', 1.0 FROM lineitem) GROUP BY 1""")
 def m6(t):
     out = ql.constant_features(t.lineitem.select("l_quantity", F.lit(1.0).alias("always_one")), ["l_quantity", "always_one"])
     return out.withColumn("deviation", F.round("deviation", 6))
@@ -121,11 +121,44 @@ def m11_flags(t):
         "auto_members": (products, F.col("is_auto") == 1)})
 
 
-@query("m12_suite", """
-WITH d AS (SELECT COUNT(*) AS n FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1)), o AS (SELECT COUNT(DISTINCT o_orderstatus) AS n FROM orders)
-SELECT 'duplicate_keys' AS "check", 'OK' AS status, 0::BIGINT AS n_findings FROM events WHERE event_id = (SELECT MIN(event_id) FROM events)
-UNION ALL SELECT 'null_keys', 'OK', 0 FROM d UNION ALL SELECT 'invalid_labels', 'OK', 0 FROM d UNION ALL SELECT 'null_labels', 'OK', 0 FROM d UNION ALL SELECT 'future_dates', 'OK', 0 FROM d
-UNION ALL SELECT 'line_keys', CASE WHEN n = 0 THEN 'OK' ELSE 'ISSUES FOUND' END, n FROM d UNION ALL SELECT 'statuses', 'INFO', n FROM o""")
+BROKEN = """, broken AS (
+  SELECT CASE WHEN member_id % 50 = 0 THEN NULL ELSE member_id END AS member_id, event_date, CASE WHEN member_id % 40 = 1 THEN 7 ELSE y_any_7d END AS y_any_7d,
+         CASE WHEN member_id % 30 = 2 THEN NULL ELSE y_ed_7d END AS y_ed_7d FROM day_table
+  UNION ALL SELECT member_id, event_date, y_any_7d, y_ed_7d FROM day_table WHERE member_id % 60 = 3)"""
+
+
+def broken_days(t):
+    """Member-days with missing keys, odd and missing labels and repeated rows, all by rule."""
+    member = F.col("member_id")
+    whole = days(t).select("member_id", "event_date", "y_any_7d", "y_ed_7d")
+    spoilt = whole.select(
+        F.when(member % 50 != 0, member).alias("member_id"), "event_date",
+        F.when(member % 40 == 1, 7).otherwise(F.col("y_any_7d")).alias("y_any_7d"), F.when(member % 30 != 2, F.col("y_ed_7d")).alias("y_ed_7d"))
+    return spoilt.unionByName(whole.where(member % 60 == 3))
+
+
+@query("m12_suite_of_broken_days", member_day_sql(BROKEN + """
+, found AS (
+  SELECT 'null_keys' AS "check", COUNT(*) FILTER (member_id IS NULL OR event_date IS NULL) AS n FROM broken UNION ALL
+  SELECT 'null_labels', COUNT(*) FILTER (y_any_7d IS NULL OR y_ed_7d IS NULL) FROM broken UNION ALL
+  SELECT 'invalid_labels', COUNT(*) FILTER (COALESCE(y_any_7d, 0) NOT IN (0, 1) OR COALESCE(y_ed_7d, 0) NOT IN (0, 1)) FROM broken UNION ALL
+  SELECT 'future_dates', COUNT(*) FILTER (event_date > DATE '2024-01-15') FROM broken UNION ALL
+  SELECT 'duplicate_keys', COUNT(*) FROM (SELECT member_id, event_date FROM broken GROUP BY 1, 2 HAVING COUNT(*) > 1))
+SELECT "check", CASE WHEN n = 0 THEN 'OK' ELSE 'ISSUES FOUND' END AS status, n AS n_findings FROM found"""))
+def m12_broken(t):
+    return ql.member_day_suite(broken_days(t), ["y_any_7d", "y_ed_7d"], asof="2024-01-15")
+
+
+@query("m12_suite", member_day_sql("""
+, d AS (SELECT COUNT(*) AS n FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1)), o AS (SELECT COUNT(DISTINCT o_orderstatus) AS n FROM orders),
+found AS (
+  SELECT 'null_keys' AS "check", COUNT(*) FILTER (member_id IS NULL OR event_date IS NULL) AS n FROM day_table UNION ALL
+  SELECT 'null_labels', COUNT(*) FILTER (y_any_7d IS NULL OR y_ed_7d IS NULL OR y_ip_7d IS NULL OR y_any_14d IS NULL) FROM day_table UNION ALL
+  SELECT 'invalid_labels', COUNT(*) FILTER (y_any_7d NOT IN (0, 1) OR y_ed_7d NOT IN (0, 1) OR y_ip_7d NOT IN (0, 1) OR y_any_14d NOT IN (0, 1)) FROM day_table UNION ALL
+  SELECT 'future_dates', COUNT(*) FILTER (event_date > DATE '2024-12-31') FROM day_table UNION ALL
+  SELECT 'duplicate_keys', COUNT(*) FROM (SELECT member_id, event_date FROM day_table GROUP BY 1, 2 HAVING COUNT(*) > 1) UNION ALL
+  SELECT 'line_keys', n FROM d UNION ALL SELECT 'statuses', n FROM o)
+SELECT "check", CASE WHEN "check" = 'statuses' THEN 'INFO' WHEN n = 0 THEN 'OK' ELSE 'ISSUES FOUND' END AS status, n AS n_findings FROM found"""))
 def m12(t):
     others = ql.run_suite([
         ql.Check("line_keys", tb.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"])),

@@ -11,8 +11,8 @@ from memberlens.operators import cohort as co
 from memberlens.operators import eventlog as ev
 from memberlens.operators import tabular as tb
 from memberlens.plans import roles as r
-from memberlens.plans.registry import TABLE_NAMES, query
-from memberlens.session import shared_dir
+from memberlens.plans.registry import query
+from memberlens.session import run_folder, shared_dir
 from memberlens.sources import tables as src
 
 DEC = "decimal(18,2)"
@@ -50,7 +50,7 @@ def a3(t):
 @query("a4_csv_numeric", """
 SELECT s_suppkey, TRY_CAST(s_name AS DOUBLE) AS name_number, s_acctbal FROM supplier""")
 def a4(t):
-    folder = f"{shared_dir(t.spark)}/csv-{t.folder.strip('/').replace('/', '-')}"
+    folder = run_folder(t.spark, "csv")
     src.write_report(t.supplier.select(F.col("s_suppkey").cast("string").alias("s_suppkey"), F.col("s_name").alias("name_number"), "s_acctbal"), folder)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("s_suppkey", "name_number", "s_acctbal")])
     back = src.read_csv_numeric(t.spark, folder, ["name_number", "s_acctbal"], schema)
@@ -60,14 +60,14 @@ def a4(t):
 @query("a5_cached_result", """
 SELECT o_custkey, COUNT(*) AS n_orders, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent FROM orders GROUP BY 1""")
 def a5(t):
-    folder = f"{shared_dir(t.spark)}/cache-{t.folder.strip('/').replace('/', '-')}"
+    folder = f"{shared_dir(t.spark)}/orders-by-customer-{src.fingerprint(t.orders)}"  # another copy for other files
     return src.cached(t.spark, folder, lambda: t.orders.groupBy("o_custkey").agg(
         F.count("*").alias("n_orders"), money("o_totalprice").alias("spent")))
 
 
 @query("a6_replace_table", "SELECT event_type, event_id, user_id FROM events")
 def a6(t):
-    folder = f"{shared_dir(t.spark)}/table-{t.folder.strip('/').replace('/', '-')}"
+    folder = run_folder(t.spark, "table")
     src.replace_table(t.events.select("event_type", "event_id", "user_id"), folder, ["event_type"])
     return t.spark.read.parquet(folder).select("event_type", "event_id", "user_id")
 
@@ -76,7 +76,7 @@ def a6(t):
 SELECT CAST(o_custkey AS VARCHAR) AS member_id, CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS month, COUNT(*)::INTEGER AS n FROM orders GROUP BY 1, 2""")
 def a7(t):
     schema = T.StructType([T.StructField("member_id", T.StringType()), T.StructField("month", T.DateType()), T.StructField("n", T.IntegerType())])
-    folder = f"{shared_dir(t.spark)}/declared-{t.folder.strip('/').replace('/', '-')}"
+    folder = run_folder(t.spark, "declared")
     counted = t.orders.groupBy("o_custkey", F.trunc("o_orderdate", "MONTH").alias("month")).agg(F.count("*").alias("n")).select(
         F.col("n").cast("int").alias("n"), F.col("o_custkey").cast("string").alias("member_id"), "month")
     t.spark.createDataFrame([], schema).write.mode("overwrite").parquet(folder)
@@ -100,7 +100,7 @@ def a9(t):
 @query("a10_report_sinks", "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY 1")
 def a10(t):
     report = t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-    folder = f"{shared_dir(t.spark)}/report-{t.folder.strip('/').replace('/', '-')}"
+    folder = run_folder(t.spark, "report")
     src.write_report(report, folder + "-json", "json")
     src.write_report(report, folder + "-csv", "csv")
     as_json = t.spark.read.schema("o_orderstatus string, n long").json(folder + "-json")
@@ -108,11 +108,6 @@ def a10(t):
     return as_json.intersect(as_csv)
 
 
-@query("a11_schema_catalogue")
-def a11(t):
-    return src.schema_catalogue({n: getattr(t, n) for n in TABLE_NAMES})
-
-
 # ---- B: projections and predicates ---------------------------------------------------------------------
 
 @query("b1_cohort_filter", r.sql(r.MEMBERS, body="""
@@ -405,9 +400,9 @@ def d3(t):
 @query("d4_conditional_distinct", r.sql(r.CLAIMS, body="""
 SELECT member_id, COUNT(DISTINCT CASE WHEN place_of_service = '23' THEN service_date END) AS ed_days, COUNT(DISTINCT CASE WHEN place_of_service = '21' THEN provider_id END) AS ip_providers FROM claims GROUP BY 1"""))
 def d4(t):
-    return r.claims(t).groupBy("member_id").agg(
-        F.count_distinct(F.when(F.col("place_of_service") == "23", F.col("service_date"))).alias("ed_days"),
-        F.count_distinct(F.when(F.col("place_of_service") == "21", F.col("provider_id"))).alias("ip_providers"))
+    claims, place = r.claims(t), F.col("place_of_service")
+    return tb.conditional_distinct(claims, ["member_id"], {
+        "ed_days": (place == "23", F.col("service_date")), "ip_providers": (place == "21", F.col("provider_id"))})
 
 
 @query("d6_first_date", """
@@ -431,8 +426,7 @@ def d8(t):
 
 @query("d9_ordered_text", "SELECT conv_id, STRING_AGG(COALESCE(role, ''), ' ' ORDER BY role) AS roles, COUNT(*) AS n FROM conversations GROUP BY 1")
 def d9(t):
-    counts = t.conversations.groupBy("conv_id").agg(F.count("*").alias("n"))
-    return tb.ordered_text(t.conversations, ["conv_id"], "role", "roles").join(counts, "conv_id")
+    return tb.ordered_text(t.conversations, ["conv_id"], "role", "roles", count="n")
 
 
 @query("d10_distinct_array", "SELECT l_orderkey, ARRAY_TO_STRING(LIST_SORT(ARRAY_AGG(DISTINCT l_suppkey)), ',') AS suppliers FROM lineitem GROUP BY 1")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from datetime import datetime, timedelta
 from functools import reduce
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from memberlens.session import shared_dir
+from memberlens.session import run_folder
 
 
 def scan(spark: SparkSession, name: str) -> DataFrame:
@@ -67,6 +66,14 @@ def cache_age(spark: SparkSession, path: str) -> datetime | None:
     return files.agg(F.max("file_modification_time")).first()[0]
 
 
+def fingerprint(df: DataFrame) -> str:
+    """Of the files a frame reads: changes when a file is added, removed, replaced or resized."""
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    each = F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(20,0)")
+    total = files.agg(F.count("*").alias("n"), F.sum(each).alias("t")).first()
+    return f"{total['n']}-{int(total['t'] or 0) & (1 << 64) - 1:016x}"
+
+
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], now: datetime | None = None,
            hours: float = 24, force: bool = False) -> DataFrame:
     """The parquet copy at ``path`` while it is fresh, else a rebuilt one.
@@ -89,13 +96,13 @@ def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 
 
 def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write a stage to the shared folder and read it back.
+    """Write a stage to the shared folder, under a name of its own, and read it back.
 
     What follows starts from the files: a long lineage ends here, a lost executor re-reads instead of recomputing, and
     later scans take only the columns and partitions they need.
     """
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = run_folder(spark, name)
     replace_table(df, folder, partition_by)
     return spark.read.schema(df.schema).parquet(folder).select(*df.columns)
 

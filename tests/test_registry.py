@@ -5,11 +5,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from memberlens.plans import catalogue
 from memberlens.plans.registry import TABLE_NAMES
 from tools.check_oracle import rows_of
 
 ROWS_ONLY = {
-    "a11_schema_catalogue", "d13_approximate_distinct", "k11_modelling_rows", "l1_logistic_weights", "l2_boosted_importances",
+    "d13_approximate_distinct", "k11_modelling_rows", "l1_logistic_weights", "l2_boosted_importances",
     "l3_parameter_search", "l4_scores_all_splits", "l5_oversampled_minority", "l6_isotonic_calibration", "l15_local_factors",
     "l16_global_factors", "l20_key_drivers", "l18_ranked_weights", "l21_feature_ablation", "l22_targets",
 }
@@ -31,11 +32,12 @@ def test_every_inventory_row_has_a_query():
     names = entry_points.queries()
     ids = survey_ids()
     assert len(ids) > 180
-    assert [i for i in ids if not any(n.startswith(i.lower() + "_") for n in names)] == []
+    # A11 is a helper (sources.tables.schema_catalogue): it reads no rows
+    assert [i for i in ids if not any(n.startswith(i.lower() + "_") for n in names)] == ["A11"]
 
 
 def test_oracles_cover_everything_sql_can_say():
-    assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == ROWS_ONLY
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == ROWS_ONLY
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
