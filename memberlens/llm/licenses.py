@@ -32,6 +32,9 @@ from pyspark.sql import functions as F
 COVERAGE = 0.8
 TEMPLATE_WORDS = 100_000
 
+#: Templates of fewer words than this must be matched whole: a few common words say nothing.
+SHORT = 10
+
 #: How much longer than the template the stretch may be.
 STRETCH = 1.5
 
@@ -155,6 +158,10 @@ class Scanner:
             np.add.at(self.shares[t], ids, 1 / len(ids))
         self.coverage = coverage
 
+    def needed(self, template: list[int]) -> float:
+        """Matched words from which on a template counts as found."""
+        return len(template) if len(template) < SHORT else self.coverage * len(template) - 1e-9
+
     def best(self, template: list[int], ids: np.ndarray, places: np.ndarray) -> tuple[int, int, int]:
         """Best alignment of one template; ``ids`` are the known words of the text, ``places`` where they stand."""
         wanted = np.isin(ids, template)
@@ -165,7 +172,7 @@ class Scanner:
         best = (0, 0, 0)
         if len(occurrences) == 1:
             best = densest(aligned(template, words.tolist()), at.tolist(), len(template))
-            if best[0] >= self.coverage * len(template):
+            if best[0] >= self.needed(template):
                 return best
         reach = len(template) + len(template) // 4
         for place in at[occurrences].tolist():
@@ -174,7 +181,7 @@ class Scanner:
             part = words[low:high].tolist()
             found = aligned(template, part)
             result = densest(found, at[low:high].tolist(), len(template))
-            if result[0] < self.coverage * len(template):
+            if result[0] < self.needed(template):
                 blocks = SequenceMatcher(None, template, part, autojunk=False).get_matching_blocks()
                 found = [(m.a + k, m.b + k) for m in blocks for k in range(m.size)]
                 result = max(result, densest(found, at[low:high].tolist(), len(template)), key=lambda r: r[0])
@@ -199,7 +206,7 @@ class Scanner:
         for t in possible.tolist():
             matched, low, high = self.best(self.templates[t], known, places)
             share = matched / len(self.templates[t])
-            if share >= self.coverage and (share, matched) > found.get(self.names[t], (0.0, 0))[:2]:
+            if matched >= self.needed(self.templates[t]) and (share, matched) > found.get(self.names[t], (0.0, 0))[:2]:
                 found[self.names[t]] = share, matched, low, high
         if not found:
             return []
