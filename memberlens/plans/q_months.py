@@ -548,6 +548,36 @@ def k35(t):
     return consolidated(t)
 
 
+def all_blocks(t):
+    """The wide table with every block: calendar, contacts and their trends, conditions, treatment, care coordination,
+    pharmacy, facilities and real-time feeds beside the main ones."""
+    care = coordination(t)
+    trends = k22(t)
+    names = ["is_ever_selected", "is_selected_month", "is_ever_engaged", "is_engaged_month"]  # are in the main blocks
+    blocks = [
+        b7(t), flags(t).drop(*names), trends, k24(t), k26(t), care, pharmacy(t), k30(t), k31(t),
+    ]
+    return mo.star_join(consolidated(t), blocks)
+
+
+def all_blocks_sql(body):
+    """The same from the blocks' own SQL."""
+    from memberlens.plans.registry import ORACLES
+
+    blocks = {
+        "k35_consolidated_months": "", "b7_calendar_flags": "", "k23_engagement_flags": "is_ever_selected, is_selected_month, is_ever_engaged, is_engaged_month",
+        "k22_engagement_trends": "", "k24_condition_months": "", "k26_treatment_months": "", "k27_single_provider": "", "k28_new_provider": "",
+        "k29_pharmacy_months": "", "k30_any_in_window": "", "k31_realtime_and_escalation": "",
+    }
+    picked = [f"(SELECT *{f' EXCLUDE ({out})' if out else ''} FROM ({ORACLES[name]})) b{i}" for i, (name, out) in enumerate(blocks.items())]
+    return body % (picked[0] + "".join(f" LEFT JOIN {p} USING (member_id, month)" for p in picked[1:]))
+
+
+@query("k35_all_blocks", all_blocks_sql("SELECT * FROM %s"))
+def k35_all(t):
+    return all_blocks(t)
+
+
 @query("c3_star_join", wide_sql("SELECT member_id, month, is_auto, age_bucket, is_enrolled, is_ever_engaged, ed_events_in_month, is_active_next_90d, health_present_this_month FROM wide"))
 def c3(t):
     return consolidated(t).select("member_id", "month", "is_auto", "age_bucket", "is_enrolled", "is_ever_engaged", "ed_events_in_month",
