@@ -153,12 +153,14 @@ def labelled(df: DataFrame, score_column: str, threshold: float = 0.5, name: str
     return df.withColumn(name, (F.col(score_column) >= threshold).cast("int"))
 
 
-def calibrate(scored: DataFrame, label: str, score_column: str = "score"):
+def calibrate(scored: DataFrame, label: str, score_column: str = "score", steps: int = 10_000):
     """Isotonic map from score to observed rate, fitted on validation rows.
 
-    Rows of equal score are merged into one weighted row before the fit.
+    Scores are put on a grid of ``steps`` per unit and rows of one grid point merged into one weighted row, so the fit, which
+    gathers what it pools on the driver, sees a bounded number of rows however many are scored.
     """
-    merged = scored.where(F.col(label).isNotNull() & F.col(score_column).isNotNull()).groupBy(F.col(score_column).alias("_s")).agg(
+    grid = (F.round(F.col(score_column) * steps) / steps).alias("_s")
+    merged = scored.where(F.col(label).isNotNull() & F.col(score_column).isNotNull()).groupBy(grid).agg(
         F.avg(F.col(label).cast("double")).alias("_rate"), F.count("*").cast("double").alias("_n"))
     return IsotonicRegression(featuresCol="_s", labelCol="_rate", weightCol="_n", predictionCol="calibrated").fit(merged)
 

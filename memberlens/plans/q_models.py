@@ -69,7 +69,9 @@ def l4(t):
     return tr.labelled(tr.score(model, rows, FEATURES), "score").select(*KEYS, "split", LABEL, "score", "pred_label")
 
 
-@query("l5_oversampled_minority")
+@query("l5_oversampled_minority", """
+WITH c AS (SELECT COUNT(*) FILTER (label = 3) AS few, COUNT(*) FILTER (label <> 3) AS many FROM embeddings)
+SELECT 1 AS label, FALSE AS synthetic, few AS n FROM c UNION ALL SELECT 0, FALSE, many FROM c UNION ALL SELECT 1, TRUE, many - few FROM c""")
 def l5(t):
     points = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), (F.col("label") == 3).cast("int").alias("label"))
     return ov.oversampled(points).groupBy("label", "synthetic").agg(F.count("*").alias("n"))
@@ -82,6 +84,19 @@ def l6(t):
     return tr.apply_calibration(model, rows.select("member_id", "row_id", "split", "lr_score"), "lr_score")
 
 
+@query("l6_isotonic_on_validation", r.sql(r.SCORED, body="""
+, m AS (SELECT lr_score AS s, SUM(label) AS y, COUNT(*) AS n FROM scored WHERE split = 'val' GROUP BY 1),
+o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY s) AS i, SUM(y) OVER (ORDER BY s) AS cy, SUM(n) OVER (ORDER BY s) AS cn FROM m),
+p AS (SELECT a.i AS lo, b.i AS hi, (b.cy - a.cy + a.y)::DOUBLE / (b.cn - a.cn + a.n)::DOUBLE AS mean FROM o a JOIN o b ON b.i >= a.i),
+g AS (SELECT lo, hi, MIN(mean) OVER (PARTITION BY lo ORDER BY hi DESC) AS low FROM p)
+SELECT s AS lr_score, ROUND(MAX(low), 9) AS calibrated FROM g JOIN o ON o.i = g.hi GROUP BY s"""))
+def l6_validation(t):
+    """Largest over starts of the smallest mean over ends: what pooling adjacent violators comes to."""
+    rows = r.scored(t).where("split = 'val'")
+    model = tr.calibrate(rows, "label", "lr_score", 1000)
+    return tr.apply_calibration(model, rows.select("lr_score").distinct(), "lr_score").withColumn("calibrated", F.round("calibrated", 9))
+
+
 # ---- evaluation ----------------------------------------------------------------------------------------
 
 RUN = r.SCORED + """,

@@ -11,7 +11,7 @@ from tools.check_oracle import rows_of
 
 ROWS_ONLY = {
     "d13_approximate_distinct", "k11_modelling_rows", "l1_logistic_weights", "l2_boosted_importances",
-    "l3_parameter_search", "l4_scores_all_splits", "l5_oversampled_minority", "l6_isotonic_calibration", "l15_local_factors",
+    "l3_parameter_search", "l4_scores_all_splits", "l6_isotonic_calibration", "l15_local_factors",
     "l16_global_factors", "l20_key_drivers", "l18_ranked_weights", "l21_feature_ablation", "l22_targets",
 }
 SMOKE = [
