@@ -277,6 +277,7 @@ def family_rows(n=70, seed=8):
 @pytest.mark.parametrize("words,rounds,block", [(5, 4, 256), (4, 1, 8)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, words, rounds, block):
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "LIST_BLOCK", block)
     monkeypatch.setattr(near_duplicates.linked_classes, "__defaults__", (rounds, near_duplicates.MATCHES))
     rows = family_rows()
     out = near_duplicates.near_duplicates(brute.clashing(brute.frame(spark, rows)), words=words).collect()
