@@ -3,15 +3,16 @@
 A byte goes if some ``length`` bytes of the input that cover it also start earlier: in a document with a smaller key, or
 earlier in the same one. All texts are read whole, as UTF-8.
 
-* Every window of ``length`` bytes names one of its grams by the smallest fingerprint (the leftmost of equals), so equal
+* Texts that an earlier row holds whole go at once.
+* Of the others, every window of ``length`` bytes names one of its grams by the smallest fingerprint (the leftmost of equals), so equal
   windows name equal grams. Neighbouring windows that name the same gram form one entry; a text has about one entry in 35
   bytes. Entries are dealt by ranges of fingerprints and sorted; a fingerprint that stands alone is dropped. A fingerprint
   that very many entries share may lie over several ranges; the outermost ones of a range are kept in case.
 * What is left meets its texts again and takes its bytes along. Entries of equal fingerprints go to one group of bounded size. A
   group joins its distinct pieces to a text, in order of position, builds the run-compressed transform with samples at the
   run ends, streams the matches over it and marks windows with an earlier equal.
-* A fingerprint with more than ``GROUP_ENTRIES`` entries is split: its windows are dealt by all their bytes instead, and the
-  first of equals is found by aggregation.
+* Of a fingerprint with more than ``GROUP_ENTRIES`` entries only the first of equal pieces goes on, found by aggregation. If
+  distinct ones are still too many for a group, their windows are dealt by all their bytes instead.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` stay whole; a null key comes last; rows that
 repeat key and text count once and get the same result each; rows that repeat a key with different texts are ordered by a
@@ -40,6 +41,9 @@ GRAM = 32  # a power of two
 GROUP_BYTES = 2_000_000
 GROUP_ENTRIES = 8_192
 
+#: Keys that may be broadcast (12 bytes each).
+SENT_KEYS = 500_000
+
 #: Bytes fingerprinted at once.
 CHUNK = 1 << 17
 
@@ -116,6 +120,23 @@ def keyed(docs: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> DataFr
     return found.withColumn("variant", number).drop("hashes")
 
 
+def later_copies(rows: DataFrame, length: int) -> DataFrame:
+    """Stored (key, variant, start, end) of texts that an earlier row holds whole: every byte of theirs goes."""
+    place = F.struct(F.col("key").isNull().alias("none"), F.coalesce("key", F.lit(0)).alias("key"), "variant")
+    texts = rows.where(F.octet_length("body") >= length).select("key", "variant", F.md5("body").alias("digest"), F.octet_length("body").alias("n"))
+    first = texts.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    later = texts.join(first, "digest").where(place != F.col("first"))
+    return stored(later.select("key", "variant", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end")).distinct(), "copies")
+
+
+def without(rows: DataFrame, later: DataFrame) -> DataFrame:
+    """Rows that are not among ``later``; a short list is sent to the rows, a long one is shuffled."""
+    gone = later.select(F.col("key").alias("of"), F.col("variant").alias("of_variant"))
+    known = gone.limit(SENT_KEYS + 1).count()
+    same = F.col("key").eqNullSafe(F.col("of")) & (F.col("variant") == F.col("of_variant"))
+    return rows.join(F.broadcast(gone) if known <= SENT_KEYS else gone, same, "left_anti")
+
+
 def lone_dropped(batches):
     """Of entries sorted by fingerprint those that share theirs; the outermost ones of a partition may share it with
     another partition and are kept."""
@@ -165,7 +186,7 @@ PIECE = "print long, digest binary, key long, variant int, start int, windows in
 
 
 def pieces(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """Stored entries with their bytes. Entries of crowded fingerprints come as single windows with a digest instead."""
+    """Stored entries with their bytes; those of crowded fingerprints also have a digest of them."""
     by_text = shared.groupBy("key", "variant").agg(F.collect_list(F.struct("print", "start", "windows", "many")).alias("found"))
     by_text = by_text.select(F.col("key").alias("of"), F.col("variant").alias("of_variant"), "found")
     same = F.col("key").eqNullSafe(F.col("of")) & (F.col("variant") == F.col("of_variant"))
@@ -183,10 +204,8 @@ def pieces(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                 raw = body.encode()
                 for e in found:
                     start, windows = e["start"], e["windows"]
-                    if e["many"]:
-                        out += [(e["print"], xxhash.xxh3_128_digest(raw[p:p + length]), key, variant, p, 1, None) for p in range(start, start + windows)]
-                    else:
-                        out.append((e["print"], None, key, variant, start, windows, raw[start:start + windows + length - 1]))
+                    piece = raw[start:start + windows + length - 1]
+                    out.append((e["print"], xxhash.xxh3_128_digest(piece) if e["many"] else None, key, variant, start, windows, piece))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")]).astype({"key": "Int64", "print": "int64", "variant": "int32", "start": "int32", "windows": "int32"})
 
     return compact(met.mapInPandas(run, PIECE), "pieces")
@@ -224,29 +243,57 @@ def marked(length: int):
 
 def removals(found: DataFrame, length: int) -> DataFrame:
     """(key, variant, start, end) of all repeated windows; ``found`` are stored pieces."""
-    plain = found.where("digest is null")
-    total = plain.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    plain, crowded = found.where("digest is null"), found.where("digest is not null")
+    if crowded.isEmpty():
+        return indexed(plain, length)
+    heads, by_piece = firsts(crowded)
+    heads = stored(heads.select(*found.columns), "heads")
+    sizes = heads.groupBy("print").agg(F.count(F.lit(1)).alias("n"))
+    met = heads.join(sizes, "print")
+    fitting = met.where(F.col("n") <= GROUP_ENTRIES).select(*found.columns)
+
+    def windows(batches):
+        for frame in batches:
+            rows = [(None, xxhash.xxh3_128_digest(raw[p:p + length]), None if pd.isna(k) else int(k), v, s + p, 1, None)
+                    for k, v, s, n, raw in zip(frame["key"], frame["variant"], frame["start"], frame["windows"], frame["bytes"]) for p in range(n)]
+            yield pd.DataFrame(rows, columns=list(frame.columns)).astype({"print": "Int64", "key": "Int64", "variant": "int32", "start": "int32", "windows": "int32"})
+
+    single = met.where(F.col("n") > GROUP_ENTRIES).select(*found.columns).mapInPandas(windows, PIECE)
+    by_window = firsts(single)[1]
+    spans = by_piece.unionByName(by_window)
+    later = spans.select("key", "variant", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("windows") + F.lit(length - 1)).cast("long").alias("end"))
+    return indexed(plain.unionByName(fitting), length).unionByName(later)
+
+
+def indexed(pieces_: DataFrame, length: int) -> DataFrame:
+    """Repeated windows by run-length indexes over groups of pieces; equal fingerprints share a group."""
+    total = pieces_.agg(F.sum(F.length("bytes"))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
-    grouped = plain.select(F.pmod(F.xxhash64("print"), F.lit(groups)).alias("part"), "print", "key", "variant", "start", "windows", "bytes")
-    by_index = grouped.groupBy("part").applyInPandas(marked(length), REMOVED)
-    crowded = found.where("digest is not null").select("digest", "key", "variant", "start")
-    first = crowded.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(position()).alias("first")).where("n > 1").drop("n")
-    later = crowded.join(first, "digest").where(position() != F.col("first"))
-    by_digest = later.select("key", "variant", F.col("start").cast("long").alias("start"), (F.col("start") + length).cast("long").alias("end"))
-    return by_index.unionByName(by_digest)
+    part = F.pmod(F.xxhash64("print"), F.lit(groups)).alias("part")
+    grouped = pieces_.select(part, "print", "key", "variant", "start", "windows", "bytes")
+    return grouped.groupBy("part").applyInPandas(marked(length), REMOVED)
+
+
+def firsts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first row of every digest, and the later ones."""
+    first = rows.groupBy("digest").agg(F.min(position()).alias("first"))
+    met = rows.join(first, "digest")
+    return met.where(position() == F.col("first")), met.where(position() != F.col("first"))
 
 
 def position() -> Column:
-    """Order of windows over all texts; keys that are null come last."""
-    return F.struct(F.col("key").isNull(), F.col("key"), F.col("variant"), F.col("start"))
+    """Order of windows over all texts; keys that are null come last (and equal one another here)."""
+    return F.struct(F.col("key").isNull().alias("none"), F.coalesce("key", F.lit(0)).alias("key"), "variant", "start")
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:
     """key, body (the text), spans (start and end in bytes, merged, in order) and the columns of ``keep`` for every row."""
     keep = tuple(c for c in keep if c != key)
     rows = keyed(docs, key, text, keep)
-    shared = shared_entries(rows, length)
-    removed = stored(removals(pieces(rows, shared, length), length), "removed")
+    copies = later_copies(rows, length)
+    heads = without(rows, copies)
+    shared = shared_entries(heads, length)
+    removed = stored(removals(pieces(heads, shared, length), length).unionByName(copies), "removed")
     by_text = removed.groupBy("key", "variant").agg(F.collect_set(F.struct("start", "end")).alias("found"))
     by_text = by_text.select(F.col("key").alias("of"), F.col("variant").alias("of_variant"), "found")
     same = F.col("key").eqNullSafe(F.col("of")) & (F.col("variant") == F.col("of_variant"))
