@@ -185,8 +185,17 @@ def compact(df: DataFrame, name: str) -> DataFrame:
 PIECE = "print long, digest binary, key long, variant int, start int, windows int, bytes binary"
 
 
+def piece_frame(rows: list[tuple]) -> pd.DataFrame:
+    """Rows of ``PIECE``; whole numbers beside nulls never pass through floats."""
+    kinds = {"long": "Int64", "int": "Int32", "binary": object}
+    fields = [f.split() for f in PIECE.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pd.DataFrame({name: pd.Series(list(c), dtype=kinds[kind]) for (name, kind), c in zip(fields, columns)})
+
+
 def pieces(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """Stored entries with their bytes; those of crowded fingerprints also have a digest of them."""
+    """Stored entries with their bytes; those of crowded fingerprints also have a digest of them. Pieces that the same text
+    holds earlier come as joined stretches without bytes: all their windows are repeated."""
     by_text = shared.groupBy("key", "variant").agg(F.collect_list(F.struct("print", "start", "windows", "many")).alias("found"))
     by_text = by_text.select(F.col("key").alias("of"), F.col("variant").alias("of_variant"), "found")
     same = F.col("key").eqNullSafe(F.col("of")) & (F.col("variant") == F.col("of_variant"))
@@ -201,12 +210,20 @@ def pieces(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                 if (key, variant) in seen:
                     continue  # a repeated row
                 seen.add((key, variant))
-                raw = body.encode()
-                for e in found:
+                raw, here, again = body.encode(), set(), []
+                for e in sorted(found, key=lambda e: e["start"]):
                     start, windows = e["start"], e["windows"]
                     piece = raw[start:start + windows + length - 1]
+                    if piece in here:  # earlier in the same text
+                        if again and start <= again[-1][1]:
+                            again[-1][1] = max(again[-1][1], start + len(piece))
+                        else:
+                            again.append([start, start + len(piece)])
+                        continue
+                    here.add(piece)
                     out.append((e["print"], xxhash.xxh3_128_digest(piece) if e["many"] else None, key, variant, start, windows, piece))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")]).astype({"key": "Int64", "print": "int64", "variant": "int32", "start": "int32", "windows": "int32"})
+                out += [(None, None, key, variant, a, b - a - length + 1, None) for a, b in again]
+            yield piece_frame(out)
 
     return compact(met.mapInPandas(run, PIECE), "pieces")
 
@@ -243,9 +260,10 @@ def marked(length: int):
 
 def removals(found: DataFrame, length: int) -> DataFrame:
     """(key, variant, start, end) of all repeated windows; ``found`` are stored pieces."""
-    plain, crowded = found.where("digest is null"), found.where("digest is not null")
+    plain, crowded = found.where("digest is null and bytes is not null"), found.where("digest is not null")
+    here = spans_of(found.where("bytes is null"), length)
     if crowded.isEmpty():
-        return indexed(plain, length)
+        return indexed(plain, length).unionByName(here)
     heads, by_piece = firsts(crowded)
     heads = stored(heads.select(*found.columns), "heads")
     sizes = heads.groupBy("print").agg(F.count(F.lit(1)).alias("n"))
@@ -256,13 +274,18 @@ def removals(found: DataFrame, length: int) -> DataFrame:
         for frame in batches:
             rows = [(None, xxhash.xxh3_128_digest(raw[p:p + length]), None if pd.isna(k) else int(k), v, s + p, 1, None)
                     for k, v, s, n, raw in zip(frame["key"], frame["variant"], frame["start"], frame["windows"], frame["bytes"]) for p in range(n)]
-            yield pd.DataFrame(rows, columns=list(frame.columns)).astype({"print": "Int64", "key": "Int64", "variant": "int32", "start": "int32", "windows": "int32"})
+            yield piece_frame(rows)
 
     single = met.where(F.col("n") > GROUP_ENTRIES).select(*found.columns).mapInPandas(windows, PIECE)
     by_window = firsts(single)[1]
-    spans = by_piece.unionByName(by_window)
-    later = spans.select("key", "variant", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("windows") + F.lit(length - 1)).cast("long").alias("end"))
-    return indexed(plain.unionByName(fitting), length).unionByName(later)
+    later = spans_of(by_piece.unionByName(by_window), length)
+    return indexed(plain.unionByName(fitting), length).unionByName(later).unionByName(here)
+
+
+def spans_of(rows: DataFrame, length: int) -> DataFrame:
+    """The bytes that runs of windows cover."""
+    end = (F.col("start") + F.col("windows") + F.lit(length - 1)).cast("long").alias("end")
+    return rows.select("key", "variant", F.col("start").cast("long").alias("start"), end)
 
 
 def indexed(pieces_: DataFrame, length: int) -> DataFrame:
