@@ -11,6 +11,9 @@ template word that is rarest in the text.
 Templates are a parameter; together they must not exceed ``TEMPLATE_WORDS`` words, as they go to every task. A text whose
 vocabulary cannot reach the coverage is left after one pass over its words.
 
+Siblings are told apart by marks: version numbers and words such as "lesser" or "noncommercial". A copy has the marks of its
+template and none of another sibling between its ends; of siblings in one stretch the one with the most matched words stays.
+
 Defined results: null and empty texts and templates without words match nothing; equal coverages of one license go to
 the first place in the text; every row of a repeated key is scanned; an empty table gives no rows. Only key and text are
 read. One row per text and license, with the best of its templates.
@@ -29,46 +32,50 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memberlens.llm.license_texts import SHORT_TEXTS, whole_texts
+
 COVERAGE = 0.8
 TEMPLATE_WORDS = 100_000
 
 #: Templates of fewer words than this must be matched whole: a few common words say nothing.
 SHORT = 10
 
+#: Words of a template whose marks a copy must have.
+OPENING = 300
+
 #: How much longer than the template the stretch may be.
 STRETCH = 1.5
 
-#: License names and the wording of their notices and short texts.
-TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-            "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
-            "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
-            "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
-            "conditions: The above copyright notice and this permission notice shall be included in all copies or "
-            "substantial portions of the Software."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-                   "compliance with the License. You may obtain a copy of the License at "
-                   "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
-                   "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
-                   "CONDITIONS OF ANY KIND, either express or implied."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-                "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-                "option) any later version."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
-                     "provided that the following conditions are met: Redistributions of source code must retain the above "
-                     "copyright notice, this list of conditions and the following disclaimer."),
-]
+#: License names and the wording of their notices and whole texts, in ``license_texts.py`` and the folder
+#: ``license_texts``.
+TEMPLATES = [*SHORT_TEXTS, *whole_texts()]
+
+#: What tells siblings apart: family -> (its names, {mark: pattern over words}). Version numbers after ``HEADS`` are marks too.
+FAMILIES = {
+    "gnu": (("GPL-", "LGPL-", "AGPL-"), {"lesser": rb"\blesser(?= general)|\blgpl\b", "library": rb"\blibrary(?= general)",
+                                         "affero": rb"\baffero(?= general)|\bagpl\b"}),
+    "gfdl": (("GFDL-",), {}),
+    "cc": (("CC",), {"nc": rb"\bnoncommercial\b|\bnon commercial\b|\bnc\b", "sa": rb"\bsharealike\b|\bshare alike\b|\bsa\b",
+                     "nd": rb"\bnoderiv(?:ative)?s\b|\bno deriv(?:ative)?s\b|\bnd\b"}),
+    "bsd": (("BSD-",), {"binary": rb"\breproduce the above\b", "endorse": rb"\bendorse\b|\bpromote\b",
+                        "advertising": rb"\badvertising materials\b"}),
+    "mit": (("MIT", "X11"), {"notice": rb"\bshall be included\b|\bsubstantial portions\b", "advertising": rb"\bused in advertising\b"}),
+    "isc": (("ISC", "0BSD"), {"notice": rb"\bappear in all copies\b"}),
+    "apache": (("Apache-",), {}),
+    "mpl": (("MPL-",), {}),
+}
+HEADS = (rb"(?:\bversion|\bv|\bpublic licen[sc]e|\bapache licen[sc]e|\bdocumentation licen[sc]e|\battribution|\bcommercial|\bnoncommercial|\bsharealike|\balike|\bnoderiv(?:ative)?s|\bderiv(?:ative)?s"
+         rb"|\bby|\bnc|\bsa|\bnd|\ba?l?gpl|\bmpl|\bapache) (\d{1,2}(?: \d{1,2})*)\b|\bv(\d{1,2}(?: \d{1,2})*)\b")
+VERSIONED = {"gnu", "gfdl", "cc", "apache", "mpl"}
 
 WORD = re.compile("[a-z0-9]+")
 #: Bytes of UTF-8: digits and letters stay, A-Z become small, anything above ASCII breaks a word.
 BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 LOWER = str.maketrans({c: c + 32 for c in range(ord("A"), ord("Z") + 1)})
 
+VERSION = re.compile(HEADS)
+PATTERNS = {family: {mark: re.compile(p) for mark, p in marks.items()} for family, (_, marks) in FAMILIES.items()}
+
 Match = tuple[int, int]  # place in the template, place in the text
 
 
@@ -76,6 +83,25 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(BYTES).split()
 
 
+def family_of(name: str) -> str | None:
+    return next((f for f, (names, _) in FAMILIES.items() if name.startswith(names)), None)
+
+
+def marks_of(words: list[bytes], family: str | None) -> list[tuple[int, str]]:
+    """(place, mark) of the words that tell the siblings of a family apart."""
+    if family is None:
+        return []
+    joined = b" ".join(words)
+    begins = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+    found = [(m.start(), mark) for mark, pattern in PATTERNS[family].items() for m in pattern.finditer(joined)]
+    if family in VERSIONED:
+        for m in VERSION.finditer(joined):
+            group = 1 if m.group(1) else 2
+            number = m.group(group).decode().replace(" ", ".")
+            found.append((m.start(group), "#" + number.removesuffix(".0")))
+    return sorted((int(np.searchsorted(begins, at, "right")) - 1, mark) for at, mark in found)
+
+
 def increasing(places: list[int]) -> list[int]:
     """Positions of a longest increasing subsequence, by patience sorting."""
     tops: list[int] = []
@@ -142,6 +168,17 @@ def densest(matches: list[Match], places: Sequence[int], length: int) -> tuple[i
     return best
 
 
+def siblings_resolved(found: dict[str, tuple[float, int, int, int]]) -> dict[str, tuple[float, int, int, int]]:
+    """Of licenses of one family that lie in each other's stretch the one with the most matched words stays."""
+    kept: dict[str, tuple[float, int, int, int]] = {}
+    for name, hit in sorted(found.items(), key=lambda x: (-x[1][1], -x[1][0], x[0])):
+        family = family_of(name)
+        rivals = [k for n, k in kept.items() if family is not None and family_of(n) == family]
+        if not any(hit[2] <= k[3] and k[2] <= hit[3] for k in rivals):
+            kept[name] = hit
+    return kept
+
+
 class Scanner:
     """Templates as numbers over their common vocabulary."""
 
@@ -153,6 +190,10 @@ class Scanner:
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, words in found for w in words}))}
         self.names = [name for name, _ in found]
         self.templates = [[self.vocabulary[w] for w in words] for _, words in found]
+        self.families = [family_of(name) for name in self.names]
+        self.own = [{mark for _, mark in marks_of(words, f)} for (_, words), f in zip(found, self.families)]
+        # references to other licenses deep in a whole text may change
+        self.must = [{mark for place, mark in marks_of(words, f) if place < OPENING} for (_, words), f in zip(found, self.families)]
         self.shares = np.zeros((len(found), len(self.vocabulary) + 1))
         for t, ids in enumerate(self.templates):
             np.add.at(self.shares[t], ids, 1 / len(ids))
@@ -162,8 +203,9 @@ class Scanner:
         """Matched words from which on a template counts as found."""
         return len(template) if len(template) < SHORT else self.coverage * len(template) - 1e-9
 
-    def best(self, template: list[int], ids: np.ndarray, places: np.ndarray) -> tuple[int, int, int]:
-        """Best alignment of one template; ``ids`` are the known words of the text, ``places`` where they stand."""
+    def best(self, template: list[int], ids: np.ndarray, places: np.ndarray, marked) -> tuple[int, int, int]:
+        """Best alignment of one template; ``ids`` are the known words of the text, ``places`` where they stand. What is not
+        ``marked`` is no copy."""
         wanted = np.isin(ids, template)
         words, at = ids[wanted], places[wanted]
         counts = np.bincount(words, minlength=max(template) + 1)
@@ -172,6 +214,8 @@ class Scanner:
         best = (0, 0, 0)
         if len(occurrences) == 1:
             best = densest(aligned(template, words.tolist()), at.tolist(), len(template))
+            if not marked(*best[1:]):
+                best = (0, 0, 0)
             if best[0] >= self.needed(template):
                 return best
         reach = len(template) + len(template) // 4
@@ -185,6 +229,24 @@ class Scanner:
                 blocks = SequenceMatcher(None, template, part, autojunk=False).get_matching_blocks()
                 found = [(m.a + k, m.b + k) for m in blocks for k in range(m.size)]
                 result = max(result, densest(found, at[low:high].tolist(), len(template)), key=lambda r: r[0])
+            if result[0] > best[0] and marked(*result[1:]):
+                best = result
+        return best
+
+    def in_segments(self, t: int, ids: np.ndarray, places: np.ndarray, marks: list[tuple[int, str]], length: int) -> tuple[int, int, int]:
+        """Best copy of a template that has its marks and, between its ends, none of its siblings' marks."""
+        foreign = [place for place, mark in marks if mark not in self.own[t]]
+        own = {mark: np.array([p for p, m in marks if m == mark], np.int64) for mark in self.must[t]}
+
+        def marked(low: int, high: int) -> bool:
+            return all(np.searchsorted(at, low) < np.searchsorted(at, high, "right") for at in own.values())
+
+        best = (0, 0, 0)
+        for a, b in zip([-1, *foreign], [*foreign, length]):
+            low, high = np.searchsorted(places, [a + 1, b])
+            if high - low < self.needed(self.templates[t]) or not marked(a, b):
+                continue
+            result = self.best(self.templates[t], ids[low:high], places[low:high], marked)
             if result[0] > best[0]:
                 best = result
         return best
@@ -202,12 +264,14 @@ class Scanner:
             return []
         places = np.flatnonzero(ids)
         known = ids[places]
+        marks = {f: marks_of(words, f) for f in {self.families[t] for t in possible.tolist()}}
         found: dict[str, tuple[float, int, int, int]] = {}
         for t in possible.tolist():
-            matched, low, high = self.best(self.templates[t], known, places)
+            matched, low, high = self.in_segments(t, known, places, marks[self.families[t]], len(words))
             share = matched / len(self.templates[t])
             if matched >= self.needed(self.templates[t]) and (share, matched) > found.get(self.names[t], (0.0, 0))[:2]:
                 found[self.names[t]] = share, matched, low, high
+        found = siblings_resolved(found)
         if not found:
             return []
         at = [m.span() for m in WORD.finditer(text.translate(LOWER))]
