@@ -5,8 +5,11 @@ anchors; the longest increasing subsequence of their places keeps those in one o
 aligned in the same way, after equal words at their two ends are matched. The share of template words that are matched
 within a stretch not much longer than the template is the coverage.
 
-A text that holds a license more than once has no unique words of it. It is then aligned around every occurrence of the
-template word that is rarest in the text.
+Where a gap has no unique words, those that occur equally often on both sides are paired in their order.
+
+A copy lacks at most the share of words that the coverage leaves, so among the template's words that are rarest in the text and
+together fill more places than that it has at least one. Every occurrence of these in a stretch dense in template words says
+where a copy would start; the stretches around all these places are aligned, close ones first, then as far as a copy can reach.
 
 Templates are a parameter; together they must not exceed ``TEMPLATE_WORDS`` words, as they go to every task. A text whose
 vocabulary cannot reach the coverage is left after one pass over its words.
@@ -24,7 +27,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 from itertools import repeat
 
 import numpy as np
@@ -123,6 +125,17 @@ def increasing(places: list[int]) -> list[int]:
     return out[::-1]
 
 
+def evenly_repeated(a: Sequence[int], b: Sequence[int], a0: int, a1: int, b0: int, b1: int) -> list[Match]:
+    """Pairs of words that stand equally often in both gaps, in order; the rarest number of times there is."""
+    at_a, at_b = {}, {}
+    for at, seq, low, high in ((at_a, a, a0, a1), (at_b, b, b0, b1)):
+        for i in range(low, high):
+            at.setdefault(seq[i], []).append(i)
+    even = [w for w, where in at_a.items() if len(where) == len(at_b.get(w, ()))]
+    fewest = min((len(at_a[w]) for w in even), default=0)
+    return [pair for w in even if len(at_a[w]) == fewest for pair in zip(at_a[w], at_b[w])]
+
+
 def aligned(a: Sequence[int], b: Sequence[int]) -> list[Match]:
     """Matches of two word sequences: anchors, then equal ends, anchors and gaps between anchors.
 
@@ -147,6 +160,8 @@ def aligned(a: Sequence[int], b: Sequence[int]) -> list[Match]:
         for i in range(a0, a1):
             where_a[a[i]] = -1 if a[i] in where_a else i
         common = [(i, where_b[w]) for w, i in where_a.items() if i >= 0 and where_b.get(w, -1) >= 0]
+        if not common:
+            common = evenly_repeated(a, b, a0, a1, b0, b1)
         common.sort()
         kept = [common[k] for k in increasing([j for _, j in common])]
         out += kept
@@ -206,33 +221,51 @@ class Scanner:
     def best(self, template: list[int], ids: np.ndarray, places: np.ndarray, marked) -> tuple[int, int, int]:
         """Best alignment of one template; ``ids`` are the known words of the text, ``places`` where they stand. What is not
         ``marked`` is no copy."""
+        length, needed = len(template), self.needed(template)
         wanted = np.isin(ids, template)
         words, at = ids[wanted], places[wanted]
-        counts = np.bincount(words, minlength=max(template) + 1)
-        rarest = min(template, key=lambda w: (counts[w] == 0, counts[w]))
-        occurrences = np.flatnonzero(words == rarest)
         best = (0, 0, 0)
-        if len(occurrences) == 1:
-            best = densest(aligned(template, words.tolist()), at.tolist(), len(template))
-            if not marked(*best[1:]):
-                best = (0, 0, 0)
-            if best[0] >= self.needed(template):
-                return best
-        reach = len(template) + len(template) // 4
-        for place in at[occurrences].tolist():
-            # the stretch in which a copy around this occurrence lies
-            low, high = np.searchsorted(at, [place - reach, place + reach + 1])
-            part = words[low:high].tolist()
-            found = aligned(template, part)
-            result = densest(found, at[low:high].tolist(), len(template))
-            if result[0] < self.needed(template):
-                blocks = SequenceMatcher(None, template, part, autojunk=False).get_matching_blocks()
-                found = [(m.a + k, m.b + k) for m in blocks for k in range(m.size)]
-                result = max(result, densest(found, at[low:high].tolist(), len(template)), key=lambda r: r[0])
-            if result[0] > best[0] and marked(*result[1:]):
-                best = result
+        seeds = self.seeds(template, words, at)
+        if not len(seeds):
+            return best
+        # starts that the seeds name, in steps of a fraction of the template
+        step = max(1, length // 8)
+        starts = np.unique(seeds // step) * step
+        for slack_before, slack_after in ((max(2, length // 16),) * 2, (length // 4,) * 2, (length // 2 + 1, -(-3 * length // 4))):
+            for start in starts.tolist():
+                low, high = np.searchsorted(at, [start - slack_before, start + step + length + slack_after])
+                if high - low < max(needed, best[0] + 1):
+                    continue
+                result = densest(aligned(template, words[low:high].tolist()), at[low:high].tolist(), length)
+                if result[0] > best[0] and marked(*result[1:]):
+                    best = result
+                    if best[0] == length:
+                        return best
         return best
 
+    def seeds(self, template: list[int], words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Places at which a copy would start by one of its words; every copy that reaches the coverage is among them."""
+        length, needed = len(template), self.needed(template)
+        reach = np.searchsorted(at, at + STRETCH * length + 1)  # the end of the stretch from each word on
+        dense = reach - np.arange(len(at)) >= needed
+        inside = np.zeros(len(at) + 1, np.int64)
+        np.add.at(inside, np.flatnonzero(dense), 1)
+        np.add.at(inside, reach[dense], -1)
+        inside = np.cumsum(inside[:-1]) > 0
+        words, at = words[inside], at[inside]
+        counts = np.bincount(words, minlength=max(template) + 1)
+        stands: dict[int, list[int]] = {}
+        for p, w in enumerate(template):
+            stands.setdefault(w, []).append(p)
+        missed, out = 0, []
+        for w in sorted(stands, key=lambda w: (counts[w] * len(stands[w]), w)):
+            if counts[w]:
+                out.append(np.subtract.outer(at[words == w], stands[w]).ravel())
+            missed += len(stands[w])
+            if missed > length - needed:
+                break
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
     def in_segments(self, t: int, ids: np.ndarray, places: np.ndarray, marks: list[tuple[int, str]], length: int) -> tuple[int, int, int]:
         """Best copy of a template that has its marks and, between its ends, none of its siblings' marks."""
         foreign = [place for place, mark in marks if mark not in self.own[t]]

@@ -41,3 +41,36 @@ def test_sibling_notices_in_one_text(scanner):
     notices = {n: t for n, t in texts.gnu_notices() if len(t) > 100}
     text = notices["LGPL-2.1"] + "\n" + notices["GPL-3.0"]
     assert names(scanner, text) == ["GPL-3.0", "LGPL-2.1"]
+
+
+def test_edited_copies_beside_the_rarest_word(scanner):
+    """The rarest word of the template stands once, far from two edited copies."""
+    mit = texts.GRANT + texts.NOTICE + texts.WARRANTY
+    edited = mit.replace("sublicense", "relicense").replace("free of charge", "gratis")
+    noise = "the software and a copy of this notice shall be used or sold to any person " * 300
+    text = noise + edited + "\n" + edited + noise + "sublicense " + noise
+    assert names(scanner, text) == ["MIT"] and len(text) > 60_000
+    (_, matched, _, start, end), = scanner.scan(text)
+    assert matched == len(licenses.words_of(mit)) - 4 and len(noise) <= start < end <= len(noise + edited) * 2
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_edited_copies_among_others_are_found(scanner, seed):
+    """Words are replaced, left out or put in at random; what stays is above the coverage."""
+    import random
+
+    rng = random.Random(seed)
+    mit = licenses.words_of(texts.GRANT + texts.NOTICE + texts.WARRANTY)
+    mit = [w.decode() for w in mit]
+
+    def edited():
+        out = []
+        for w in mit:
+            x = rng.random()
+            out += [w, "new"] if x < 0.07 else [] if x < 0.12 else ["other"] if x < 0.15 else [w]
+        return out
+
+    noise = [rng.choice(mit) for _ in range(3000)]
+    text = " ".join(noise + edited() + edited() + edited() + noise)
+    assert "MIT" in names(scanner, text)
+
