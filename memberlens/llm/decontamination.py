@@ -5,16 +5,21 @@ words as a window; an item of fewer words, but not none, is one window. Document
 bounded size. A shard keeps only words that benchmark items use (no window holds another), in runs no shorter than the
 shortest window; it indexes them, searches every window backwards, locates the occurrences and merges them to spans.
 
-Benchmark items are read in blocks of at most ``BLOCK_WORDS`` words, each broadcast to one more pass over a row within the
-same task, so what is sent to executors has a fixed size.
+Benchmark items are read in blocks of at most ``BLOCK_WORDS`` words (a longer item is a block of its own), one block at a time,
+and each is broadcast to a pass over the documents. A benchmark of one block is searched in one pass. With more, every pass
+stores what it found by a digest of the text and its block is given up before the next one is read, so neither driver nor
+executors hold more than a block; the findings of all passes then meet the documents again.
 
 Defined results: null texts and texts without words have no words, no spans and no items; a null item text or one without
-words has no window; repeated items each count; repeated documents each give a row; an empty benchmark leaves all
+words has no window; items with a null key hit
+words like any others and stand together as one null, the last of the items (as in SQL, ``digest`` counts it and leaves it
+out of the joined names); repeated items each count; repeated documents each give a row; an empty benchmark leaves all
 documents clean. Only the key and text columns are read; other columns may have any names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 
 from memberlens.llm.common import carried, column, restored
 from memberlens.llm.fmindex import FMIndex
+from memberlens.sources.tables import stored
 
 WINDOW = 10
 
@@ -47,12 +53,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(BYTES).split()
 
 
-def item_blocks(items: DataFrame, key: str, text: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def item_blocks(items: DataFrame, key: str, text: str, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Items as (key, words), in blocks of bounded size, streamed through the driver one block at a time."""
     block, size = [], 0
     for row in items.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).toLocalIterator():
         words = words_of(row["t"])
-        if not words or row["k"] is None:
+        if not words:
             continue
         if block and size + len(words) > block_words:
             yield block
@@ -66,7 +72,7 @@ def item_blocks(items: DataFrame, key: str, text: str, block_words: int) -> Iter
 class Windows:
     """The windows of a block of items, as numbers over the words that the items use."""
 
-    def __init__(self, block: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, block: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, words in block for w in words}))}
         self.items = [k for k, _ in block]
         found: dict[tuple[int, ...], set[int]] = {}
@@ -153,24 +159,72 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def in_order(names: set[str | None]) -> list[str | None]:
+    """Sorted, null last."""
+    return sorted(names, key=lambda k: (k is None, k or ""))
+
+
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                   item_text: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, shard_words: int = SHARD_WORDS,
                   block_words: int = BLOCK_WORDS) -> DataFrame:
-    """key, n_words, spans (in words, end exclusive), items (keys as text, sorted) of every document.
+    """key, n_words, spans (in words, end exclusive), items (keys as text, sorted, null last) of every document.
 
     ``keep`` names further columns to hand through.
     """
     spark = docs.sparkSession
     keep = tuple(c for c in keep if c != key)
+    none = F.slice(F.array(F.lit(None).cast("string")), 1, 0)  # an array that may hold nulls
     out = docs.select(column(key).alias("key"), column(text).alias("body"), F.lit(0).cast("long").alias("n_words"),
-                      F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"), *carried(keep, text))
-    schema = out.schema
-    for block in list(item_blocks(items, item_key, item_text, block_words)) or [[]]:
+                      F.array().cast(SPANS).alias("spans"), none.alias("items"), *carried(keep, text))
+    blocks = item_blocks(items, item_key, item_text, block_words)
+    block, after = next(blocks, []), next(blocks, None)
+    if after is None:
         sent = spark.sparkContext.broadcast(Windows(block, window))
-        out = out.mapInPandas(shard_search(sent, shard_words), schema)
+        out = out.mapInPandas(shard_search(sent, shard_words), out.schema)
+    else:
+        found = None
+        while block is not None:
+            part = block_findings(docs, text, Windows(block, window), shard_words)
+            found = part if found is None else found.unionByName(part)
+            block, after = after, next(blocks, None)
+        out = with_findings(out, found)
     return out.select(F.col("key").alias(key), "n_words", "spans", "items", *restored(keep, text))
 
 
+def block_findings(docs: DataFrame, text: str, windows: Windows, shard_words: int) -> DataFrame:
+    """Stored (digest, found_spans, found_items) of the texts that a block hits, one row each."""
+    sent = docs.sparkSession.sparkContext.broadcast(windows)
+    rows = docs.select(column(text).alias("body")).where("body is not null")
+    search = shard_search(sent, shard_words)
+
+    def run(batches):
+        for frame in search(f.assign(spans=[[]] * len(f), items=[[]] * len(f)) for f in batches):
+            hit = frame[np.array([len(s) > 0 for s in frame["spans"]], bool)]
+            if not len(hit):
+                continue
+            yield pd.DataFrame({"digest": [hashlib.sha256(t.encode()).digest() for t in hit["body"]], "found_spans": list(hit["spans"]), "found_items": list(hit["items"])})
+
+    part = stored(rows.mapInPandas(run, f"digest binary, found_spans {SPANS}, found_items array<string>").dropDuplicates(["digest"]), "block-findings")
+    sent.destroy()
+    return part
+
+
+def with_findings(out: DataFrame, found: DataFrame) -> DataFrame:
+    """Spans and items of all blocks at every document with their text."""
+    found = found.groupBy("digest").agg(F.flatten(F.collect_list("found_spans")).alias("found_spans"), F.flatten(F.collect_list("found_items")).alias("found_items"))
+    digest = F.unhex(F.sha2(F.col("body").cast("binary"), 256))
+    met = out.join(found, digest == F.col("digest"), "left").select(*[c for c in out.columns if c not in ("spans", "items")], F.coalesce("found_spans", "spans").alias("spans"), F.coalesce("found_items", "items").alias("items"))
+
+    def run(batches):
+        for frame in batches:
+            frame["n_words"] = [len(words_of(t)) for t in frame["body"]]
+            frame["spans"] = [[{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in spans])] for spans in frame["spans"]]
+            frame["items"] = [in_order(set(names)) for names in frame["items"]]
+            yield frame
+
+    return met.mapInPandas(run, met.schema)
+
+
 def shard_search(sent, shard_words: int):
     def run(batches):
         for frame in batches:
@@ -192,7 +246,7 @@ def shard_search(sent, shard_words: int):
                 [{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in old] + new.tolist())]
                 for old, new in zip(frame["spans"], spans)
             ]
-            frame["items"] = [sorted({*old, *(names[k] for k in new)}) for old, new in zip(frame["items"], items)]
+            frame["items"] = [in_order({*old, *(names[k] for k in new)}) for old, new in zip(frame["items"], items)]
             yield frame
 
     return run
