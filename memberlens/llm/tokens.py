@@ -2,7 +2,8 @@
 
 A pre-tokenizer never joins what stands on the two sides of white space, nor a word with the stops behind it, so a text
 can be cut there and its pieces be looked up one by one. New words go through the tokenizer's model; pieces that are
-anything but a Latin word with stops go through the whole tokenizer.
+anything but a Latin word with stops go through the whole tokenizer. So do those with the string of a special token, which
+gives its id, as the library does by default.
 """
 
 from __future__ import annotations
@@ -45,7 +46,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text in a document
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None  # lower case, white space dropped
         self.cut = str.split if self.lower else SPACED.findall
