@@ -47,7 +47,7 @@ SENT_KEYS = 500_000
 #: Bytes fingerprinted at once.
 CHUNK = 1 << 17
 
-ENTRY = "print long, key long, variant int, start int, windows int"
+ENTRY = "print long, key long, variant long, start int, windows int"
 PRIME = 0x9E3779B97F4A7C15
 MIX = 0xC2B2AE3D27D4EB4F
 WORD = (1 << 64) - 1
@@ -109,15 +109,16 @@ def entries(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def keyed(docs: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """(key, variant, body, kept columns): variant tells texts of a repeated key apart and is 0 elsewhere."""
+    """(key, variant, body, kept columns): variant is the hash of the text under a repeated key with different texts and 0
+    elsewhere. Texts are dealt by key and hash, so a key of very many rows is spread over tasks."""
     rows = docs.select(column(key).cast("long").alias("key"), column(text).alias("body"), *carried(keep, text))
-    hashed = rows.select("key", F.xxhash64("body").alias("hash")).distinct()
-    several = hashed.groupBy("key").agg(F.array_sort(F.collect_list("hash")).alias("hashes")).where(F.size("hashes") > 1)
+    hashed = stored(rows.select("key", F.xxhash64("body").alias("hash")).distinct(), "hashes")
+    several = hashed.groupBy(F.col("key").alias("of")).agg((F.min("hash") != F.max("hash")).alias("differ")).where("differ")
     if several.isEmpty():
-        return rows.withColumn("variant", F.lit(0))
-    found = rows.join(several.withColumnRenamed("key", "other"), F.col("key").eqNullSafe(F.col("other")), "left").drop("other")
-    number = F.coalesce(F.array_position("hashes", F.xxhash64("body")) - 1, F.lit(0)).cast("int")
-    return found.withColumn("variant", number).drop("hashes")
+        return rows.withColumn("variant", F.lit(0).cast("long"))
+    met = hashed.join(several, F.col("key").eqNullSafe(F.col("of")), "left_semi").select(F.col("key").alias("of"), F.col("hash").alias("variant"))
+    same = F.col("key").eqNullSafe(F.col("of")) & (F.xxhash64("body") == F.col("variant"))
+    return rows.join(met, same, "left").drop("of").withColumn("variant", F.coalesce("variant", F.lit(0).cast("long")))
 
 
 def later_copies(rows: DataFrame, length: int) -> DataFrame:
@@ -162,7 +163,7 @@ def shared_entries(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for frame in batches:
             text, prints, start, windows = entries([(t or "").encode() for t in frame["body"]], length)
-            yield pd.DataFrame({"print": prints, "key": frame["key"].take(text).to_numpy(), "variant": frame["variant"].take(text).to_numpy(), "start": start, "windows": windows}).astype({"variant": "int32", "start": "int32", "windows": "int32", "key": "Int64"})
+            yield pd.DataFrame({"print": prints, "key": frame["key"].take(text).to_numpy(), "variant": frame["variant"].take(text).to_numpy(), "start": start, "windows": windows}).astype({"variant": "int64", "start": "int32", "windows": "int32", "key": "Int64"})
 
     found = compact(docs.select("key", "variant", "body").mapInPandas(run, ENTRY), "entries")
     dealt = found.repartitionByRange("print", "key").sortWithinPartitions("print")
@@ -182,7 +183,7 @@ def compact(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-PIECE = "print long, digest binary, key long, variant int, start int, windows int, bytes binary"
+PIECE = "print long, digest binary, key long, variant long, start int, windows int, bytes binary"
 
 
 def piece_frame(rows: list[tuple]) -> pd.DataFrame:
@@ -228,7 +229,7 @@ def pieces(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
     return compact(met.mapInPandas(run, PIECE), "pieces")
 
 
-REMOVED = "key long, variant int, start long, end long"
+REMOVED = "key long, variant long, start long, end long"
 
 
 def marked(length: int):
