@@ -4,8 +4,8 @@ A text, in lower case and UTF-8, is cut into windows of fixed length that cover
 vector; filters of several widths slide over a window, the maximum of each filter is kept, and a softmax layer turns these
 into probabilities of languages. A document has the mean of its windows, weighted by their bytes.
 
-The network is trained in numpy on a bounded sample of labelled texts: about ``PER_LANGUAGE`` documents per label, chosen
-by a hash of the key, and one window of each of ``PER_TEXT`` places in them. The bound does not grow with the data; everything else reads all
+The network is trained in numpy on a bounded sample of labelled texts: at most ``PER_LANGUAGE`` distinct texts per label, chosen
+by a hash of the text, and one window of each of ``PER_TEXT`` places in them. The bound does not grow with the data; everything else reads all
 rows and whole texts.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; equal texts get equal results; equal
@@ -19,7 +19,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memberlens.llm.common import carried, column, restored
@@ -138,16 +138,22 @@ def held_out(key: Column) -> Column:
 
 def training_sample(docs: DataFrame, key: str, text: str, label: str, per_language: int = PER_LANGUAGE,
                     window: int = WINDOW) -> DataFrame:
-    """(label, part) from about ``per_language`` documents of every label: a few parts of ``window`` characters of each."""
+    """(k, i, label, part): a few parts of ``window`` characters from at most ``per_language`` distinct texts of every label.
+
+    The draw is by the text, so neither a null key nor one that many rows share decides it; k is the text's hash.
+    """
     usable = docs.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}") & ~held_out(F.col(key))).select(
-        F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(label).cast("string").alias("label"))
-    totals = usable.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    draw = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        F.xxhash64(F.col(text), F.lit("language")).alias("h"), F.col(text).alias("t"), F.col(label).cast("string").alias("label"))
+    totals = usable.groupBy("label").agg(F.count_distinct("h").alias("n"))
+    draw = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = usable.join(F.broadcast(totals), "label").where(draw * F.col("n") < per_language)
     places = F.transform(F.sequence(F.lit(0), F.lit(PER_TEXT - 1)), lambda i: F.pmod(
-        F.xxhash64(F.col("k"), i), F.greatest(F.length("t") - F.lit(window // 2), F.lit(1))).cast("int") + 1)
-    return chosen.select("k", "label", F.posexplode(places).alias("i", "at"), "t").select(
-        "k", "i", "label", F.col("t").substr(F.col("at"), F.lit(window)).alias("part"))
+        F.xxhash64(F.col("h"), i), F.greatest(F.length("t") - F.lit(window // 2), F.lit(1))).cast("int") + 1)
+    parts = F.transform(places, lambda at: F.col("t").substr(at, F.lit(window)))
+    distinct = chosen.select("h", "label", parts.alias("parts")).dropDuplicates(["h", "label"])
+    order = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "h"))
+    limited = distinct.withColumn("place", order).where(F.col("place") <= per_language)
+    return limited.select(F.col("h").cast("string").alias("k"), "label", F.posexplode("parts").alias("i", "part"))
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE) -> Network | None:

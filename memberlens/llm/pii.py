@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memberlens.llm.common import carried, column, restored
@@ -286,12 +286,16 @@ def labelled_windows(texts: Iterable[str], seed: int = 11) -> tuple[np.ndarray,
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Tagger | None:
-    """A tagger from a sample of about ``sample`` texts, half of them with a sign of personal data; None without labels."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
+    """A tagger from at most ``sample`` distinct texts, half of them with a sign of personal data, drawn by their hashes; None
+    without labels."""
+    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(text), F.lit("pii")).alias("h"), F.col(text).alias("t"))
     rows = rows.withColumn("likely", F.col("t").rlike(r"@|\+[0-9]|[0-9]{12}|[0-9]\.[0-9]+\."))
-    totals = rows.groupBy("likely").agg(F.count(F.lit(1)).alias("n"))
-    draw = F.pmod(F.xxhash64(F.col("k"), F.lit("pii")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.join(F.broadcast(totals), "likely").where(draw * F.col("n") < sample / 2)
+    totals = rows.groupBy("likely").agg(F.count_distinct("h").alias("n"))
+    place = F.pmod(F.col("h"), F.lit(1 << 30))
+    drawn = rows.join(F.broadcast(totals), "likely").where(place / F.lit(float(1 << 30)) * F.col("n") < sample / 2)
+    order = F.row_number().over(Window.partitionBy("likely").orderBy(place, "h"))
+    listed = drawn.select("h", "likely").distinct().withColumn("place", order).where(F.col("place") <= sample // 2).select("h")
+    chosen = drawn.join(F.broadcast(listed), "h").dropDuplicates(["h"]).select(F.col("h").cast("string").alias("k"), "t")
     # Long texts give their spans' surroundings; what a task sends to the driver is windows of fixed length.
     schema = "k string, i int, window binary, gold binary"
 
