@@ -123,7 +123,8 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_
         level += 1
         merged = stored(packing_round(items, rows, capacity, max(1, -(-rows // max(1, groups)))), f"packing-{level}")
         moved = merged.select(F.col("item").alias("bin"), F.col("bin").alias("to"), F.col("offset").alias("shift"))
-        joined = moved.where(F.col("bin") != F.col("to"))
+        # a bin that keeps its name may still stand behind a longer one
+        joined = moved.where((F.col("bin") != F.col("to")) | (F.col("shift") != 0))
         if joined.isEmpty() and groups <= 1:
             break
         placed = placed.join(joined, "bin", "left").select(

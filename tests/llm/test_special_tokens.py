@@ -42,3 +42,15 @@ def test_documents_with_special_tokens(spark, fresh_dir):
     tokenfile.write_token_files(brute.frame(spark, rows), fresh_dir + "/s", BYTE, partitions=1)
     assert [(r["start"], bytes(r["ids"])) for r in tokenfile.read_token_files(spark, fresh_dir + "/s").orderBy("start").collect()] == [
         (0, b"".join(int(x).to_bytes(4, "little") for x in [*ids(rows[0][1], BYTE), 0])), (5, b"".join(int(x).to_bytes(4, "little") for x in [*ids("plain", BYTE), 0]))]
+
+
+def test_offsets_of_merged_bins_do_not_overlap(spark):
+    """The bin that keeps its name when bins merge may be the shorter one, which then stands behind."""
+    lengths = [300 + 37 * i % 900 for i in range(200)]
+    frame = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
+    bins = {}
+    for r in packing.pack(frame, group_items=10).join(frame, "item").collect():
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["offset"] + r["length"]))
+    for parts in bins.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a[1] == b[0] for a, b in zip(parts, parts[1:])) and parts[-1][1] <= 2048
