@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memberlens.llm import decontamination, kdsearch, language, licenses, near_duplicates, packing, pii, repeats, sharding, tokenfile
+from memberlens.llm import decontamination, kdsearch, language, licenses, lines, near_duplicates, packing, pii, repeats, sharding, tokenfile
 from memberlens.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,23 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What stays of every document without 100-byte strings that start earlier too."""
     return repeats.digest(repeats.repeated_spans(table(spark, folder, "documents")))
+
+
+@query
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What stays of every document without lines that ten documents share."""
+    return lines.digest(lines.without_frequent_lines(table(spark, folder, "documents")))
+
+
+ORACLES["op13_line_dedup"] = r"""
+WITH line AS (
+  SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM line),
+common AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT y.*, c.k IS NOT NULL AS gone FROM keyed y LEFT JOIN common c ON y.k = c.k)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""

@@ -14,7 +14,7 @@ ROOT = pathlib.Path(__file__).resolve().parents[2]
 
 def test_one_query_per_operator_and_the_pipeline():
     names = entry_points.queries()
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14)) and "pipeline" in names
     assert set(queries.QUERIES) <= set(names) and set(queries.ORACLES) <= set(entry_points.oracle_sql())
 
 
