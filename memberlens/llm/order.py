@@ -48,8 +48,8 @@ def prefix_sums(df: DataFrame, number: str, values: Sequence[str], block: int =
     inside = Window.partitionBy("block").orderBy(number).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = stored(cut.groupBy("block").agg(*[F.sum(v).alias(v) for v in values]), "blocks")
     if totals.count() > block:
-        sums = prefix_sums(totals, "block", values, block)
-        offsets = sums.select("block", *[(F.col(f"sum_{v}") - F.col(v)).alias(f"before_{v}") for v in values])
+        sums = prefix_sums(totals.withColumnRenamed("block", "cut"), "cut", values, block)
+        offsets = sums.select(F.col("cut").alias("block"), *[(F.col(f"sum_{v}") - F.col(v)).alias(f"before_{v}") for v in values])
     else:
         offsets = earlier(totals, "block", values)
     return cut.join(offsets, "block").select(*df.columns, *[(F.sum(v).over(inside) + F.col(f"before_{v}")).alias(f"sum_{v}") for v in values])

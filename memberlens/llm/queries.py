@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memberlens.llm import decontamination, kdsearch, language, licenses, lines, near_duplicates, negatives, packing, pii, repeats, sharding, tokenfile
+from memberlens.llm import decontamination, kdsearch, language, licenses, lines, near_duplicates, negatives, packing, pii, prefix_trie, repeats, sharding, tokenfile
 from memberlens.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,42 @@ negative AS (
   FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
   WHERE 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 3"""
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations, with figures of what starts with it."""
+    return prefix_trie.digest(prefix_trie.prefix_trie(*prefix_trie.rebuilt(table(spark, folder, "conversations"))))
+
+
+ORACLES["op11_prefix_trie"] = r"""
+WITH o AS (
+  SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS p
+  FROM (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+hashed AS (
+  SELECT c, c - c % 100 AS base, n, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda a, x: list_reduce(list_concat([xor(a, x)], range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT) % 6 AS h
+  FROM (SELECT c, count(*) AS n FROM o GROUP BY c)),
+conv AS (SELECT a.*, least(a.h, coalesce(b.n, 0)) AS taken FROM hashed a LEFT JOIN hashed b ON a.base = b.c),
+turn AS (
+  SELECT v.c, o.p AS d, role, text FROM conv v JOIN o ON o.c = v.base AND o.p <= v.taken
+  UNION ALL SELECT v.c, v.taken + o.p - v.h, role, text FROM conv v JOIN o ON o.c = v.c AND o.p > v.h),
+prefix AS (
+  SELECT c, 0 AS d, 0 AS chars, '' AS k FROM conv
+  UNION ALL SELECT c, d, length(text), md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING))
+  FROM turn),
+node AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, max(chars) AS chars FROM prefix GROUP BY d, k),
+child AS (
+  SELECT n.*, p.k AS parent_k, u.conv_id AS parent_conv_id FROM node n
+  LEFT JOIN prefix p ON p.c = n.conv_id AND p.d = n.d - 1 LEFT JOIN node u ON u.d = n.d - 1 AND u.k = p.k),
+fan AS (SELECT d - 1 AS d, parent_k AS k, count(*) AS n_children FROM child WHERE d > 0 GROUP BY 1, 2),
+whole AS (SELECT c.*, coalesce(f.n_children, 0) AS n_children FROM child c LEFT JOIN fan f USING (d, k)),
+below AS (
+  SELECT p.d, p.k, sum((w.n_children = 0)::INT) AS n_leaves, sum((w.n_convs - 1) * w.chars) AS saved_tokens
+  FROM whole w JOIN prefix p ON p.c = w.conv_id AND p.d <= w.d GROUP BY 1, 2),
+ended AS (
+  SELECT d, k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM prefix p
+  WHERE d = (SELECT max(q.d) FROM prefix q WHERE q.c = p.c) GROUP BY 1, 2)
+SELECT w.conv_id, w.d::BIGINT AS depth, w.parent_conv_id, w.n_convs, w.n_children::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves,
+  b.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM whole w JOIN below b USING (d, k) LEFT JOIN ended e USING (d, k)"""

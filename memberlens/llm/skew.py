@@ -27,3 +27,10 @@ def semi_join(rows: DataFrame, keys: DataFrame, on: Sequence[str], weight: str,
     heavy, light = heavy_and_light(keys, weight, most)
     on = list(on)
     return rows.join(F.broadcast(heavy.select(on)), on, "left_semi").unionByName(rows.join(light.select(on), on, "left_semi"))
+
+
+def lookup(rows: DataFrame, keys: DataFrame, on: Sequence[str], weight: str, most: int = HEAVY) -> DataFrame:
+    """``rows`` with the columns of ``keys`` (stored, one row a key); rows without a key go. Both tables are read twice."""
+    heavy, light = heavy_and_light(keys, weight, most)
+    on = list(on)
+    return rows.join(F.broadcast(heavy.drop(weight)), on).unionByName(rows.join(light.drop(weight), on))
