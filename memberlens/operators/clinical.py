@@ -29,12 +29,16 @@ def first_diagnosis_dates(mapped: DataFrame) -> DataFrame:
 
 
 def condition_months(spine: DataFrame, mapped: DataFrame, bounded: bool = False) -> DataFrame:
-    """Condition flags and first-diagnosis-month flags per member-month.
+    return condition_flags(spine, first_diagnosis_dates(mapped), bounded)
+
+
+def condition_flags(spine: DataFrame, firsts: DataFrame, bounded: bool = False) -> DataFrame:
+    """Condition flags and first-diagnosis-month flags per member-month, from the first dates.
 
     Unbounded flags look at all diagnoses regardless of date, as the published table does; ``bounded`` counts a
     condition from the month of its first diagnosis. The first-diagnosis flag marks that month in both.
     """
-    out = spine.select(*KEYS).join(first_diagnosis_dates(mapped), "member_id", "left")
+    out = spine.select(*KEYS).join(firsts, "member_id", "left")
     picked = []
     for c in CONDITIONS:
         first = F.col(f"first_{c}_date")
@@ -44,8 +48,12 @@ def condition_months(spine: DataFrame, mapped: DataFrame, bounded: bool = False)
 
 
 def treatment_required(spine: DataFrame, mapped: DataFrame) -> DataFrame:
-    """1 once a condition was diagnosed on or before the first day of the month."""
-    out = spine.select(*KEYS).join(first_diagnosis_dates(mapped), "member_id", "left")
+    return required_flags(spine, first_diagnosis_dates(mapped))
+
+
+def required_flags(spine: DataFrame, firsts: DataFrame) -> DataFrame:
+    """1 once a condition was diagnosed on or before the first day of the month, from the first dates."""
+    out = spine.select(*KEYS).join(firsts, "member_id", "left")
     return out.select(*KEYS, *[flag(F.col(f"first_{c}_date") <= F.col("month")).alias(f"{c}_treatment_required")
                                for c in CONDITIONS])
 

@@ -79,15 +79,16 @@ def engagement_months(spine: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def contact_metrics(spine: DataFrame, contacts: DataFrame, tried_from: int = 2, succeeded_from: int = 2,
-                    intense_from: int = 10, support_from: int = 5) -> DataFrame:
+                    intense_from: int = 10, support_from: int = 5, weight: str | None = None) -> DataFrame:
     """Contact attempts of the month: counts, success rate and intensity flags.
 
-    ``tried_from`` and ``succeeded_from`` default to 2 because the published rule asks for more than one attempt.
+    ``weight`` names the number of attempts that a row stands for, where contacts were added up before. ``tried_from`` and ``succeeded_from`` default to 2 because the published rule asks for more than one attempt.
     """
     own = contacts.where(F.col("contact_subject") == "individual")
+    n = F.col(weight) if weight else F.lit(1)
     counts = lb.month_windows(spine, [(own, "contact_date", [
-        lb.MonthMeasure({"successful_contact_attempts": (0, 0)}, F.col("status") == "successful", "count"),
-        lb.MonthMeasure({"unsuccessful_contact_attempts": (0, 0)}, F.col("status") == "unsuccessful", "count"),
+        lb.MonthMeasure({f"{status}_contact_attempts": (0, 0)}, F.when(F.col("status") == status, n).otherwise(0), "whole")
+        for status in ("successful", "unsuccessful")
     ])])
     ok, total = F.col("successful_contact_attempts"), F.col("total_contact_attempts")
     return counts.withColumn("total_contact_attempts", ok + F.col("unsuccessful_contact_attempts")).select(
@@ -132,9 +133,9 @@ def responsiveness(spine: DataFrame, calls: DataFrame, within_days: int = 2, mis
     ])])
 
 
-def message_flags(spine: DataFrame, messages: DataFrame, burst: int = 5) -> DataFrame:
-    """Any message in the month, and any day with at least ``burst`` messages."""
-    per_day = messages.groupBy("member_id", "contact_date").agg(F.count("*").alias("n"))
+def message_flags(spine: DataFrame, messages: DataFrame, burst: int = 5, weight: str | None = None) -> DataFrame:
+    """Any message in the month, and any day with at least ``burst`` messages (``weight`` of them in a row)."""
+    per_day = messages.groupBy("member_id", "contact_date").agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     return lb.month_windows(spine, [(per_day, "contact_date", [
         lb.MonthMeasure({"texted_in_month": (0, 0)}, F.col("n") > 0),
         lb.MonthMeasure({"likes_to_converse_by_text_in_month": (0, 0)}, F.col("n") >= burst),

@@ -9,8 +9,8 @@ from memberlens.operators import clinical as cl
 from memberlens.operators import eventlog as ev
 from memberlens.operators import months as mo
 from memberlens.plans import roles as r
-from memberlens.plans.registry import query
-from memberlens.sources.tables import stored
+from memberlens.plans.registry import Tables, query, role
+from memberlens.sources.tables import bucketed, co_partitioned, stored
 
 CUTOFF = r.LAST_MONTH
 MARKETS = ["nation_1", "nation_2", "nation_3"]
@@ -92,7 +92,8 @@ contact AS (
 
 
 def contact(t):
-    return mo.contact_metrics(r.spine(t), r.contacts(t), tried_from=1, succeeded_from=1, intense_from=3, support_from=2)
+    contacts = r.contacts(t)
+    return mo.contact_metrics(r.spine(t), contacts, weight="n" if "n" in contacts.columns else None, tried_from=1, succeeded_from=1, intense_from=3, support_from=2)
 
 
 @query("k18_contact_metrics", r.sql(r.SPINE, CONTACT, body="SELECT * FROM contact"))
@@ -147,7 +148,8 @@ sms AS (
 
 
 def sms(t):
-    return mo.message_flags(r.spine(t), r.fills(t).withColumnRenamed("filled_date", "contact_date"), burst=2)
+    fills = r.fills(t).withColumnRenamed("filled_date", "contact_date")
+    return mo.message_flags(r.spine(t), fills, burst=2, weight="n" if "n" in fills.columns else None)
 
 
 @query("k21_message_bursts", r.sql(r.SPINE, r.FILLS, SMS, body="SELECT * FROM sms"))
@@ -204,6 +206,17 @@ def mapped(t):
     return ev.mapped_diagnoses(r.diagnoses(t), r.code_map(t))
 
 
+@role
+def firsts(t):
+    return cl.first_diagnosis_dates(mapped(t))
+
+
+@role
+def member_months(t):
+    """Spans of all members, as a stage that all blocks start from."""
+    return stored(spans(t).drop("month_end"), "member-months")
+
+
 def _condition_sql(known):
     return ", ".join(f"CASE WHEN {known.format(c=c)} THEN 1 ELSE 0 END AS has_{c}, "
                      f"CASE WHEN DATE_TRUNC('month', f_{c}) = s.month THEN 1 ELSE 0 END AS first_diagnosis_{c}" for c in cl.CONDITIONS)
@@ -212,13 +225,13 @@ def _condition_sql(known):
 @query("k24_condition_months", r.sql(r.SPINE, CONDITION, body=f"""
 SELECT s.member_id, s.month, {_condition_sql("f_{c} IS NOT NULL")} FROM spine s LEFT JOIN firsts_dx f ON f.member_id = s.member_id"""))
 def k24(t):
-    return cl.condition_months(r.spine(t), mapped(t))
+    return cl.condition_flags(r.spine(t), firsts(t))
 
 
 @query("k24_condition_months_bounded", r.sql(r.SPINE, CONDITION, body=f"""
 SELECT s.member_id, s.month, {_condition_sql("DATE_TRUNC('month', f_{c}) <= s.month")} FROM spine s LEFT JOIN firsts_dx f ON f.member_id = s.member_id"""))
 def k24_bounded(t):
-    return cl.condition_months(r.spine(t), mapped(t), bounded=True)
+    return cl.condition_flags(r.spine(t), firsts(t), bounded=True)
 
 
 REQUIRED = f"""
@@ -229,14 +242,14 @@ required AS (
 
 @query("k25_treatment_required", r.sql(r.SPINE, CONDITION, REQUIRED, body="SELECT * FROM required"))
 def k25(t):
-    return cl.treatment_required(r.spine(t), mapped(t))
+    return cl.required_flags(r.spine(t), firsts(t))
 
 
 @query("c15_first_date_join", r.sql(r.SPINE, CONDITION, body="""
 SELECT s.member_id, s.month, CASE WHEN f.f_diabetes IS NOT NULL THEN 1 ELSE 0 END AS ever_by_this_month
 FROM spine s LEFT JOIN firsts_dx f ON f.member_id = s.member_id AND f.f_diabetes <= s.month"""))
 def c15(t):
-    return cl.treatment_required(r.spine(t), mapped(t)).select("member_id", "month", F.col("diabetes_treatment_required").alias("ever_by_this_month"))
+    return cl.required_flags(r.spine(t), firsts(t)).select("member_id", "month", F.col("diabetes_treatment_required").alias("ever_by_this_month"))
 
 
 TREATED = """
@@ -246,6 +259,7 @@ treated AS (
   FROM visits v JOIN dx ON dx.member_id = v.member_id AND dx.claim_id = v.claim_id AND dx.dx_line_number IN (1, 2) AND condition IS NOT NULL)"""
 
 
+@role
 def treatments(t):
     return cl.office_treatments(r.claims(t), mapped(t))
 
@@ -271,7 +285,7 @@ SELECT {picked} FROM required r JOIN counts USING (member_id, month) JOIN sets U
 
 
 def coordination(t):
-    return cl.care_coordination(r.spine(t), treatments(t), cl.treatment_required(r.spine(t), mapped(t)))
+    return cl.care_coordination(r.spine(t), treatments(t), cl.required_flags(r.spine(t), firsts(t)))
 
 
 @query("k27_single_provider", _coordination("r.*, " + ", ".join(
@@ -347,6 +361,7 @@ def _any(table, pred, lo, hi, name):
             f"THEN 1 ELSE 0 END AS {name}")
 
 
+@role
 def facility_lines(t):
     """Claim lines whose supplier number stands for the place: lab, nursing facility or office."""
     return r.claims(t).withColumn("place_of_service", F.expr(
@@ -383,9 +398,9 @@ def c10(t):
 
 def checks(t):
     """Orders as health checks with escalations: status and priority give the answers, a month later the resolution."""
-    created = F.to_date("o_orderdate")
-    return t.orders.select(
-        F.col("o_custkey").alias("member_id"), created.alias("created_at"),
+    created = F.col("day")
+    return r.order_facts(t).select(
+        "member_id", created.alias("created_at"),
         F.when(F.col("o_orderstatus") == "F", "yes").otherwise("no").alias("is_health_declining"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "yes").otherwise("no").alias("has_medication_concerns"),
         F.when(F.col("o_orderpriority") == "2-HIGH", "yes").otherwise("no").alias("has_health_concerns"),
@@ -506,8 +521,8 @@ def c12(t):
 # ---- assembly and cohorts ------------------------------------------------------------------------------
 
 def consolidated(t):
-    """The wide member-month table of the main blocks. The member-months are a stage that all blocks start from."""
-    months = stored(spans(t).drop("month_end"), "member-months")
+    """The wide member-month table of the main blocks."""
+    months = member_months(t)
     spine, members = months.select("member_id", "month"), r.members(t)
     days = cl.event_day_months(months.where("is_enrolled = 1").select("member_id", "month"), r.claims(t))
     return mo.star_join(
@@ -545,7 +560,7 @@ def wide_sql(body):
 
 @query("k35_consolidated_months", wide_sql("SELECT * FROM wide"))
 def k35(t):
-    return consolidated(t)
+    return published(t, consolidated, MAIN_FEEDS)
 
 
 def all_blocks(t):
@@ -560,6 +575,44 @@ def all_blocks(t):
     return mo.star_join(consolidated(t), blocks)
 
 
+MAIN_FEEDS = ("members", "eligibility", "claims")
+ALL_FEEDS = (*MAIN_FEEDS, "facility_lines", "firsts", "treatments", "fills")
+
+
+def co_located(t, names=ALL_FEEDS):
+    """The named feeds of the wide table as stages that lie together by member.
+
+    Order lines are read once and orders twice. Every feed is reduced before it is shuffled: to person-days with counts, or to
+    the distinct rows that its measures can tell apart; a person who holds a third of all rows is a row per day.
+    """
+    raw, out = Tables(t.spark, t.folder), Tables(t.spark, t.folder)
+    lines = r.claims(t)
+    if set(names) - set(MAIN_FEEDS):
+        lines = stored(lines.join(r.parts(t), "part_id"), "claim-lines")
+        raw.stages |= {"claims": lines, "diagnoses": r.diagnoses_of(lines), "fills": r.fills_of(lines)}
+
+    def counted(df):
+        return df.groupBy(df.columns).agg(F.count("*").alias("n"))
+
+    out.stages["order_facts"] = bucketed(counted(r.order_facts(t).drop("contact_id")), "order-days", "member_id")
+
+    feeds = {
+        "members": lambda: r.members(out), "eligibility": lambda: r.eligibility(out), "firsts": lambda: firsts(raw), "treatments": lambda: treatments(raw),
+        "claims": lambda: lines.select("member_id", "service_date", "place_of_service", "revenue_code").distinct(),
+        "facility_lines": lambda: facility_lines(raw).select("member_id", "service_date", "place_of_service").distinct(),
+        "fills": lambda: counted(r.fills(raw)),
+    }
+    out.stages |= {name: bucketed(feeds[name](), name, "member_id") for name in names}
+    out.stages["member_months"] = bucketed(spans(out).drop("month_end"), "member-months", "member_id")
+    return out
+
+
+def published(t, table, names=ALL_FEEDS):
+    """A wide table as a stage of its own, joined where its blocks lie."""
+    with co_partitioned(t.spark):
+        return stored(table(co_located(t, names)), "wide-table")
+
+
 def all_blocks_sql(body):
     """The same from the blocks' own SQL."""
     from memberlens.plans.registry import ORACLES
@@ -575,12 +628,12 @@ def all_blocks_sql(body):
 
 @query("k35_all_blocks", all_blocks_sql("SELECT * FROM %s"))
 def k35_all(t):
-    return all_blocks(t)
+    return published(t, all_blocks)
 
 
 @query("c3_star_join", wide_sql("SELECT member_id, month, is_auto, age_bucket, is_enrolled, is_ever_engaged, ed_events_in_month, is_active_next_90d, health_present_this_month FROM wide"))
 def c3(t):
-    return consolidated(t).select("member_id", "month", "is_auto", "age_bucket", "is_enrolled", "is_ever_engaged", "ed_events_in_month",
+    return published(t, consolidated, MAIN_FEEDS).select("member_id", "month", "is_auto", "age_bucket", "is_enrolled", "is_ever_engaged", "ed_events_in_month",
                                   "is_active_next_90d", "health_present_this_month")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +17,13 @@ TABLE_NAMES = [
 
 
 class Tables:
-    """The parquet tables of one folder."""
+    """The parquet tables of one folder. ``stages`` holds feeds that were already written, by the name of their role."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
         self._open: dict[str, DataFrame] = {}
+        self.stages: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -34,6 +36,16 @@ class Tables:
         raise AttributeError(name)
 
 
+def role(fn: Callable[[Tables], DataFrame]):
+    """A feed that reads the stage of its name where there is one."""
+
+    @functools.wraps(fn)
+    def read(t: Tables) -> DataFrame:
+        return t.stages[fn.__name__] if fn.__name__ in t.stages else fn(t)
+
+    return read
+
+
 def query(name: str, oracle: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``; ``oracle`` is the equivalent SQL, if SQL can say it."""
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.plans.registry import Tables
+from memberlens.plans.registry import Tables, role
 
 # Brand number (1 to 25) -> category code.
 BRAND_CATEGORY = [
@@ -23,11 +23,22 @@ TYPE_CLASS = {
 LAST_MONTH = "2001-08-01"
 
 
+@role
+def order_facts(t: Tables) -> DataFrame:
+    """What the feeds taken from orders use of them."""
+    return t.orders.select(
+        F.col("o_custkey").alias("member_id"), F.to_date("o_orderdate").alias("day"), "o_orderpriority", "o_orderstatus",
+        (F.col("o_totalprice") / 100000).cast("int").alias("duration"), (F.col("o_orderkey") % 7 + 1).cast("int").alias("category_number"),
+        (F.floor("o_totalprice") % 5 + 1).alias("score"), F.col("o_orderkey").alias("contact_id"),
+    )
+
+
+@role
 def members(t: Tables) -> DataFrame:
     """customer as members; the first high-priority and first urgent order stand for selection and engagement."""
-    firsts = t.orders.groupBy(F.col("o_custkey").alias("member_id")).agg(
-        F.min(F.when(F.col("o_orderpriority") == "2-HIGH", F.to_date("o_orderdate"))).alias("first_selected_date"),
-        F.min(F.when(F.col("o_orderpriority") == "1-URGENT", F.to_date("o_orderdate"))).alias("first_engaged_date"),
+    firsts = order_facts(t).groupBy("member_id").agg(
+        F.min(F.when(F.col("o_orderpriority") == "2-HIGH", F.col("day"))).alias("first_selected_date"),
+        F.min(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("day"))).alias("first_engaged_date"),
     )
     nation = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.lower("n_name").alias("market"))
     return (
@@ -60,6 +71,7 @@ members AS (
   FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN firsts ON firsts.member_id = c_custkey)"""
 
 
+@role
 def claims(t: Tables) -> DataFrame:
     """lineitem with its order as claim lines."""
     orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("member_id"))
@@ -91,10 +103,19 @@ claims AS (
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
 
 
+def parts(t: Tables) -> DataFrame:
+    """part as the diagnosis and the drug of a claim line."""
+    return t.part.select(F.col("p_partkey").alias("part_id"), _code(".").alias("icd_code"), F.col("p_name").alias("icd_desc"), F.col("p_type").alias("drug_type"))
+
+
+@role
 def diagnoses(t: Tables) -> DataFrame:
     """The part of a claim line as its diagnosis: a dotted code from brand and size."""
-    part = t.part.select(F.col("p_partkey").alias("part_id"), _code(".").alias("icd_code"), F.col("p_name").alias("icd_desc"))
-    return claims(t).join(part, "part_id").select(
+    return diagnoses_of(claims(t).join(parts(t), "part_id"))
+
+
+def diagnoses_of(lines: DataFrame) -> DataFrame:
+    return lines.select(
         "member_id", "claim_id", F.col("claim_line_number").alias("dx_line_number"), "icd_code", "icd_desc",
         "provider_id", "place_of_service", "service_date", "revenue_code",
     )
@@ -145,10 +166,14 @@ mapped AS (
    AND m.model_version = 'CMS-HCC-V28' AND m.payment_year = 2024)"""
 
 
+@role
 def fills(t: Tables) -> DataFrame:
-    """Claim lines as pharmacy fills: the part type is the drug class, the quantity the days of supply."""
-    part = t.part.select(F.col("p_partkey").alias("part_id"), F.col("p_type").alias("drug_type"))
-    return claims(t).join(part, "part_id").select(
+    """Claim lines as pharmacy fills: the part type is the drug class, the quantity the days of supply. A stage has ``n`` in a row."""
+    return fills_of(claims(t).join(parts(t), "part_id"))
+
+
+def fills_of(lines: DataFrame) -> DataFrame:
+    return lines.select(
         "member_id", F.col("service_date").alias("filled_date"), F.col("part_id").alias("ndc"), "drug_type",
         F.col("quantity").alias("days_supply"),
         *[(F.col("drug_type") == kind).alias(f"is_{name}") for kind, name in TYPE_CLASS.items()],
@@ -179,13 +204,15 @@ feed AS (
   FROM events)"""
 
 
+@role
 def contacts(t: Tables) -> DataFrame:
-    """Orders as contact attempts and as calls."""
-    return t.orders.select(
-        F.col("o_custkey").alias("member_id"), F.to_date("o_orderdate").alias("contact_date"),
+    """Orders as contact attempts and as calls. A stage has ``n`` attempts in a row."""
+    facts = order_facts(t)
+    return facts.select(
+        "member_id", F.col("day").alias("contact_date"),
         F.expr("CASE o_orderstatus WHEN 'F' THEN 'successful' WHEN 'O' THEN 'unsuccessful' ELSE 'other' END").alias("status"),
         F.when(F.col("o_orderpriority") == "5-LOW", "caregiver").otherwise("individual").alias("contact_subject"),
-        (F.col("o_totalprice") / 100000).cast("int").alias("duration"), F.col("o_orderkey").alias("contact_id"),
+        "duration", *[c for c in ("contact_id", "n") if c in facts.columns],
         F.expr("CASE o_orderpriority WHEN '1-URGENT' THEN 'Phone Call' WHEN '2-HIGH' THEN 'Incoming' "
                "WHEN '3-MEDIUM' THEN 'Outgoing' ELSE 'Mail' END").alias("direction"),
     )
@@ -202,9 +229,10 @@ contacts AS (
   FROM orders)"""
 
 
+@role
 def eligibility(t: Tables) -> DataFrame:
     """Every month from a member's first to last order; enrolled in months with an order, unknown in Decembers without."""
-    seen = t.orders.select(F.col("o_custkey").alias("member_id"), F.trunc("o_orderdate", "MONTH").alias("month")).distinct()
+    seen = order_facts(t).select("member_id", F.trunc("day", "MONTH").alias("month")).distinct()
     span = seen.groupBy("member_id").agg(F.min("month").alias("a"), F.max("month").alias("b"))
     dense = span.select("member_id", F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
     return dense.join(seen.withColumn("_has", F.lit(True)), ["member_id", "month"], "left").select(
@@ -251,15 +279,12 @@ note_scores AS (
   FROM feed)"""
 
 
+@role
 def note_scores_over_time(t: Tables) -> DataFrame:
     """Scored notes over all months, from orders: category by order key, score by order price."""
     names = F.array(*[F.lit(n) for n in ("HEALTH", "PROGRAM_TRUST", "SELF", "RISK_HARM", "SOCIAL_STABILITY",
                                          "MED_ADHERENCE", "CARE_ENGAGEMENT")])
-    return t.orders.select(
-        F.col("o_custkey").alias("member_id"), F.to_date("o_orderdate").alias("note_date"),
-        F.element_at(names, (F.col("o_orderkey") % 7 + 1).cast("int")).alias("category"),
-        (F.floor("o_totalprice") % 5 + 1).alias("score"),
-    )
+    return order_facts(t).select("member_id", F.col("day").alias("note_date"), F.element_at(names, F.col("category_number")).alias("category"), "score")
 
 
 NOTES_OVER_TIME = """

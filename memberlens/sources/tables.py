@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from contextlib import contextmanager
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -107,6 +109,32 @@ def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFr
     return spark.read.schema(df.schema).parquet(folder).select(*df.columns)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """A stage whose files are hashed and sorted by ``key``, in as many buckets as a shuffle has partitions.
+
+    Groups, windows and joins by the key then start where the rows lie. Rows should be reduced before: all rows of a key
+    share a bucket.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
+    writer.option("path", run_folder(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
+@contextmanager
+def co_partitioned(spark: SparkSession):
+    """While an action runs, tables hashed by some of a join's keys are joined where they lie."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def insert_into(df: DataFrame, schema: T.StructType, path: str) -> None:
     """Append to a table with a declared schema; columns are matched by name and cast or rejected."""
     df.to(schema).write.mode("append").parquet(path)
