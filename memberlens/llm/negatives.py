@@ -108,25 +108,32 @@ class Shard:
         while depth < n:
             last = min(n, depth + step)
             seen = np.where(falling[:, None], lists[:, n - last:n - depth][:, ::-1], lists[:, depth:last])
-            fresh = np.unique(seen)
-            fresh = fresh[open_rows[fresh]]
+            reached = np.zeros(n, bool)
+            reached[seen] = True
+            fresh = np.flatnonzero(reached & open_rows)
             open_rows[fresh] = False
             if len(fresh):
                 scored += len(fresh)
-                self.keep(fresh, points[fresh] @ q, windows, best, k)
+                self.keep(fresh, points.take(fresh, 0) @ q, windows, best, k)
             depth, step = last, step * 2
             threshold = points[seen[:, -1], used] @ q[used]  # no unseen row can have more
-            if all(threshold < (max(low, b[-1][0]) if len(b) == k else low) for (low, _), b in zip(windows, best)):
+            if not open_rows.any() or all(threshold < (max(low, b[-1][0]) if len(b) == k else low) for (low, _), b in zip(windows, best)):
                 break
         return scored
 
     def keep(self, rows: np.ndarray, scores: np.ndarray, windows: Sequence[tuple], best: list[list[tuple]], k: int) -> None:
-        for (low, high), held in zip(windows, best):
-            least = held[-1][0] if len(held) == k else low
-            good = np.flatnonzero((scores >= least) & (scores <= high))
-            if len(good):
-                first = good[np.lexsort((self.ids[rows[good]], -scores[good]))[:k]]
-                held.extend((int(s), -int(i)) for s, i in zip(scores[first], self.ids[rows[first]]))
+        """Take the best of newly scored rows into every window: they are sorted once, a window is a stretch of them."""
+        least = [held[-1][0] if len(held) == k else low for (low, _), held in zip(windows, best)]
+        good = np.flatnonzero(scores >= min(least, default=0))
+        if not len(good):
+            return
+        good = good[np.lexsort((self.ids[rows[good]], -scores[good]))]
+        falling, ids = -scores[good], self.ids[rows[good]]
+        for (low, high), floor, held in zip(windows, least, best):
+            start = np.searchsorted(falling, -high) if falling[0] < -high else 0
+            found = [(int(-s), -int(i)) for s, i in zip(falling[start:start + k], ids[start:start + k]) if -s >= floor]
+            if found:
+                held.extend(found)
                 held.sort(reverse=True)
                 del held[k:]
 
