@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.llm.common import carried, column, restored
+from memberlens.llm.common import by_small_batches, carried, column, restored
 from memberlens.llm.fmindex import FMIndex
 from memberlens.sources.tables import stored
 
@@ -226,6 +226,7 @@ def with_findings(out: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def shard_search(sent, shard_words: int):
+    @by_small_batches("body")
     def run(batches):
         for frame in batches:
             words = [words_of(t) for t in frame["body"]]

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memberlens.llm.common import carried, column, restored
+from memberlens.llm.common import by_small_batches, carried, column, restored
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -38,7 +38,12 @@ RATE = 0.01
 #: Windows that are convolved at once.
 CHUNK = 256
 
-LETTER = re.compile(r"[^\W\d_]")
+#: What may hold a letter. Numbers that are no digits (a half, a circled one) are word characters too, so ``has_letter`` asks again.
+WORD = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in WORD.finditer(text))
 
 
 @dataclass
@@ -159,7 +164,7 @@ def training_sample(docs: DataFrame, key: str, text: str, label: str, per_langua
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE) -> Network | None:
     """A network from the sample (its size is bounded by the parameter), or None where nothing is labelled."""
     rows = training_sample(docs, key, text, label, per_language).collect()
-    rows = sorted(((r["k"], r["i"], r["label"], r["part"]) for r in rows if LETTER.search(r["part"])))
+    rows = sorted(((r["k"], r["i"], r["label"], r["part"]) for r in rows if has_letter(r["part"])))
     return train([r[3] for r in rows], [r[2] for r in rows]) if rows else None
 
 
@@ -168,6 +173,7 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text", keep:
     sent = docs.sparkSession.sparkContext.broadcast(network)
     rows = docs.select(column(text).alias("body"), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), *carried(keep, text))
 
+    @by_small_batches("body")
     def run(batches):
         for frame in batches:
             labels, scores = judged(sent.value, list(frame["body"]))
@@ -194,7 +200,7 @@ def judged(network: Network | None, texts: list[str | None]) -> tuple[list[str],
 
     held = 0
     for i, body in enumerate(texts):
-        if network is None or not body or not LETTER.search(body):
+        if network is None or not body or not has_letter(body):
             continue
         windows, used = windows_of(body)
         pending.append((i, windows, used))

@@ -23,11 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memberlens.llm.common import carried, column, restored
+from memberlens.llm.common import by_small_batches, carried, column, restored
+from memberlens.sources.tables import stored
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+# A match takes whole runs of digits, so none can start inside one.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile("[^0-9]")
@@ -50,6 +53,12 @@ STEPS = 250
 TRAIN_BATCH = 64
 RATE = 0.02
 
+#: A text that matches this, or has an at sign, is likely to hold a span.
+SIGN = r"[0-9][0-9.() +-]{6}"
+
+#: Spans of one text that are trained on.
+SPANS_PER_TEXT = 8
+
 #: An added span has this many characters at least and this mean margin of its label over the next best.
 LEAST = 7
 MARGIN = 4.0
@@ -65,13 +74,26 @@ def passes_luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterable[tuple[int, int]]:
+    """Matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, found from their at signs outwards: every sign is
+    walked once to the left, while a search from the left would read a long run again from each of its characters."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        host = HOST.match(text, at + 1) if start < at else None
+        if host:
+            end = host.end()
+            yield start, end
+        at = text.find("@", max(end, at + 1))
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the patterns, leftmost and non-overlapping per kind; matches that fail their test are dropped."""
-    out: list[Span] = []
-    if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out: list[Span] = [(a, 0, b) for a, b in emails(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         digits = NOT_DIGIT.sub("", m.group())
@@ -275,7 +297,7 @@ def labelled_windows(texts: Iterable[str], seed: int = 11) -> tuple[np.ndarray,
         for start, kind, end in reversed(spans):
             label[start:end] = kind + 1
         seen = codes(text)
-        places = [max(0, s - int(rng.integers(0, CONTEXT // 2))) for s, _, _ in spans[:8]] + [int(rng.integers(0, max(1, len(text) - CONTEXT)))]
+        places = [max(0, s - int(rng.integers(0, CONTEXT // 2))) for s, _, _ in spans[:SPANS_PER_TEXT]] + [int(rng.integers(0, max(1, len(text) - CONTEXT)))]
         for at in places:
             window, tags = np.zeros(CONTEXT, np.uint8), np.zeros(CONTEXT, np.int64)
             part = seen[at:at + CONTEXT]
@@ -288,14 +310,16 @@ def labelled_windows(texts: Iterable[str], seed: int = 11) -> tuple[np.ndarray,
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Tagger | None:
     """A tagger from at most ``sample`` distinct texts, half of them with a sign of personal data, drawn by their hashes; None
     without labels."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(text), F.lit("pii")).alias("h"), F.col(text).alias("t"))
-    rows = rows.withColumn("likely", F.col("t").rlike(r"@|\+[0-9]|[0-9]{12}|[0-9]\.[0-9]+\."))
-    totals = rows.groupBy("likely").agg(F.count_distinct("h").alias("n"))
+    body = column(text)
+    hashed = docs.where(body.isNotNull()).select(F.xxhash64(body, F.lit("pii")).alias("h"), body.alias("t"))
+    marks = hashed.select("h", (F.instr("t", "@").cast("boolean") | F.col("t").rlike(SIGN)).alias("likely"))
+    marks = stored(marks.distinct(), "marks")  # texts are searched once; what follows reads hashes
+    totals = marks.groupBy("likely").agg(F.count(F.lit(1)).alias("n"))
     place = F.pmod(F.col("h"), F.lit(1 << 30))
-    drawn = rows.join(F.broadcast(totals), "likely").where(place / F.lit(float(1 << 30)) * F.col("n") < sample / 2)
+    drawn = marks.join(F.broadcast(totals), "likely").where(place / F.lit(float(1 << 30)) * F.col("n") < sample / 2)
     order = F.row_number().over(Window.partitionBy("likely").orderBy(place, "h"))
-    listed = drawn.select("h", "likely").distinct().withColumn("place", order).where(F.col("place") <= sample // 2).select("h")
-    chosen = drawn.join(F.broadcast(listed), "h").dropDuplicates(["h"]).select(F.col("h").cast("string").alias("k"), "t")
+    listed = drawn.select("h", "likely").withColumn("place", order).where(F.col("place") <= sample // 2).select("h")
+    chosen = hashed.join(F.broadcast(listed), "h").dropDuplicates(["h"]).select(F.col("h").cast("string").alias("k"), "t")
     # Long texts give their spans' surroundings; what a task sends to the driver is windows of fixed length.
     schema = "k string, i int, window binary, gold binary"
 
@@ -369,6 +393,7 @@ def find(docs: DataFrame, tagger: Tagger | None, key: str = "doc_id", text: str
     def shown(spans: list[Span]) -> list[dict]:
         return [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans]
 
+    @by_small_batches("body")
     def run(batches):
         for frame in batches:
             texts = [t or "" for t in frame["body"]]

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from memberlens.llm.common import small_batches
 from memberlens.llm.tokens import encoded
 
 #: Tokens after which a block ends; a longer document has a block of its own.
@@ -93,7 +94,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, key: str = "d
             row = (part, block, first, size, np.array(keys, np.int64).tobytes(), counts.tobytes(), *coded)
             return pd.DataFrame([row], columns=["part", "block", "first", "tokens", "keys", "counts", "ranked", "control", "data"])
 
-        for frame in batches:
+        for frame in small_batches(batches, "text"):
             names = frame["key"].fillna(NULL_KEY).astype("int64") if frame["key"].isna().any() else frame["key"].astype("int64")
             for name, ids in zip(names, encoded(frame["text"], vocabulary, end_id)):
                 keys.append(int(name))
@@ -107,8 +108,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, key: str = "d
             yield block_row()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange(partitions, "key") if partitions else rows.repartitionByRange("key")
-    dealt.sortWithinPartitions("key").mapInPandas(blocks, BLOCKS).write.mode("overwrite").parquet(path)
+    order = ["key", F.xxhash64("text")]  # one key may hold a large share of all rows: its texts then lie in several ranges
+    dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).mapInPandas(blocks, BLOCKS).write.mode("overwrite").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A pre-tokenizer never joins what stands on the two sides of white space, nor a word with the stops behind it, so a text
 can be cut there and its pieces be looked up one by one. New words go through the tokenizer's model; pieces that are
-anything but a Latin word with stops go through the whole tokenizer. So do those with the string of a special token, which
-gives its id, as the library does by default.
+anything but a Latin word with stops go through the whole tokenizer. Strings of special tokens are cut out first and give
+their ids, as the library does by default; what stands between two of them is a text of its own.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Pieces each worker remembers. A full memory takes no more; results do not depend on it.
-REMEMBERED = 600_000
+#: Words and other pieces that a worker remembers (some 200 bytes each), and the longest ones worth it. A full memory starts
+#: anew; results do not depend on it.
+REMEMBERED = 400_000
+LONGEST = 32
 
 #: White space for Python but not for the tokenizers' patterns: texts with these take the plain path.
 UNSURE = re.compile("[\x1c-\x1f]")
@@ -49,44 +51,56 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None  # lower case, white space dropped
         self.cut = str.split if self.lower else SPACED.findall
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        special = {t.content: np.uint32(i).tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special, self.between = special, re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")
+        self.known: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, word: str) -> bytes:
         """Ids of one word or run of stops, from the model itself."""
-        ids = self.words.get(word)
+        ids = self.known.get(word)
         if ids is None:
             shown = word.encode().decode("latin-1").translate(_LETTERS)
             ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            if len(self.words) < REMEMBERED:
-                self.words[word] = ids
+            self.remember(word, ids)
         return ids
 
     def piece(self, piece: str) -> bytes:
-        """Ids of a piece that is not remembered."""
+        """Ids of a piece that is not remembered: a word, a word with stops, or anything else."""
         match = PLAIN_WORD.fullmatch(piece)
         if match is None:
             ids = self.plain(piece)
-        else:
-            word, stops = match.groups()
-            ids = self.word(word.lower() if self.lower else word)
-            if stops:
-                ids += self.word(stops)
-        if len(self.pieces) < REMEMBERED:
-            self.pieces[piece] = ids
-        return ids
+            self.remember(piece, ids)
+            return ids
+        word, stops = match.groups()
+        ids = self.word(word.lower() if self.lower else word)
+        return ids + self.word(stops) if stops else ids
+
+    def remember(self, piece: str, ids: bytes) -> None:
+        if len(piece) <= LONGEST:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[piece] = ids
 
     def encode(self, text: str) -> bytes:
         if UNSURE.search(text):
             return self.plain(text)
+        if self.between.search(text):
+            out, at = [], 0
+            for m in self.between.finditer(text):
+                out += [self.stretch(text[at:m.start()]), self.special[m.group()]]
+                at = m.end()
+            return b"".join([*out, self.stretch(text[at:])])
+        return self.stretch(text)
+
+    def stretch(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
         cut = self.cut(text)
-        found = list(map(self.pieces.get, cut))
+        found = list(map(self.known.get, cut))
         if None in found:
-            known = self.pieces.get
-            found = [(known(w) or self.piece(w)) if ids is None else ids for w, ids in zip(cut, found)]
+            found = [self.piece(w) if ids is None else ids for w, ids in zip(cut, found)]
         return b"".join(found)
 
 
