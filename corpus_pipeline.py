@@ -7,7 +7,8 @@ are written as Parquet to the shared folder and read again, so a lost executor c
 * near duplicates: one document of each group stays, the one with the smallest doc_id (five-word shingles, 0.8)
 * decontamination: words of benchmark items leave the text with what stands between them, documents stay
 * personal data: spans are replaced by their kind in angle brackets, documents stay
-* packing: pieces of at most 2048 tokens in as few sequences as the rounds find
+* packing: pieces of at most 2048 tokens in as few sequences as the rounds find, each with its ids (little-endian unsigned
+  32-bit) beside their checksum
 
 ``n_chars`` follows a changed text. Null texts go in the first stage. An empty table gives an empty result.
 """
@@ -47,7 +48,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed_digest(docs, vocabulary("word_bpe_49k.json"))
+    return packing.packed_sequences(docs, vocabulary("word_bpe_49k.json"))
 
 
 def rewritten(found: DataFrame, change, *fields: str) -> DataFrame:
