@@ -1,20 +1,37 @@
-"""Minority oversampling by interpolation between near neighbours (exact neighbours, no all-pairs step)."""
+"""Minority oversampling by interpolation between near neighbours.
+
+``bucket_neighbours`` finds near neighbours with a bounded number of visits per vector: each of several tables orders the vectors
+by a code of random projections, and a vector is compared with those next to it in every table. ``nearest_neighbours`` is
+exact for any vectors, but rules out little where they have no structure.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from memberlens.operators.ordering import numbered
 from memberlens.operators.windows import running_totals
+from memberlens.sources.tables import stored
 
 _ROUNDING = 1e-9
 
+#: Bucket search: tables, projections in a code, neighbours on each side that a vector visits in a table, rows of a block.
+TABLES = 32
+BITS = 12
+REACH = 64
+BLOCK_ROWS = 4_096
+
+#: Projections and distances are sums of whole numbers, floor(GRID * x), so they are the same wherever they are formed.
+GRID = 1024
+
 
 def _distances(queries: np.ndarray, data: np.ndarray) -> Iterable[tuple[slice, np.ndarray]]:
     """Euclidean distances of a few queries at a time, so the difference array stays small."""
@@ -116,6 +133,11 @@ def nearest_neighbours(points: DataFrame, k: int = 5, pivots: int = 64, block_ro
     keys = ["cell", "block", "part"]
     found = spread.select("vec", "rep", *keys).groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(
         search, "rep long, neighbour long, copies long, distance double")
+    return with_copies(found, distinct, k)
+
+
+def with_copies(found: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
+    """Ranks of the ``k`` nearest of ``found`` (rep, neighbour, copies, distance), copies counted: see ``nearest_neighbours``."""
     order = W.partitionBy("rep").orderBy("distance", "neighbour")
     closest = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
     own = distinct.select("rep", (F.col("copies") - 1).alias("_own"), F.col("vec").cast("array<double>").alias("_vec"))
@@ -128,33 +150,107 @@ def nearest_neighbours(points: DataFrame, k: int = 5, pivots: int = 64, block_ro
     return itself.unionByName(ranked).where(F.col("lo") <= k)
 
 
-def oversampled(df: DataFrame, label: str = "label", k: int = 5, seed: int = 42, minority: int = 1, **search) -> DataFrame:
-    """Rows (id, vec, label) plus synthetic minority rows until both classes have the same size.
+def signs(tables: int, bits: int, dims: int, seed: int = 42) -> np.ndarray:
+    """(tables, bits, dims) of +1 and -1: by the first hexadecimal digit of md5("seed:table:bit:dim"), so SQL can draw them too."""
+    draws = [hashlib.md5(f"{seed}:{t}:{b}:{j}".encode()).hexdigest()[0] < "8" for t in range(tables) for b in range(bits) for j in range(dims)]
+    return np.where(np.array(draws, bool).reshape(tables, bits, dims), 1.0, -1.0)
+
 
-    A synthetic row lies between a minority row and one of its ``k`` nearest minority neighbours, at a place drawn from
-    a seeded hash. Every minority row is used equally often, give or take one.
+def bucket_neighbours(points: DataFrame, k: int = 5, tables: int = TABLES, bits: int = BITS, reach: int = REACH, block_rows: int = BLOCK_ROWS,
+                      seed: int = 42) -> DataFrame:
+    """Near neighbours of each distinct vector, in the form of ``nearest_neighbours``, from at most ``tables * 2 * reach`` visits.
+
+    In each table a vector's bucket is the signs of ``bits`` random projections of its difference to the mean. Vectors are
+    ordered by bucket, and each visits the ``reach`` ones on either side, so a small bucket probes its neighbours and a hot one
+    costs no more than any other. Ranks among the visited are exact (ties: smaller id). Blocks of ``block_rows`` in that order
+    meet in one task, with a seam of ``reach`` rows on both sides. Vectors have one length and whole-number differences below
+    2 ** 53.
     """
-    sizes = {r[0]: r[1] for r in df.groupBy(F.col(label) == minority).count().collect()}  # two rows
-    few, many = sizes.get(True, 0), sizes.get(False, 0)
-    missing = many - few
-    rows = df.select("id", F.col("vec").cast("array<double>").alias("vec"), label, F.lit(False).alias("synthetic"))
-    if few < 2 or missing <= 0:
-        return rows
-    own = df.where(F.col(label) == minority).select("id", "vec")
-    search.setdefault("pivots", max(16, min(4096, math.isqrt(few))))
-    neighbours = nearest_neighbours(own, k, seed=seed, **search)
+    distinct = stored(points.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "distinct-vectors")
+    grid = distinct.select("rep", "copies", F.transform("vec", lambda x: F.floor(x.cast("double") * F.lit(GRID)).cast("double")).alias("g"))
+    sums = grid.select(F.posexplode("g").alias("j", "x")).groupBy("j").agg(F.sum(F.col("x").cast("bigint")).alias("s"), F.count("*").alias("n"))
+    centre = np.array([float(np.floor(r["s"] / r["n"])) for r in sums.orderBy("j").collect()])  # one row per dimension
+
+    def coded(batches):
+        planes = signs(tables, bits, len(centre), seed).reshape(tables * bits, len(centre))
+        weights = 2 ** np.arange(bits)[::-1]
+        for batch in batches:
+            for at in range(0, len(batch), 1_000):
+                part = batch.iloc[at:at + 1_000]
+                side = ((np.stack(part["g"].to_numpy()) - centre) @ planes.T >= 0).reshape(len(part), tables, bits)
+                for t, code in enumerate((side @ weights).T):
+                    yield part.assign(t=np.int32(t), code=code.astype(np.int64))
+
+    rows = grid.mapInPandas(coded, "rep long, copies long, g array<double>, t int, code long")
+    placed = numbered(rows, ["t", "code", "rep"], "bucket-order")
+    block, inner = F.floor(F.col("number") / F.lit(block_rows)), F.col("number") % block_rows
+    near = F.array_compact(F.array(block, F.when(inner < reach, block - 1), F.when(inner >= block_rows - reach, block + 1)))
+    met = placed.withColumn("own", block).withColumn("block", F.explode(near))
+
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("number", kind="stable").reset_index(drop=True)
+        x, table = np.stack(frame["g"].to_numpy()), frame["t"].to_numpy()
+        names, copies = frame["rep"].to_numpy(), frame["copies"].to_numpy()
+        n, width = len(frame), min(reach, len(frame) - 1)
+        apart = np.full((n, 2 * width), np.inf)
+        for step in range(1, width + 1):
+            d = ((x[step:] - x[:-step]) ** 2).sum(1)
+            d[table[step:] != table[:-step]] = np.inf
+            apart[:-step, width + step - 1] = d
+            apart[step:, width - step] = d
+        own = np.flatnonzero((frame["own"] == frame["block"]).to_numpy())
+        if not width or not len(own):
+            return pd.DataFrame({"rep": [], "neighbour": [], "copies": [], "d": []}).astype({"rep": "int64", "neighbour": "int64", "copies": "int64", "d": "float64"})
+        picked = apart[own]
+        kth = np.partition(picked, min(k, 2 * width) - 1, axis=1)[:, min(k, 2 * width) - 1]
+        i, j = np.nonzero((picked <= kth[:, None]) & np.isfinite(picked))  # all of a tie: the order by id follows
+        at = own[i] + np.where(j >= width, j - width + 1, j - width)
+        return pd.DataFrame({"rep": names[own[i]], "neighbour": names[at], "copies": copies[at], "d": picked[i, j]})
+
+    found = met.groupBy("block").applyInPandas(search, "rep long, neighbour long, copies long, d double")
+    each = found.dropDuplicates(["rep", "neighbour"]).select("rep", "neighbour", "copies", (F.sqrt("d") / F.lit(float(GRID))).alias("distance"))
+    return with_copies(each, distinct, k)
+
+
+def drawn(kind: str, most: Column, *parts: Column) -> Column:
+    """A number from 0 below ``most``, by the first 32 bits of an md5."""
+    text = F.concat_ws(":", F.lit(kind), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % most
+
+
+def synthetic_rows(own: DataFrame, missing: int, few: int, k: int = 5, seed: int = 42, exact: bool = False, **search) -> DataFrame:
+    """(id, draw, neighbour, gap, vec): ``missing`` rows between the ``few`` ones of ``own`` (id, vec) and near neighbours."""
+    if exact:
+        search.setdefault("pivots", max(16, min(4096, math.isqrt(few))))
+    neighbours = (nearest_neighbours if exact else bucket_neighbours)(own, k, seed=seed, **search)
     reps = own.groupBy("vec").agg(F.min("id").alias("rep"))
-    numbered = running_totals(own.select("id").withColumn("one", F.lit(1)), "id", ["one"])
+    numbers = running_totals(own.select("id").withColumn("one", F.lit(1)), "id", ["one"])
     times = F.lit(missing // few) + F.when(F.col("cum_one") <= missing % few, 1).otherwise(0)
     usable = min(k, few - 1)
     draws = (
-        own.join(reps, "vec").join(numbered.select("id", times.cast("int").alias("_times")), "id").where(F.col("_times") > 0)
-        .withColumn("i", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .withColumn("_rank", F.pmod(F.xxhash64("id", "i", F.lit(seed)), F.lit(usable)) + 1)
-        .withColumn("_gap", F.pmod(F.xxhash64("id", "i", F.lit(seed + 1)), F.lit(1_000_000)) / F.lit(1_000_000.0))
+        own.join(reps, "vec").join(numbers.select("id", times.cast("int").alias("_times")), "id").where(F.col("_times") > 0)
+        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        .withColumn("_rank", drawn("rank", F.lit(usable), F.lit(seed), F.col("id"), F.col("draw")) + 1)
+        .withColumn("gap", drawn("gap", F.lit(1_000_000), F.lit(seed), F.col("id"), F.col("draw")) / F.lit(1_000_000.0))
     )
     hit = neighbours.withColumnRenamed("rep", "_rep")
     joined = draws.join(hit, (F.col("rep") == F.col("_rep")) & F.col("_rank").between(F.col("lo"), F.col("hi")))
-    between = F.zip_with(F.col("vec").cast("array<double>"), "neighbour_vec", lambda a, b: a + F.col("_gap") * (b - a))
-    made = joined.select("id", between.alias("vec"), F.lit(minority).cast(df.schema[label].dataType).alias(label), F.lit(True).alias("synthetic"))
-    return rows.unionByName(made)
+    between = F.zip_with(F.col("vec").cast("array<double>"), "neighbour_vec", lambda a, b: a + F.col("gap") * (b - a))
+    return joined.select("id", "draw", "neighbour", "gap", between.alias("vec"))
+
+
+def oversampled(df: DataFrame, label: str = "label", k: int = 5, seed: int = 42, minority: int = 1, exact: bool = False, **search) -> DataFrame:
+    """Rows (id, vec, label) plus synthetic minority rows until both classes have the same size.
+
+    A synthetic row lies between a minority row and one of its ``k`` near minority neighbours (``exact``: nearest ones, by a
+    search without a bound on visits), at a place drawn from a seeded hash. Every minority row is used equally often, give or
+    take one.
+    """
+    sizes = {r[0]: r[1] for r in df.groupBy(F.col(label) == minority).count().collect()}  # two rows
+    few, many = sizes.get(True, 0), sizes.get(False, 0)
+    missing = many - few
+    rows = df.select("id", F.col("vec").cast("array<double>").alias("vec"), label, F.lit(False).alias("synthetic"))
+    if few < 2 or missing <= 0:
+        return rows
+    made = synthetic_rows(df.where(F.col(label) == minority).select("id", "vec"), missing, few, k, seed, exact, **search)
+    return rows.unionByName(made.select("id", "vec", F.lit(minority).cast(df.schema[label].dataType).alias(label), F.lit(True).alias("synthetic")))

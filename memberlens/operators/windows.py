@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from memberlens.functions.expr import as_col, day_number, either, flag
+from memberlens.operators.ordering import numbered_in_groups
 
 
-MAX_RANGES = 2000  # ranges of a whole-table ordering; their totals are ordered in one task
+WIDTH = 256  # range totals that are added up in one task; more of them form a tree
 
 
 def timeline(key: str = "member_id", order: str = "event_date") -> WindowSpec:
@@ -96,9 +97,9 @@ def with_group_means(df: DataFrame, value: str, groupings: dict[str, Sequence[st
 
 
 def range_buckets(df: DataFrame, order: str, buckets: int | None = None) -> list[float]:
-    """Cut points that split the ordered column into shares of similar size (a bounded number of doubles)."""
+    """Cut points that split the ordered column into shares of similar size, as many as a shuffle has partitions."""
     if buckets is None:
-        buckets = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), MAX_RANGES)
+        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     if buckets < 2:
         return []
     shares = [i / buckets for i in range(1, buckets)]
@@ -121,11 +122,8 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], descending:
         cutter = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_order", outputCol="_bucket",
                             handleInvalid="keep")
         bucketed = cutter.transform(df.withColumn("_order", F.col(order).cast("double"))).drop("_order")
-    by_bucket = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    earlier = W.partitionBy(*groups).orderBy(by_bucket).rowsBetween(W.unboundedPreceding, -1)
-    offsets = bucketed.groupBy(*groups, "_bucket").agg(*[F.sum(v).alias(v) for v in values]).select(
-        *groups, "_bucket", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_before_{v}") for v in values]
-    )
+    totals = bucketed.groupBy(*groups, "_bucket").agg(*[F.sum(v).alias(v) for v in values])
+    offsets = range_offsets(totals, "_bucket", values, len(cuts) + 1, descending, groups)
     if not groups:
         offsets = F.broadcast(offsets)  # one row per bucket
     by_value = F.col(order).desc() if descending else F.col(order).asc()
@@ -136,18 +134,33 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], descending:
     )
 
 
+def range_offsets(totals: DataFrame, bucket: str, values: Sequence[str], ranges: int, descending: bool = False,
+                  by: Sequence[str] = (), width: int = WIDTH) -> DataFrame:
+    """The sums of ``values`` over all earlier ranges, as _before_<value>. ``totals`` has a row per range (and ``by`` group).
+
+    More than ``width`` ranges are put together by ``width`` to ranges of ranges, whose own offsets come first; no task adds up
+    more than ``width`` totals of a group.
+    """
+    groups = list(by)
+    order = F.col(bucket).desc() if descending else F.col(bucket).asc()
+    if ranges <= width:
+        earlier = W.partitionBy(*groups).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return totals.select(*groups, bucket, *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_before_{v}") for v in values])
+    upper = f"{bucket}_"
+    cut = totals.withColumn(upper, F.floor(F.col(bucket) / F.lit(width)).cast("double"))
+    above = range_offsets(cut.groupBy(*groups, upper).agg(*[F.sum(v).alias(v) for v in values]), upper, values, -(-ranges // width), descending, groups, width)
+    inside = W.partitionBy(*groups, upper).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    own = cut.select(*groups, upper, bucket, *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_in_{v}") for v in values])
+    return own.join(above, [*groups, upper]).select(*groups, bucket, *[(F.col(f"_in_{v}") + F.col(f"_before_{v}")).alias(f"_before_{v}") for v in values])
+
+
 def ranked_in_groups(df: DataFrame, groups: Sequence[str], value: str, ties: Sequence[str], rank: str) -> DataFrame:
     """Row numbers from the largest ``value`` down, for few large groups.
 
-    Rows of one value are numbered among themselves, and the rows of larger values in the group are a running total over
-    the distinct values, which are far fewer than rows; no task sorts a whole group.
+    Rows lie in ranges of (group, value, ties), so neither a group nor the rows of one value have to fit a task.
     """
-    counts = df.groupBy(*groups, value).agg(F.count("*").alias("_rows"))
-    larger = W.partitionBy(*groups).orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, -1)
-    before = counts.select(*groups, value, F.coalesce(F.sum("_rows").over(larger), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy(*groups, value).orderBy(*ties))
-    return df.withColumn("_inside", inside).join(before, [*groups, value]).select(
-        *df.columns, (F.col("_before") + F.col("_inside")).cast("int").alias(rank))
+    numbers = numbered_in_groups(df, groups, [F.desc(value), *ties], "ranked", rank)
+    return numbers.withColumn(rank, F.col(rank).cast("int"))
 
 
 def cumulative_share(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:

@@ -77,6 +77,54 @@ def l5(t):
     return ov.oversampled(points).groupBy("label", "synthetic").agg(F.count("*").alias("n"))
 
 
+SYNTHETIC = f"""
+WITH own AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings WHERE label = 3),
+size AS (SELECT COUNT(*) FILTER (label = 3) AS few, COUNT(*) FILTER (label <> 3) AS many FROM embeddings),
+distinct_vec AS (SELECT vec, MIN(id) AS rep, COUNT(*) AS copies, list_transform(vec, lambda x: floor(x * {ov.GRID})) AS g FROM own GROUP BY vec),
+cell AS (SELECT rep, unnest(range(0, len(g))) AS j, unnest(g) AS x FROM distinct_vec),
+centre AS (SELECT j, floor(SUM(x::BIGINT)::DOUBLE / COUNT(*)) AS c FROM cell GROUP BY j),
+sign AS (
+  SELECT t, b, j, CASE WHEN md5('42:' || t || ':' || b || ':' || j)[1] < '8' THEN 1 ELSE -1 END AS s
+  FROM range(0, {ov.TABLES}) x(t), range(0, {ov.BITS}) y(b), (SELECT j FROM centre)),
+side AS (
+  SELECT rep, t, b, SUM(s * (x - c)::BIGINT) >= 0 AS up FROM cell JOIN centre USING (j) JOIN sign USING (j) GROUP BY 1, 2, 3),
+code AS (SELECT rep, t, SUM(CASE WHEN up THEN 1 << ({ov.BITS} - 1 - b) ELSE 0 END) AS code FROM side GROUP BY 1, 2),
+place AS (SELECT rep, t, ROW_NUMBER() OVER (PARTITION BY t ORDER BY code, rep) AS i FROM code),
+visited AS (
+  SELECT DISTINCT a.rep, b.rep AS neighbour FROM place a JOIN place b ON a.t = b.t AND a.rep <> b.rep AND abs(a.i - b.i) <= {ov.REACH}),
+apart AS (
+  SELECT v.rep, v.neighbour, b.copies, list_sum(list_transform(list_zip(a.g, b.g), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM visited v JOIN distinct_vec a ON a.rep = v.rep JOIN distinct_vec b ON b.rep = v.neighbour),
+closest AS (
+  SELECT *, SUM(copies) OVER w AS upto FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY rep ORDER BY d, neighbour) AS n FROM apart) WHERE n <= 5
+  WINDOW w AS (PARTITION BY rep ORDER BY d, neighbour)),
+ranked AS (
+  SELECT rep, rep AS neighbour, 1 AS lo, copies - 1 AS hi FROM distinct_vec WHERE copies > 1
+  UNION ALL SELECT c.rep, c.neighbour, v.copies - 1 + upto - c.copies + 1, v.copies - 1 + upto FROM closest c JOIN distinct_vec v ON v.rep = c.rep),
+turn AS (
+  SELECT id, vec, unnest(range(1, many // few - 1 + CASE WHEN ROW_NUMBER() OVER (ORDER BY id) <= (many - few) % few THEN 1 ELSE 0 END + 1)) AS draw, few
+  FROM own, size),
+draws AS (
+  SELECT t.id, t.draw, v.rep, t.vec, ('0x' || md5('rank:42:' || id || ':' || draw)[1:8])::BIGINT % LEAST(5, few - 1) + 1 AS r,
+         (('0x' || md5('gap:42:' || id || ':' || draw)[1:8])::BIGINT % 1000000) / 1000000.0::DOUBLE AS gap
+  FROM turn t JOIN distinct_vec v ON v.vec = t.vec),
+made AS (
+  SELECT d.id, d.draw, k.neighbour, d.gap, list_transform(list_zip(d.vec, n.vec), lambda z: z[1] + d.gap * (z[2] - z[1])) AS vec
+  FROM draws d JOIN ranked k ON k.rep = d.rep AND d.r BETWEEN k.lo AND k.hi JOIN distinct_vec n ON n.rep = k.neighbour)
+SELECT id, draw::INTEGER AS draw, neighbour, gap, vec[1] AS first_component, vec[len(vec)] AS last_component,
+       list_sum(list_transform(vec, lambda x: floor(x * 1000000)::BIGINT))::BIGINT AS total FROM made"""
+
+
+@query("l5_synthetic_rows", SYNTHETIC)
+def l5_rows(t):
+    """Every synthetic row: whom it came from, its neighbour, its place between them and its components."""
+    size = t.embeddings.agg(F.count_if(F.col("label") == 3).alias("few"), F.count_if(F.col("label") != 3).alias("many")).first()
+    own = t.embeddings.where("label = 3").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    made = ov.synthetic_rows(own, size["many"] - size["few"], size["few"])
+    total = F.aggregate(F.transform("vec", lambda x: F.floor(x * 1_000_000)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return made.select("id", "draw", "neighbour", "gap", F.element_at("vec", 1).alias("first_component"), F.element_at("vec", -1).alias("last_component"), total.alias("total"))
+
+
 @query("l6_isotonic_calibration")
 def l6(t):
     rows = r.scored(t)

@@ -169,7 +169,7 @@ def test_small_training_helpers(spark, learnt):
     holes = spark.createDataFrame([(1.0, None), (3.0, 4.0)], "a double, b double")
     assert rows(tr.filled(holes, ["a", "b"]), "b") == [(0.0,), (4.0,)] and rows(tr.filled(holes, ["a", "b"], "mean"), "b") == [(4.0,), (4.0,)]
     assert tr.ablations(["a", "b", "c"], {"g": ["A"], "h": ["b"]}) == {"horizon_0": ["c"], "horizon_1": ["a", "c"], "horizon_2": ["a", "b", "c"]}
-    assert at.background_sample(df, 5, "member_id").count() == 5
+    assert at.background_sample(df, 1.0, "member_id").count() == df.count() and 0 < at.background_sample(df, 0.5, "member_id").count() < df.count()
 
 
 def test_consolidated_individuals_keep_months_apart(spark):
@@ -187,3 +187,49 @@ def test_recent_windows(spark):
     scored = df.withColumn("a", F.lit(0.5)).withColumn("b", F.lit(0.1))
     assert {r["risk_classification"] for r in ev.recent_consensus(scored, "a", "b", k=1).collect()} == {"MEDIUM"}
     assert ev.class_summary(scored.withColumn("y", F.lit(1)), ["member_id"], "a", "y").where("member_id = 1").first()[1:] == (2, 1.0, 0.5, 2)
+
+
+@pytest.mark.parametrize("n,dims,tables,reach,block", [(60, 2, 4, 9, 16), (300, 5, 6, 12, 50), (5, 3, 2, 64, 4096), (2, 3, 2, 4, 8)])
+def test_bucket_neighbours_rank_the_visited_exactly(spark, n, dims, tables, reach, block):
+    rng = np.random.default_rng(n)
+    x = np.round(rng.normal(0, 1, (n, dims)), 2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(n + 5, x[0].tolist())], "id long, vec array<double>").repartition(3)
+    got = {}
+    for r in ov.bucket_neighbours(df, 5, tables, 6, reach, block).collect():
+        got.setdefault(r["rep"], []).append((r["lo"], r["hi"], r["neighbour"]))
+    g = np.floor(np.unique(x, axis=0) * ov.GRID)
+    first = {tuple(v): i for i, v in reversed(list(enumerate(x.tolist())))}
+    reps = np.array([first[tuple(v)] for v in np.unique(x, axis=0).tolist()])
+    planes = ov.signs(tables, 6, dims)
+    seen = {int(r): set() for r in reps}
+    for t in range(tables):
+        code = ((g - np.floor(g.mean(0))) @ planes[t].T >= 0) @ (2 ** np.arange(6)[::-1])
+        order = sorted(range(len(reps)), key=lambda i: (code[i], reps[i]))
+        for a in range(len(order)):
+            for b in range(max(0, a - reach), min(len(order), a + reach + 1)):
+                if a != b:
+                    seen[int(reps[order[a]])].add(order[b])
+    at = {int(r): i for i, r in enumerate(reps)}
+    for rep, others in seen.items():
+        near = sorted(others, key=lambda j: (((g[at[rep]] - g[j]) ** 2).sum(), reps[j]))[:5]
+        want, place = ([(1, 1, rep)], 1) if rep == 0 else ([], 0)
+        for j in near:
+            many = 2 if reps[j] == 0 else 1
+            want.append((place + 1, place + many, int(reps[j])))
+            place += many
+        assert sorted(got[rep]) == [w for w in want if w[0] <= 5]
+
+
+def test_bucket_neighbours_find_most_of_the_nearest(spark, small_data):
+    points = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")).where("vec_id < 2500")
+    x = np.floor(np.array([r["vec"] for r in points.orderBy("id").collect()], float) * ov.GRID)
+    got = {}
+    for r in ov.bucket_neighbours(points).where("rep % 25 = 0").collect():
+        got.setdefault(r["rep"], set()).add(r["neighbour"])
+    hits = total = 0
+    for rep, found in got.items():
+        d = ((x - x[rep]) ** 2).sum(1)
+        d[rep] = np.inf
+        best = set(np.argsort(d, kind="stable")[:5].tolist())
+        hits, total = hits + len(best & found), total + 5
+    assert total >= 400 and hits / total >= 0.9

@@ -79,3 +79,27 @@ def test_cumulative_share(spark):
 def test_top_per_group_breaks_ties(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("a", 3, 4), ("b", 9, 1)], "g string, id int, n int")
     assert rows(wn.top_per_group(df, ["g"], [F.desc("n"), F.asc("id")], 2), "g", "id", "rn") == [("a", 1, 1), ("a", 2, 2), ("b", 9, 1)]
+
+
+def test_thousands_of_ranges_need_no_limit(spark):
+    values = random.Random(2).sample(range(10**6), 12_000)
+    df = spark.createDataFrame([(float(v), 1) for v in values], "s double, one long")
+    assert len(wn.range_buckets(df, "s", 10_000)) > 9_000
+    for descending in (False, True):
+        got = table(wn.running_totals(df, "s", ["one"], descending, buckets=10_000), "s", "cum_one")
+        assert got == {float(v): i for i, v in enumerate(sorted(values, reverse=descending), 1)}
+
+
+def test_offsets_of_ranges_of_ranges(spark):
+    totals = spark.createDataFrame([(g, float(b), b % 5) for g in "xy" for b in range(100)], "g string, b double, v long")
+    for descending in (False, True):
+        got = table(wn.range_offsets(totals, "b", ["v"], 100, descending, ["g"], width=3), ["g", "b"], "_before_v")
+        assert got == {(g, float(b)): sum(x % 5 for x in range(100) if (x > b if descending else x < b)) for g in "xy" for b in range(100)}
+
+
+def test_rows_of_one_value_lie_in_several_ranges(spark):
+    rows_ = [(g, 5 if i % 7 else 9, i) for g in ("a", None) for i in range(300)]
+    df = spark.createDataFrame(rows_, "g string, n long, t long").repartition(5)
+    got = table(wn.ranked_in_groups(df, ["g"], "n", ["t"], "rn"), ["g", "t"], "rn")
+    want = {(g, t): i for g in ("a", None) for i, (_, _, t) in enumerate(sorted((r for r in rows_ if r[0] == g), key=lambda r: (-r[1], r[2])), 1)}
+    assert got == want
