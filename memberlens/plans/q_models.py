@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memberlens.ml import attribution as at
 from memberlens.ml import evaluate as ev
+from memberlens.ml import isotonic as iso
 from memberlens.ml import oversample as ov
 from memberlens.ml import train as tr
 from memberlens.operators import cohort as co
@@ -125,11 +126,23 @@ def l5_rows(t):
     return made.select("id", "draw", "neighbour", "gap", F.element_at("vec", 1).alias("first_component"), F.element_at("vec", -1).alias("last_component"), total.alias("total"))
 
 
-@query("l6_isotonic_calibration")
+ISOTONIC = """
+m AS (SELECT {score} AS s, SUM(label) AS y, COUNT(*) AS n FROM scored WHERE split = 'val' GROUP BY 1),
+o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY s) AS i, SUM(y) OVER (ORDER BY s) AS cy, SUM(n) OVER (ORDER BY s) AS cn FROM m),
+p AS (SELECT a.i AS lo, b.i AS hi, (b.cy - a.cy + a.y)::DOUBLE / (b.cn - a.cn + a.n)::DOUBLE AS mean FROM o a JOIN o b ON b.i >= a.i),
+g AS (SELECT lo, hi, MIN(mean) OVER (PARTITION BY lo ORDER BY hi DESC) AS low FROM p),
+fit AS (SELECT s, MAX(low) AS v FROM g JOIN o ON o.i = g.hi GROUP BY s)"""
+# Fixed for the comparison: a score that nearly every row has for itself.
+FINE = "(o_totalprice * 100 + o_orderkey % 97 / 97.0::DOUBLE)"
+
+
+@query("l6_isotonic_calibration", r.sql(r.SCORED, ISOTONIC.format(score="lr_score"), body="""
+SELECT c.member_id, c.row_id, c.split, c.lr_score,
+       ROUND(CASE WHEN a.s IS NULL THEN b.v WHEN b.s IS NULL OR a.s = b.s THEN a.v ELSE a.v + (c.lr_score - a.s) / (b.s - a.s) * (b.v - a.v) END, 9) AS calibrated
+FROM scored c LEFT JOIN fit a ON a.s = (SELECT MAX(s) FROM fit WHERE fit.s <= c.lr_score) LEFT JOIN fit b ON b.s = (SELECT MIN(s) FROM fit WHERE fit.s >= c.lr_score)"""))
 def l6(t):
-    rows = r.scored(t)
-    model = tr.calibrate(rows.where("split = 'val'"), "label", "lr_score")
-    return tr.apply_calibration(model, rows.select("member_id", "row_id", "split", "lr_score"), "lr_score")
+    rows = r.scored(t).select("member_id", "row_id", "split", "lr_score", "label")
+    return iso.calibrated(rows, F.col("split") == "val", "label", "lr_score").drop("label").withColumn("calibrated", F.round("calibrated", 9))
 
 
 @query("l6_isotonic_on_validation", r.sql(r.SCORED, body="""
@@ -145,6 +158,17 @@ def l6_validation(t):
     return tr.apply_calibration(model, rows.select("lr_score").distinct(), "lr_score").withColumn("calibrated", F.round("calibrated", 9))
 
 
+@query("l6_isotonic_every_score", r.sql(
+    r.SCORED.replace("SELECT o_custkey", "SELECT " + FINE + " AS fine_score, o_custkey"), ISOTONIC.format(score="fine_score"), body="SELECT s AS fine_score, ROUND(v, 9) AS calibrated FROM fit"))
+def l6_every_score(t):
+    """Blocks at every distinct score of the validation rows; nearly all of them are distinct."""
+    fine = F.col("o_totalprice") * 100 + F.col("o_orderkey") % 97 / F.lit(97.0)
+    scores = t.orders.select(F.col("o_orderkey").alias("row_id"), fine.alias("fine_score"))
+    rows = r.scored(t).where("split = 'val'").join(scores, "row_id").select("fine_score", "label")
+    found = iso.apply(iso.fit(rows, "label", "fine_score"), rows.select("fine_score").distinct(), "fine_score")
+    return found.withColumn("calibrated", F.round("calibrated", 9))
+
+
 # ---- evaluation ----------------------------------------------------------------------------------------
 
 RUN = r.SCORED + """,
