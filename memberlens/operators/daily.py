@@ -18,7 +18,7 @@ KEYS = ["member_id", "event_date"]
 CLAIM_SPANS = [lb.DaySpan("90d", 90), lb.DaySpan("180d", 180), lb.DaySpan("90_180d", 180, 91)]
 
 
-def claim_lookback(anchors: DataFrame, claims: DataFrame, lag_months: int = 4, extra: Sequence[lb.Measure] = ()) -> DataFrame:
+def claim_lookback(anchors: DataFrame | None, claims: DataFrame, lag_months: int = 4, extra: Sequence[lb.Measure] = ()) -> DataFrame:
     """Paid amount and distinct ED / IP days over 90, 180 and 90-to-180 days, seen only once old enough.
 
     With a lag of four months nothing is younger than 120 days, so the 90-day columns are all zero; they are kept

@@ -34,6 +34,7 @@ class Measure:
 #: Amounts as they are declared, and their sums.
 AMOUNT = "decimal(31,9)"
 AMOUNT_SUM = "decimal(38,9)"
+AMOUNT_TOTAL = "decimal(37,9)"
 
 
 @dataclass(frozen=True)
@@ -77,17 +78,19 @@ def _daily(measure: Measure | MonthMeasure) -> Column:
     raise ValueError(f"unknown measure kind {measure.kind!r}")
 
 
-def day_lookback(anchors: DataFrame, facts: DataFrame, measures: Sequence[Measure], spans: Sequence[DaySpan],
+def day_lookback(anchors: DataFrame | None, facts: DataFrame, measures: Sequence[Measure], spans: Sequence[DaySpan],
                  key: str = "member_id", date: str = "event_date", fact_date: str | None = None,
                  lag_months: int = 0, lag_days: int = 0) -> DataFrame:
     """Sums, counts and distinct-day counts over day windows that end before each anchor day.
 
-    ``anchors`` holds distinct (person, day). A fact counts for an anchor when it lies in the span and was already
-    available: ``fact <= add_months(anchor, -lag_months)`` and ``fact <= anchor - lag_days``. Anchors without facts
-    get zeros.
+    ``anchors`` holds distinct (person, day); without it every day with a fact is an anchor, and the facts are read once for
+    both. A fact counts for an anchor when it lies in the span and was already available: ``fact <= add_months(anchor,
+    -lag_months)`` and ``fact <= anchor - lag_days``. Anchors without facts get zeros.
 
-    Without a lag in months every window is a range frame over the day number. With one, the newest visible day has no
-    fixed distance to the anchor, and the facts are swept instead (see ``_swept``). Both cost one shuffle by person.
+    Facts become running totals per person, and a window is the difference of the totals at its two edges. An edge of fixed
+    distance to the anchor is read off the totals by day; the last day that a lag in months lets through has no fixed
+    distance, so a second total adds each fact on the day it becomes available. A person-day is there once, or twice with such
+    a lag, whatever the number of windows, and a window costs one step a row whatever its length.
     """
     source = fact_date or date
     by_day = (
@@ -97,11 +100,45 @@ def day_lookback(anchors: DataFrame, facts: DataFrame, measures: Sequence[Measur
         # an ignored NULL in a sum must not blank the running total
         .select(key, "_fact_day", *[F.coalesce(F.col(m.name), F.lit(0)).alias(m.name) for m in measures])
     )
-    outputs = [(f"{m.name}_{s.suffix}" if s.suffix else m.name, m, i) for i, s in enumerate(spans) for m in measures]
-    marks = anchors.select(F.col(key), day_number(date).alias("_day"), F.lit(1).alias("_anchor"))
-    seen = (_swept if lag_months else _framed)(marks, by_day, outputs, spans, key, lag_months, lag_days)
-    return seen.where(F.col("_anchor") == 1).select(
-        F.col(key), F.date_from_unix_date("_day").alias(date), *[_whole(F.col(n), m).alias(n) for n, m, _ in outputs])
+
+    def row(day: Column, anchor: bool, filled: str) -> Column:
+        nothing = {m.name: F.when(F.lit(False), F.col(m.name)) for m in measures}
+        cells = [(F.col(m.name) if kind == filled else nothing[m.name]).alias(f"_{kind}_{m.name}") for kind in ("own", "known") for m in measures]
+        return F.struct(day_number(day).alias("_day"), F.lit(anchor).alias("_anchor"), *cells)
+
+    rows = [row(F.col("_fact_day"), anchors is None, "own")]
+    if lag_months:
+        rows.append(row(available_from("_fact_day", lag_months), False, "known"))
+    seen = by_day.select(F.col(key), F.explode(F.array(*rows)).alias("_r")).select(key, "_r.*")
+    if anchors is not None:
+        marks = anchors.select(F.col(key), day_number(date).alias("_day"), F.lit(True).alias("_anchor"))
+        seen = marks.unionByName(seen, allowMissingColumns=True)
+
+    order = W.partitionBy(key).orderBy("_day")
+    edges = sorted({s.oldest + 1 for s in spans} | {max(s.newest, lag_days) for s in spans})
+
+    def total(m: Measure, kind: str, until: int) -> Column:
+        so_far = F.coalesce(F.sum(f"_{kind}_{m.name}").over(order.rangeBetween(W.unboundedPreceding, -until)), F.lit(0))
+        return so_far.cast(AMOUNT_TOTAL) if m.kind == "total" else so_far  # a digit is free for the difference
+
+    totals = {f"_until{e}_{m.name}": total(m, "own", e) for m in measures for e in edges}
+    if lag_months:
+        totals |= {f"_known_until_{m.name}": total(m, "known", 0) for m in measures}
+    summed = seen.select(key, "_day", "_anchor", *[t.alias(n) for n, t in totals.items()]).where("_anchor")
+    day = F.col("_day")
+    known = day_number(F.add_months(F.date_from_unix_date("_day"), -lag_months)) if lag_months else None
+    out = []
+    for span in spans:
+        end = max(span.newest, lag_days)
+        for m in measures:
+            high, low = F.col(f"_until{end}_{m.name}"), F.col(f"_until{span.oldest + 1}_{m.name}")
+            if lag_months:
+                high = F.when(known < day - end, F.col(f"_known_until_{m.name}")).otherwise(high)
+            within = high - low
+            if lag_months:
+                within = F.when(known >= day - span.oldest, within)
+            out.append(_whole(within, m).alias(f"{m.name}_{span.suffix}" if span.suffix else m.name))
+    return summed.select(F.col(key), F.date_from_unix_date("_day").alias(date), *out)
 
 
 def _whole(value: Column, measure: Measure | MonthMeasure) -> Column:
@@ -109,6 +146,8 @@ def _whole(value: Column, measure: Measure | MonthMeasure) -> Column:
     return filled.cast(AMOUNT_SUM) if measure.kind == "total" else filled
 
 
+# The two forms below give the same windows by other plans; tests compare them.
+
 def _framed(marks: DataFrame, by_day: DataFrame, outputs: Sequence[tuple[str, Measure, int]], spans: Sequence[DaySpan],
             key: str, lag_months: int, lag_days: int) -> DataFrame:
     """Windows of fixed distance to the anchor as range frames."""
@@ -144,15 +183,14 @@ def _swept(marks: DataFrame, by_day: DataFrame, outputs: Sequence[tuple[str, Mea
         key, "_day", "_anchor", *[F.sum(n).over(running).alias(n) for n, _, _ in outputs])
 
 
-def possession_ratio(anchors: DataFrame, fills: DataFrame, classes: dict[str, Column], days: Sequence[int],
+def possession_ratio(anchors: DataFrame | None, fills: DataFrame, classes: dict[str, Column], days: Sequence[int],
                      supply: str = "days_supply", key: str = "member_id", date: str = "event_date",
                      fact_date: str = "filled_date", lag_months: int = 0, lag_days: int = 0) -> DataFrame:
     """Days of supply filled in the window divided by its length, per drug class and window."""
-    usable = fills.where(F.col(supply) > 0)
     measures = [
-        Measure(f"mpr_{name}", F.when(hit, F.col(supply)).otherwise(0), "whole") for name, hit in classes.items()
+        Measure(f"mpr_{name}", F.when(hit & (F.col(supply) > 0), F.col(supply)).otherwise(0), "whole") for name, hit in classes.items()
     ]
-    out = day_lookback(anchors, usable, measures, [DaySpan(f"{n}d", n) for n in days], key, date, fact_date,
+    out = day_lookback(anchors, fills, measures, [DaySpan(f"{n}d", n) for n in days], key, date, fact_date,
                        lag_months, lag_days)
     return out.select(
         key, date,

@@ -385,9 +385,8 @@ FROM anchors a LEFT JOIN feed f ON f.member_id = a.member_id AND f.admit_date >=
 GROUP BY 1, 2"""))
 def k7_feed(t):
     feed = r.feed(t)
-    anchors = feed.select("member_id", F.col("admit_date").alias("event_date")).distinct()
     kinds = F.col("event_type")
-    return lb.day_lookback(anchors, feed, [
+    return lb.day_lookback(None, feed, [
         lb.Measure("value", F.col("value")), lb.Measure("n_error", kinds == "error", "count"),
         lb.Measure("error_days", kinds == "error", "days"), lb.Measure("purchase_days", kinds == "purchase", "days"),
     ], [lb.DaySpan("7d", 7)], fact_date="admit_date", lag_days=2).withColumn("value_7d", F.col("value_7d").cast("double"))
@@ -421,9 +420,7 @@ SELECT member_id, event_date,
        COUNT(DISTINCT CASE WHEN ip AND d < event_date - 90 THEN d END) AS cnt_ip_visits_90_180d
 FROM joined GROUP BY 1, 2"""))
 def k7_claims(t):
-    claims = r.claims(t)
-    found = dy.claim_lookback(lb.member_days(claims, date="service_date").withColumnRenamed("service_date", "event_date"), claims, lag_months=4)
-    return amounts_as_double(found)
+    return amounts_as_double(dy.claim_lookback(None, r.claims(t), lag_months=4))
 
 
 @query("c9_range_join_days", r.sql(r.CLAIMS, body=f"""
@@ -435,9 +432,8 @@ FROM anchors a LEFT JOIN flagged c ON c.member_id = a.member_id AND NOT (c.ed OR
 GROUP BY 1, 2"""))
 def c9(t):
     claims = r.claims(t)
-    anchors = claims.select("member_id", F.col("service_date").alias("event_date")).distinct()
     quiet = ~(ev.is_ed_line("place_of_service", "revenue_code") | ev.is_ip_line("place_of_service", "revenue_code"))
-    return lb.day_lookback(anchors, claims, [lb.Measure("cnt_outpatient", quiet, "count")],
+    return lb.day_lookback(None, claims, [lb.Measure("cnt_outpatient", quiet, "count")],
                            [lb.DaySpan("90_180d", 180, 91)], fact_date="service_date", lag_months=4)
 
 
@@ -453,9 +449,7 @@ joined AS (
     f"ROUND(COALESCE(SUM(CASE WHEN drug_type = '{k}' AND d >= event_date - {n} THEN days_supply END), 0) / {n}.0::DOUBLE, 9) AS mpr_{v}_{n}d"
     for n in (90, 180) for k, v in r.TYPE_CLASS.items()) + " FROM joined GROUP BY 1, 2"))
 def k8(t):
-    fills = r.fills(t)
-    anchors = fills.select("member_id", F.col("filled_date").alias("event_date")).distinct()
-    out = lb.possession_ratio(anchors, fills, {c: F.col(f"is_{c}") for c in codes.DAILY_DRUG_CLASSES}, (90, 180), lag_months=2)
+    out = lb.possession_ratio(None, r.fills(t), {c: F.col(f"is_{c}") for c in codes.DAILY_DRUG_CLASSES}, (90, 180), lag_months=2)
     return out.select("member_id", "event_date", *[F.round(c, 9).alias(c) for c in out.columns if c.startswith("mpr_")])
 
 

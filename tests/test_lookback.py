@@ -125,3 +125,40 @@ def test_one_hot_member_gives_one_row_per_day_to_the_window(spark):
                                       F.lit(1.0).alias("v"), F.lit(True).alias("hit"))
     got = lb.day_lookback(lb.member_days(facts), facts, measures(), [lb.DaySpan("5d", 5)])
     assert got.count() == 20 and got.agg(F.max("n_5d")).first()[0] == 5000
+
+
+def brute_window(facts, anchor, oldest, newest, lag):
+    """Sum of (day, value) facts that the anchor sees."""
+    import calendar
+
+    month = anchor.year * 12 + anchor.month - 1 - lag
+    year, m = divmod(month, 12)
+    last = calendar.monthrange(year, m + 1)[1]
+    known = anchor.replace(year=year, month=m + 1, day=min(anchor.day, last)) if lag else anchor
+    return sum(v for day, v in facts if anchor - dt.timedelta(oldest) <= day <= anchor - dt.timedelta(newest) and day <= known)
+
+
+@pytest.mark.parametrize("lag", [0, 1, 2, 4])
+def test_many_windows_of_any_length_equal_brute_force(spark, lag):
+    r = random.Random(lag)
+    facts = [(p, dt.date(2023, 1, 1) + dt.timedelta(r.randrange(500)), r.randrange(100)) for p in range(3) for _ in range(90)]
+    df = spark.createDataFrame(facts, "member_id long, event_date date, v long")
+    spans = [(7, 1), (30, 1), (31, 29), (90, 1), (90, 62), (124, 120), (180, 91), (365, 1)]
+    for anchors in (None, lb.member_days(df)):
+        got = lb.day_lookback(anchors, df, [lb.Measure("v", F.col("v"), "whole"), lb.Measure("w", F.col("v").cast("decimal(20,9)"))],
+                              [lb.DaySpan(f"{a}_{b}", a, b) for a, b in spans], lag_months=lag).collect()
+        assert len(got) == len({f[:2] for f in facts})
+        for row in got:
+            own = [(d, v) for p, d, v in facts if p == row["member_id"]]
+            for a, b in spans:
+                want = brute_window(own, row["event_date"], a, b, lag)
+                assert row[f"v_{a}_{b}"] == want and row[f"w_{a}_{b}"] == want, (row["event_date"], a, b)
+
+
+def test_facts_are_read_once_whatever_the_windows(spark, fresh_dir):
+    spark.range(50).selectExpr("id % 5 AS member_id", "date_add(date'2024-01-01', cast(id AS int)) AS event_date", "id AS v").write.parquet(fresh_dir + "/f")
+    facts = spark.read.parquet(fresh_dir + "/f")
+    for spans in ([(9, 1)], [(9, 1), (30, 1), (90, 1), (180, 91), (365, 1)]):
+        out = lb.day_lookback(None, facts, [lb.Measure("v", F.col("v"), "whole")], [lb.DaySpan(f"{a}_{b}", a, b) for a, b in spans], lag_months=2)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") <= 2 and plan.count("Generate") == 1
