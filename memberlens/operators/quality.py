@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from memberlens.operators.tabular import duplicate_keys
+from memberlens.sources.tables import stored
 
 
 def long_counts(df: DataFrame, counts: Mapping[str, Column], name: str = "check", value: str = "n") -> DataFrame:
@@ -123,9 +125,8 @@ def row_suite(df: DataFrame, bad_rows: Mapping[str, Column]) -> DataFrame:
     return counts.select("check", _status(F.lit(False)).alias("status"), "n_findings")
 
 
-def member_day_suite(days: DataFrame, labels: Sequence[str], keys: Sequence[str] = ("member_id", "event_date"),
-                     asof: str | None = None) -> DataFrame:
-    """The standard checks of a member-day table: one scan for the row checks and one grouping for repeated keys."""
+def bad_days(labels: Sequence[str], keys: Sequence[str] = ("member_id", "event_date"), asof: str | None = None) -> dict[str, Column]:
+    """The standard conditions of a bad row of a member-day table."""
     def any_of(conditions):
         return reduce(lambda a, b: a | b, conditions)
 
@@ -134,6 +135,34 @@ def member_day_suite(days: DataFrame, labels: Sequence[str], keys: Sequence[str]
         "null_labels": any_of(F.col(y).isNull() for y in labels),
         "invalid_labels": any_of(~F.coalesce(F.col(y), F.lit(0)).isin(0, 1) for y in labels),
     }
-    if asof:
-        bad["future_dates"] = F.col(keys[-1]) > F.lit(asof).cast("date")
-    return row_suite(days, bad).unionByName(run_suite([Check("duplicate_keys", duplicate_keys(days, keys))]))
+    return bad | ({"future_dates": F.col(keys[-1]) > F.lit(asof).cast("date")} if asof else {})
+
+
+def member_day_suite(days: DataFrame, labels: Sequence[str], keys: Sequence[str] = ("member_id", "event_date"),
+                     asof: str | None = None) -> DataFrame:
+    """The standard checks of a member-day table: one scan for the row checks and one grouping for repeated keys."""
+    return row_suite(days, bad_days(labels, keys, asof)).unionByName(run_suite([Check("duplicate_keys", duplicate_keys(days, keys))]))
+
+
+def checked_stage(df: DataFrame, name: str, bad_rows: Mapping[str, Column], keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Write a stage and gather its checks while it is written: (the stage, one row per check).
+
+    Counts are observed on the rows on their way to the files, so the checks need no scan and no job of their own. With ``keys``
+    the second row of every repeated key is observed too, which counts the keys that occur more than once. Only counts reach
+    the driver.
+    """
+    seen, counted = Observation(f"{name}-{uuid.uuid4().hex}"), dict(bad_rows)
+    rows = df
+    if keys:
+        rows = df.withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
+        counted["duplicate_keys"] = F.col("_copy") == 2
+    watched = rows.observe(seen, *[F.count_if(c).alias(n) for n, c in counted.items()])
+    stage = stored(watched.drop("_copy"), name)
+    found = df.sparkSession.createDataFrame([(n, seen.get[n]) for n in counted], "check string, n_findings long")
+    return stage, found.select("check", _status(F.lit(False)).alias("status"), "n_findings")
+
+
+def checked_member_days(days: DataFrame, name: str, labels: Sequence[str], keys: Sequence[str] = ("member_id", "event_date"),
+                        asof: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A member-day table as a stage, with its standard checks gathered on the way."""
+    return checked_stage(days, name, bad_days(labels, keys, asof), keys)

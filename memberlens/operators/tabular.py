@@ -93,19 +93,54 @@ def ordered_text(df: DataFrame, by: Sequence[str], text: str, name: str, separat
 
 
 def conditional_distinct(df: DataFrame, by: Sequence[str], counts: Mapping[str, tuple[Column, Column]]) -> DataFrame:
-    """Distinct values under a condition, several of them per group.
+    """Distinct values under a condition, several of them per group, from one scan.
 
-    Rows that meet no condition leave first, each measure is reduced to its distinct values before the shuffle, and the
-    counts are plain sums; rows are never expanded once per measure.
+    A row gives a mark for its group and one for each condition it meets; marks are made distinct before and after one shuffle
+    by group, measure and value, so neither a hot group nor a hot value is more than a row per task.
     """
-    parts = [
-        df.where(condition & value.isNotNull()).select(*by, value.alias("_v")).distinct().groupBy(*by).agg(F.count("*").alias(name))
-        for name, (condition, value) in counts.items()
-    ]
-    out = df.select(*by).distinct()
-    for part in parts:
-        out = out.join(part, list(by), "left")
-    return out.select(*by, *[F.coalesce(name, F.lit(0)).alias(name) for name in counts])
+    marks = [F.struct(F.lit(-1).alias("k"), F.lit("").alias("v"))]
+    marks += [F.when(condition & value.isNotNull(), F.struct(F.lit(i).alias("k"), value.cast("string").alias("v"))) for i, (condition, value) in enumerate(counts.values())]
+    long = df.select(*by, F.explode(F.array_compact(F.array(*marks))).alias("_m")).select(*by, "_m.k", "_m.v").distinct()
+    return long.groupBy(*by).agg(*[F.count_if(F.col("k") == i).alias(name) for i, name in enumerate(counts)])
+
+
+#: log2 of the buckets of a sketch; its relative error is about 1.04 / sqrt(2 ** SKETCH_BITS).
+SKETCH_BITS = 12
+
+
+def distinct_sketches(df: DataFrame, by: Sequence[str], values: Mapping[str, Column], bits: int = SKETCH_BITS) -> DataFrame:
+    """A mergeable sketch of the distinct values of every measure per group. Stored once per fine group (a month, say), sketches
+    answer for any coarser one without another look at the rows."""
+    return df.groupBy(*by).agg(*[F.hll_sketch_agg(v, F.lit(bits)).alias(name) for name, v in values.items()])
+
+
+def merged_sketches(sketches: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Sketches of coarser groups."""
+    return sketches.groupBy(*by).agg(*[F.hll_union_agg(n).alias(n) for n in names])
+
+
+def estimates(sketches: DataFrame, names: Sequence[str]) -> DataFrame:
+    others = [c for c in sketches.columns if c not in names]
+    return sketches.select(*others, *[F.hll_sketch_estimate(n).alias(n) for n in names])
+
+
+def within_error(estimate: Column, exact: Column, bits: int = SKETCH_BITS, deviations: float = 4.0) -> Column:
+    """Whether an estimate lies within so many standard errors of the exact count (or one unit, for tiny counts)."""
+    return F.abs(estimate - exact) <= F.greatest(F.lit(1.0), exact * F.lit(deviations * 1.04 / 2 ** (bits / 2)))
+
+
+def rolled_up(df: DataFrame, keys: Sequence[str], measures: Sequence[Column], total: str = "all") -> DataFrame:
+    """Groups, subtotals of the leading keys and the grand total in one pass, one shuffle.
+
+    ``level`` counts the keys that are summed over; such a key reads ``total``. A key that is null in the rows reads ``unknown``,
+    so it never looks like a total.
+    """
+    known = df.select("*", *[F.coalesce(F.col(k).cast("string"), F.lit("unknown")).alias(f"_{k}") for k in keys])
+    marks = [F.grouping(f"_{k}").alias(f"_over_{k}") for k in keys]
+    rolled = known.rollup(*[f"_{k}" for k in keys]).agg(*measures, *marks)
+    level = sum((F.col(f"_over_{k}").cast("int") for k in keys), F.lit(0))
+    named = [F.when(F.col(f"_over_{k}") == 1, total).otherwise(F.col(f"_{k}")).alias(k) for k in keys]
+    return rolled.select(*named, level.alias("level"), *[c for c in rolled.columns if not c.startswith("_")])
 
 
 def as_map(df: DataFrame, by: Sequence[str], key: str, value: str, name: str) -> DataFrame:

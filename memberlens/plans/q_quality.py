@@ -93,6 +93,21 @@ def m9_market(t):
     return ql.distribution(members, ["market", "engagement_group"], "first_selected_date")
 
 
+@query("m9_market_rollup", r.sql(r.MEMBERS, body="""
+, g AS (SELECT COALESCE(market, 'unknown') AS market, CASE WHEN has_ever_been_engaged THEN 'engaged_in_program' WHEN is_batched THEN 'selected_not_engaged' ELSE 'not_selected_for_engagement' END AS engagement_group,
+        member_id, first_selected_date FROM members)
+SELECT CASE WHEN GROUPING(market) = 1 THEN 'all' ELSE market END AS market, CASE WHEN GROUPING(engagement_group) = 1 THEN 'all' ELSE engagement_group END AS engagement_group,
+       (GROUPING(market) + GROUPING(engagement_group))::INTEGER AS level, COUNT(*) AS unique_members, COUNT(first_selected_date) AS selected_members,
+       MIN(first_selected_date) AS first_date, MAX(first_selected_date) AS last_date
+FROM g GROUP BY ROLLUP (market, engagement_group)"""))
+def m9_rollup(t):
+    """Members by market and engagement, with totals per market and of all; members are one row each."""
+    members = r.members(t).withColumn("engagement_group", engagement_group("has_ever_been_engaged", "is_batched"))
+    return tb.rolled_up(members, ["market", "engagement_group"], [
+        F.count("*").alias("unique_members"), F.count("first_selected_date").alias("selected_members"),
+        F.min("first_selected_date").alias("first_date"), F.max("first_selected_date").alias("last_date")])
+
+
 @query("m10_monthly_by_source", r.sql(qh.LOG, body="""
 SELECT YEAR(event_date)::INTEGER AS event_year, MONTH(event_date)::INTEGER AS event_month, CASE WHEN event_type = 'PHARMACY_FILL' THEN 'FILLS' WHEN event_type LIKE 'CLAIM%' THEN 'CLAIMS' END AS source_category,
        COUNT(*) FILTER (is_ip_event) AS total_ip_events, COUNT(*) FILTER (is_ed_event) AS total_ed_events, COUNT(DISTINCT member_id) AS unique_individuals FROM log GROUP BY 1, 2, 3"""))
@@ -146,7 +161,7 @@ def broken_days(t):
   SELECT 'duplicate_keys', COUNT(*) FROM (SELECT member_id, event_date FROM broken GROUP BY 1, 2 HAVING COUNT(*) > 1))
 SELECT "check", CASE WHEN n = 0 THEN 'OK' ELSE 'ISSUES FOUND' END AS status, n AS n_findings FROM found"""))
 def m12_broken(t):
-    return ql.member_day_suite(broken_days(t), ["y_any_7d", "y_ed_7d"], asof="2024-01-15")
+    return ql.checked_member_days(broken_days(t), "broken-days", ["y_any_7d", "y_ed_7d"], asof="2024-01-15")[1]
 
 
 @query("m12_suite", member_day_sql("""
@@ -163,7 +178,7 @@ def m12(t):
     others = ql.run_suite([
         ql.Check("line_keys", tb.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"])),
         ql.Check("statuses", t.orders.select("o_orderstatus").distinct(), informational=True)])
-    return ql.member_day_suite(days(t), LABELS, asof="2024-12-31").unionByName(others)
+    return ql.checked_member_days(days(t), "member-days", LABELS, asof="2024-12-31")[1].unionByName(others)
 
 
 @query("m13_positive_days", member_day_sql("""

@@ -9,6 +9,7 @@ from memberlens.functions import codes
 from memberlens.functions import expr as x
 from memberlens.operators import cohort as co
 from memberlens.operators import eventlog as ev
+from memberlens.operators import notes as nt
 from memberlens.operators import tabular as tb
 from memberlens.plans import roles as r
 from memberlens.plans.registry import query
@@ -30,6 +31,24 @@ def a1(t):
     return src.scan(t.spark, "named_scan_lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
+STATUS_SCRIPT = """
+SELECT :source AS source, IDENTIFIER(:status) AS status, COUNT(*) AS n, COUNT(DISTINCT IDENTIFIER(:key)) AS keys
+FROM IDENTIFIER(:table) WHERE IDENTIFIER(:amount) >= :least GROUP BY IDENTIFIER(:status)"""
+
+
+@query("a1_script_over_tables", """
+SELECT 'claims' AS source, l_returnflag AS status, COUNT(*) AS n, COUNT(DISTINCT l_suppkey) AS keys FROM lineitem WHERE l_quantity >= 10 GROUP BY 2
+UNION ALL SELECT 'contacts', o_orderstatus, COUNT(*), COUNT(DISTINCT o_custkey) FROM orders WHERE o_totalprice >= 100000 GROUP BY 2""")
+def a1_script(t):
+    """One stored text over two tables, their columns and thresholds, by session variables."""
+    runs = [("claims", t.lineitem, "l_returnflag", "l_suppkey", "l_quantity", 10), ("contacts", t.orders, "o_orderstatus", "o_custkey", "o_totalprice", 100_000)]
+    out = []
+    for source, df, status, key, amount, least in runs:
+        src.session_table(df, f"script_{source}")
+        out.append(src.run_script(t.spark, STATUS_SCRIPT, {"table": f"script_{source}", "status": status, "key": key, "amount": amount}, {"source": source, "least": least}))
+    return out[0].unionByName(out[1])
+
+
 @query("a2_scan_with_target", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal IS NOT NULL")
 def a2(t):
     return src.with_target(t.customer, "c_acctbal").select("c_custkey", "c_acctbal")
@@ -448,11 +467,22 @@ def d12(t):
     return tb.repeated_rows(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
-@query("d13_approximate_distinct")
+@query("d13_approximate_distinct", r.sql(r.CLAIMS, body="""
+, months AS (SELECT YEAR(service_date)::VARCHAR AS period, member_id, place_of_service FROM claims UNION ALL SELECT 'all', member_id, place_of_service FROM claims)
+SELECT period, COUNT(DISTINCT member_id) AS members, TRUE AS members_near, COUNT(DISTINCT CASE WHEN place_of_service = '23' THEN member_id END) AS members_ed, TRUE AS members_ed_near
+FROM months GROUP BY 1"""))
 def d13(t):
-    return r.claims(t).agg(
-        F.approx_count_distinct(F.when(F.col("place_of_service") == "23", F.col("member_id"))).alias("members_ed"),
-        F.approx_count_distinct("member_id").alias("members"))
+    """Sketches stored per month answer for years and for all time; each estimate is held against the exact count."""
+    claims = r.claims(t).select("member_id", "service_date", F.when(F.col("place_of_service") == "23", F.col("member_id")).alias("ed_member"))
+    names = ["members", "members_ed"]
+    by_month = src.stored(tb.distinct_sketches(claims, [F.trunc("service_date", "MONTH").alias("month")], {"members": F.col("member_id"), "members_ed": F.col("ed_member")}), "monthly-sketches")
+    dated = by_month.withColumn("period", F.explode(F.array(F.year("month").cast("string"), F.lit("all"))))
+    near = tb.estimates(tb.merged_sketches(dated, ["period"], names), names)
+    periods = claims.withColumn("period", F.explode(F.array(F.year("service_date").cast("string"), F.lit("all"))))
+    exact = tb.conditional_distinct(periods, ["period"], {"exact": (F.lit(True), F.col("member_id")), "exact_ed": (F.lit(True), F.col("ed_member"))})
+    return near.join(exact, "period").select(
+        "period", F.col("exact").alias("members"), tb.within_error(F.col("members"), F.col("exact")).alias("members_near"),
+        F.col("exact_ed").alias("members_ed"), tb.within_error(F.col("members_ed"), F.col("exact_ed")).alias("members_ed_near"))
 
 
 @query("d14_sample_deviation", "SELECT l_returnflag, ROUND(STDDEV_SAMP(l_quantity), 6) AS sd_qty, ROUND(STDDEV_SAMP(l_discount), 6) AS sd_discount FROM lineitem GROUP BY 1")
@@ -679,6 +709,30 @@ def h12(t):
     return t.events.select("event_id", F.try_variant_get(v, "$.k", "int").alias("k"), F.try_variant_get(v, "$.missing", "string").alias("missing"))
 
 
+@query("h12_variant_replies", """
+WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT event_id, 'ITEMS' AS kind, 2 AS depth, 'Health' AS category, (k % 5)::DOUBLE AS score, 'BIGINT' AS value_type FROM e WHERE event_type = 'view'
+UNION ALL SELECT event_id, 'ITEMS', 2, 'Self', NULL, 'STRING' FROM e WHERE event_type = 'view'
+UNION ALL SELECT event_id, 'ITEMS', 0, 'Risk', CASE WHEN k % 2 = 0 THEN k + 0.5 END::DOUBLE, CASE WHEN k % 2 = 0 THEN 'DECIMAL(' || CASE WHEN k = 0 THEN 1 ELSE LENGTH(k::VARCHAR) + 1 END || ',1)' ELSE 'MISSING' END FROM e WHERE event_type = 'purchase'
+UNION ALL SELECT event_id, 'ITEMS', 3, 'Trust', k::DOUBLE, 'STRING' FROM e WHERE event_type = 'click'
+UNION ALL SELECT event_id, 'ITEMS', 3, 'Care', NULL, 'BOOLEAN' FROM e WHERE event_type = 'click' AND k % 2 = 0
+UNION ALL SELECT event_id, CASE k % 3 WHEN 0 THEN 'NOT_JSON' WHEN 1 THEN 'EMPTY' ELSE 'NO_ITEMS' END, NULL, NULL, NULL, NULL FROM e WHERE event_type NOT IN ('view', 'purchase', 'click')""")
+def h12_variants(t):
+    """Replies of five shapes with scores of mixed types, read without knowing which shape comes."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    text, kind = k.cast("string"), F.col("event_type")
+
+    def filled(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    reply = (
+        F.when(kind == "view", filled('{"scores":[{"category":"Health","score":', (k % 5).cast("string"), '},{"category":"Self","score":"many"},7]}'))
+        .when(kind == "purchase", F.when(k % 2 == 0, filled('{"category":"Risk","score":', text, ".5}")).otherwise(F.lit('{"category":"Risk"}')))
+        .when(kind == "click", filled('{"by":{"group":{"a":{"category":"Trust","score":"', text, '"}', F.when(k % 2 == 0, ',"b":{"category":"Care","score":true}').otherwise(""), '}}}'))
+        .when(k % 3 == 0, '{"scores": [oops').when(k % 3 == 1, "  ").otherwise('{"note":"none"}'))
+    return nt.variant_items(t.events.select("event_id", reply.alias("raw_response")), keep=["event_id"])
+
+
 @query("h13_json_build", "SELECT c_custkey, '{\"key\":' || c_custkey || ',\"segment\":\"' || c_mktsegment || '\"}' AS js FROM customer")
 def h13(t):
     return t.customer.select("c_custkey", F.to_json(F.struct(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"))).alias("js"))

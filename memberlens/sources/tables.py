@@ -21,6 +21,28 @@ def scan(spark: SparkSession, name: str) -> DataFrame:
     return spark.sql("SELECT * FROM IDENTIFIER(:name)", args={"name": name})
 
 
+def run_script(spark: SparkSession, script: str, tables: Mapping[str, str], values: Mapping[str, object] = {}) -> DataFrame:
+    """Run a stored SQL text over tables and values that are only known now, and return its rows.
+
+    ``script`` names tables as ``IDENTIFIER(:name)`` and values as ``:name``. Both become variables of the session, and EXECUTE
+    IMMEDIATE binds them, so one text serves any table, nothing is pasted into it, and the text of a value is never read as
+    SQL. Variables have names of their own and are dropped when the rows are planned.
+    """
+    mark = uuid.uuid4().hex
+    bound = {**tables, **values}
+    names = {k: f"v_{i}_{mark}" for i, k in enumerate([*bound, "script"])}
+    try:
+        for k, v in {**bound, "script": script}.items():
+            kind = {bool: "BOOLEAN", int: "BIGINT", float: "DOUBLE"}.get(type(v), "STRING")
+            spark.sql(f"DECLARE VARIABLE {names[k]} {kind}")
+            spark.sql(f"SET VAR {names[k]} = :v", args={"v": v})
+        using = ", ".join(f"{names[k]} AS {k}" for k in bound)
+        return spark.sql(f"EXECUTE IMMEDIATE {names['script']}" + (f" USING {using}" if using else ""))
+    finally:
+        for n in names.values():
+            spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {n}")
+
+
 def with_target(df: DataFrame, target: str) -> DataFrame:
     """Rows whose target is present; the filter reaches the parquet scan."""
     return df.where(F.col(target).isNotNull())
