@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,20 @@ def release() -> None:
         trim(0)
 
 
+#: Whole texts in an Arrow batch, at most.
+TEXT_ROWS = 1_000
+
+
+def in_text_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends at most ``TEXT_ROWS`` rows to Python at once from now on: rows here hold whole texts, and frames
+    are run after their operator has returned, so the setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(df.sparkSession.conf.get(key))
+    if not 0 < held <= TEXT_ROWS:
+        df.sparkSession.conf.set(key, TEXT_ROWS)
+    return df
+
+
 #: Characters of text that a step takes at once, whole texts each.
 TEXTS_AT_ONCE = 4_000_000
 

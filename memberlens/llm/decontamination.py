@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.llm.common import by_small_batches, carried, column, restored
+from memberlens.llm.common import by_small_batches, carried, column, in_text_batches, restored
 from memberlens.llm.fmindex import FMIndex
 from memberlens.sources.tables import stored
 
@@ -171,7 +171,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
     ``keep`` names further columns to hand through.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, in_text_batches(docs)
     keep = tuple(c for c in keep if c != key)
     none = F.slice(F.array(F.lit(None).cast("string")), 1, 0)  # an array that may hold nulls
     out = docs.select(column(key).alias("key"), column(text).alias("body"), F.lit(0).cast("long").alias("n_words"),

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memberlens.llm.common import by_small_batches, carried, column, restored
+from memberlens.llm.common import by_small_batches, carried, column, in_text_batches, restored
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text", keep:
             labels, scores = judged(sent.value, list(frame["body"]))
             yield frame.assign(lang_pred=labels, score=scores)
 
-    return rows.mapInPandas(run, rows.schema).select("lang_pred", "score", *restored(keep, text))
+    return in_text_batches(rows).mapInPandas(run, rows.schema).select("lang_pred", "score", *restored(keep, text))
 
 
 def judged(network: Network | None, texts: list[str | None]) -> tuple[list[str], list[float]]:

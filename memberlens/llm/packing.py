@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.llm.common import by_small_batches
+from memberlens.llm.common import by_small_batches, in_text_batches
 from memberlens.llm.order import numbered
 from memberlens.llm.tokens import encoded
 from memberlens.sources.tables import stored
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
             })
 
     schema = "doc_id long, piece int, start long, length long, ids binary"
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, schema)
+    return in_text_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

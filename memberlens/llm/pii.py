@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memberlens.llm.common import by_small_batches, carried, column, restored
+from memberlens.llm.common import by_small_batches, carried, column, in_text_batches, restored
 from memberlens.sources.tables import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -410,7 +410,7 @@ def find(docs: DataFrame, tagger: Tagger | None, key: str = "doc_id", text: str
                     size += len(texts[b])
             yield frame.assign(base=[shown(s) for s in base], spans=[shown(s) for s in both])
 
-    out = rows.mapInPandas(run, rows.schema)
+    out = in_text_batches(rows).mapInPandas(run, rows.schema)
     return out.select(F.col("key").alias(key), "base", "spans", *restored(keep, text))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from memberlens.llm.common import small_batches
+from memberlens.llm.common import in_text_batches, small_batches
 from memberlens.llm.tokens import encoded
 
 #: Tokens after which a block ends; a longer document has a block of its own.
@@ -107,7 +107,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, key: str = "d
         if keys:
             yield block_row()
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = in_text_batches(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     order = ["key", F.xxhash64("text")]  # one key may hold a large share of all rows: its texts then lie in several ranges
     dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
     dealt.sortWithinPartitions(*order).mapInPandas(blocks, BLOCKS).write.mode("overwrite").parquet(path)
