@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ from memberlens.operators import cohort as co
 from memberlens.operators import eventlog as el
 from memberlens.plans import q_history as qh
 from memberlens.plans import roles as r
+from memberlens.plans.catalogue_sql import member_day_sql
 from memberlens.plans.registry import query
+from memberlens.session import run_folder
 from memberlens.sources.tables import stored
 
 FEATURES = ["cnt_ed_7d", "cnt_click_7d", "note_health_score", "note_risk_harm_score", "note_social_stab_score",
@@ -278,9 +282,7 @@ def l14(t):
 
 
 def explained(t):
-    rows = stored(model_rows(t), "model-rows")
-    model = tr.train_boosted(rows.where("split = 'train'"), FEATURES, LABEL, maxIter=5, maxDepth=3)
-    return at.local_contributions(model, rows, FEATURES, KEYS)
+    return explained_once(t).drop("raw")
 
 
 @query("l15_local_factors")
@@ -380,3 +382,159 @@ def l22(t):
 @query("d22_class_weights", "SELECT quality, COUNT(*) AS n, (SELECT COUNT(*) FILTER (quality = 0)::DOUBLE / COUNT(*) FILTER (quality = 1) FROM labels) AS neg_per_pos FROM labels GROUP BY 1")
 def d22(t):
     return tr.class_counts(t.labels, "quality").withColumnRenamed("label", "quality")
+
+
+# ---- checks of fitted models ---------------------------------------------------------------------------
+# A fit cannot be written in SQL, but what makes it right can be checked row by row. These queries fit once, hold the result
+# against its definition in Spark, and give rows and counts that SQL can state.
+
+MODEL_ROWS = """
+model AS (
+  SELECT member_id, event_date, y_any_7d, y_ed_7d, y_ip_7d, y_any_14d, y_ed_14d, y_ip_14d,
+         CASE WHEN b < 2576980378 THEN 'train' WHEN b < 3435973837 THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT *, ('0x' || SUBSTR(MD5(member_id::VARCHAR), 1, 8))::BIGINT AS b FROM day_table))"""
+NAMED = "(SELECT UNNEST([" + ", ".join(f"'{f}'" for f in FEATURES) + "]) AS feature)"
+TARGETS = [f"y_{k}_{n}d" for n in (7, 14) for k in ("any", "ed", "ip")]
+ABLATED = tr.ablations(FEATURES, {"lagged": ["cnt_ed_7d"], "operational": ["cnt_click_7d"]})
+
+
+def checked_sql(body: str) -> str:
+    return member_day_sql("," + MODEL_ROWS + body)
+
+
+def near(a, b, within: float = 1e-9):
+    return F.abs(a - b) <= F.lit(within) * F.greatest(F.lit(1.0), F.abs(b))
+
+
+def linear(model):
+    """The margin of a fitted logistic regression, from its coefficients in units of the features."""
+    weights, intercept = tr.logistic_weights(model, FEATURES)
+    return sum((F.coalesce(F.col(f).cast("double"), F.lit(0.0)) * w for f, w in weights.items()), F.lit(intercept))
+
+
+@query("l1_logistic_optimum", checked_sql(f"""
+SELECT feature, COUNT(*) AS n_rows, COUNT(*) FILTER (y_any_7d = 1) AS n_positive, TRUE AS is_stationary
+FROM model, (SELECT feature FROM {NAMED} UNION ALL SELECT 'intercept') WHERE split = 'train' GROUP BY 1"""))
+def l1_optimum(t):
+    """Weighted residual sums per feature: at the optimum each equals minus the penalty's slope."""
+    rows = stored(train_rows(t), "model-rows")
+    model = tr.train_logistic(rows, FEATURES, LABEL)
+    weights, _ = tr.logistic_weights(model, FEATURES)
+    neg, pos = tr.class_sizes(rows, LABEL)
+    n = neg + pos
+    residual = (1 / (1 + F.exp(-linear(model))) - F.col(LABEL)) * F.when(F.col(LABEL) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * neg))
+    x = {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in FEATURES}
+    wide = rows.select(residual.alias("_r"), *[x[f].alias(f) for f in FEATURES]).agg(
+        (F.sum("_r") / n).alias("intercept"), *[(F.sum(F.col("_r") * F.col(f)) / n).alias(f) for f in FEATURES], *[F.stddev_samp(f).alias(f"_sd_{f}") for f in FEATURES])
+    slopes = F.array(F.struct(F.lit("intercept").alias("feature"), F.col("intercept").alias("slope")), *[
+        F.struct(F.lit(f).alias("feature"), F.when(F.col(f"_sd_{f}") > 0, F.col(f) / F.col(f"_sd_{f}") + F.lit(weights[f] / n) * F.col(f"_sd_{f}")).otherwise(0.0).alias("slope")) for f in FEATURES])
+    long = wide.select(F.explode(slopes).alias("r")).select("r.*")
+    return long.select("feature", F.lit(n).cast("bigint").alias("n_rows"), F.lit(pos).cast("bigint").alias("n_positive"), (F.abs("slope") < 1e-3).alias("is_stationary"))
+
+
+@query("l2_importances_from_nodes", f"SELECT feature, TRUE AS matches, TRUE AS is_share FROM {NAMED}")
+def l2_nodes(t):
+    """Importances against the gains of the trees' own nodes, weighted by the rows that reached them."""
+    rows = stored(train_rows(t), "model-rows")
+    model = tr.train_boosted(rows, FEATURES, LABEL, maxIter=5, maxDepth=3)
+    folder = run_folder(t.spark, "trees")
+    model.stages[-1].save(folder)
+    nodes = t.spark.read.parquet(f"{folder}/data").select("nodeData.*").where("leftChild >= 0")
+    gains = nodes.groupBy(F.col("split.featureIndex").alias("i")).agg(F.sum(F.col("gain") * F.col("impurityStats")[0]).alias("g"))
+    total = gains.agg(F.sum("g")).scalar()
+    said = t.spark.createDataFrame([(i, f, float(v)) for i, (f, v) in enumerate(tr.importances(model, FEATURES).items())], "i int, feature string, importance double")
+    share = F.coalesce(F.col("g") / total, F.lit(0.0))
+    return said.join(gains, "i", "left").select("feature", near(F.col("importance"), share).alias("matches"), F.col("importance").between(0, 1).alias("is_share"))
+
+
+@query("l3_search_order", """
+SELECT 0 AS candidate, 'maxDepth=2, maxIter=3' AS params, TRUE AS is_auc, TRUE AS in_order UNION ALL SELECT 1, 'maxDepth=3, maxIter=3', TRUE, TRUE""")
+def l3_order(t):
+    found = stored(l3(t), "search")
+    ahead = found.agg(F.max("mean_roc_auc")).scalar()
+    least = found.agg(F.min("mean_roc_auc")).scalar()
+    return found.select("candidate", "params", F.col("mean_roc_auc").between(0.5, 1).alias("is_auc"), F.col("mean_roc_auc").between(least, ahead).alias("in_order"))
+
+
+@query("l4_scores_from_weights", checked_sql("SELECT member_id, event_date, split, y_any_7d, TRUE AS score_matches, TRUE AS label_follows FROM model"))
+def l4_weights(t):
+    """Scores of all splits against the logistic of weights and features."""
+    rows = stored(model_rows(t), "model-rows")
+    model = tr.train_logistic(rows.where("split = 'train'"), FEATURES, LABEL)
+    out = tr.labelled(tr.score(model, rows, FEATURES), "score")
+    return out.select(*KEYS, "split", LABEL, near(F.col("score"), 1 / (1 + F.exp(-linear(model))), 1e-8).alias("score_matches"),
+                      (F.col("pred_label") == (F.col("score") >= 0.5).cast("int")).alias("label_follows"))
+
+
+def explained_once(t):
+    """Rows, a boosted model fitted on their train part, and stored contributions with the model's own margin beside them."""
+    rows = stored(model_rows(t), "model-rows")
+    model = tr.train_boosted(rows.where("split = 'train'"), FEATURES, LABEL, maxIter=5, maxDepth=3)
+    raw = model.transform(tr.filled(rows, FEATURES)).select(*KEYS, vector_to_array("rawPrediction")[1].alias("raw"))
+    return stored(at.local_contributions(model, rows, FEATURES, KEYS).join(raw, KEYS), "contributions")
+
+
+@query("l15_factors_add_up", checked_sql("SELECT member_id, event_date, TRUE AS margin_matches, TRUE AS factors_match FROM model"))
+def l15_add_up(t):
+    """Base and contributions against the model's raw prediction; factors against the contributions they were picked from."""
+    moved = explained_once(t)
+    factors = at.local_factors(moved, FEATURES, KEYS, top_n=len(FEATURES), epsilon=0.0)
+    up = F.aggregate("increasing_factors", F.lit(0.0), lambda a, x: a + x["contribution"])
+    down = F.aggregate("decreasing_factors", F.lit(0.0), lambda a, x: a + x["contribution"])
+    picked = factors.select(*KEYS, (F.col("base_value") + up + down).alias("total"))
+    return moved.join(picked, KEYS).select(*KEYS, near(F.col("margin"), F.col("raw")).alias("margin_matches"), near(F.col("total"), F.col("raw")).alias("factors_match"))
+
+
+@query("l16_means_from_rows", f"SELECT feature, TRUE AS matches FROM {NAMED}")
+def l16_rows(t):
+    """Global factors against the mean over exploded contributions."""
+    moved = explained_once(t)
+    long = moved.select(F.posexplode("contributions").alias("i", "c")).groupBy("i").agg(F.avg(F.abs("c")).alias("mean"))
+    names = F.array(*[F.lit(f) for f in FEATURES])
+    said = at.global_factors(moved, FEATURES)
+    both = long.withColumn("feature", names[F.col("i")]).join(said, "feature", "left")
+    return both.select("feature", F.coalesce(near(F.col("mean_abs_contribution"), F.col("mean")), F.col("mean") < 1e-6).alias("matches"))
+
+
+@query("l18_ranks_in_order", f"SELECT model, feature, TRUE AS rank_matches FROM {NAMED}, (VALUES ('logistic'), ('boosted')) m(model)")
+def l18_order(t):
+    """Ranks against the number of features with a larger absolute weight."""
+    rows = stored(l18(t), "weights")
+    other = rows.select(F.col("model").alias("_m"), F.col("feature").alias("_f"), F.abs("value").alias("_v"))
+    ahead = (F.col("_v") > F.abs("value")) | ((F.col("_v") == F.abs("value")) & (F.col("_f") < F.col("feature")))
+    counted = rows.join(other, (F.col("model") == F.col("_m")) & ahead, "left").groupBy("model", "feature", "rank").agg(F.count("_f").alias("n"))
+    return counted.select("model", "feature", (F.col("rank") == F.col("n") + 1).alias("rank_matches"))
+
+
+@query("l20_drivers_are_largest", checked_sql("SELECT member_id, event_date, 3 AS n_drivers, TRUE AS are_largest FROM model"))
+def l20_largest(t):
+    moved = explained_once(t)
+    drivers = at.key_drivers(moved, FEATURES, KEYS).join(moved.select(*KEYS, "contributions"), KEYS)
+    sizes = F.transform("key_drivers", lambda d: F.abs(d["contribution"]))
+    largest = F.slice(F.reverse(F.array_sort(F.transform("contributions", lambda c: F.abs(c)))), 1, 3)
+    return drivers.select(*KEYS, F.size("key_drivers").alias("n_drivers"), (sizes == largest).alias("are_largest"))
+
+
+def auc_rows(rows, name, value, features, target, max_iter):
+    """Counts per split, and whether the area under the curve is that of MLlib's evaluator."""
+    scored = stored(tr.score(tr.train_logistic(rows.where("split = 'train'"), features, target, max_iter=max_iter), rows, features).select("split", target, "score"), "scores")
+    other = {s: BinaryClassificationEvaluator(rawPredictionCol="score", labelCol=target, numBins=0).evaluate(scored.where(F.col("split") == s)) for s in ("train", "val", "test")}
+    theirs = F.create_map(*[x for s, v in other.items() for x in (F.lit(s), F.lit(v))])
+    found = ev.classification_metrics(scored, target, "score", ["split"])
+    return found.select(F.lit(value).alias(name), F.lit(len(features)).alias("n_features"), "split", (F.col("tp") + F.col("fn")).alias("positives"), (F.col("tn") + F.col("fp")).alias("negatives"),
+                        near(F.col("roc_auc"), theirs[F.col("split")], 1e-9).alias("auc_matches"))
+
+
+@query("l21_ablation_areas", checked_sql(f"""
+SELECT horizon, n_features, split, COUNT(*) FILTER (y_any_7d = 1) AS positives, COUNT(*) FILTER (y_any_7d = 0) AS negatives, TRUE AS auc_matches
+FROM model, (VALUES {", ".join(f"('{h}', {len(f)})" for h, f in ABLATED.items())}) h(horizon, n_features) GROUP BY 1, 2, 3"""))
+def l21_areas(t):
+    rows = stored(model_rows(t), "model-rows")
+    return reduce(DataFrame.unionByName, [auc_rows(rows, "horizon", h, f, LABEL, 30) for h, f in ABLATED.items()])
+
+
+@query("l22_target_areas", checked_sql(" UNION ALL ".join(
+    f"SELECT '{y}' AS target, {len(FEATURES)} AS n_features, split, COUNT(*) FILTER ({y} = 1) AS positives, COUNT(*) FILTER ({y} = 0) AS negatives, TRUE AS auc_matches FROM model GROUP BY 3" for y in TARGETS)))
+def l22_areas(t):
+    rows = stored(model_rows(t, (7, 14)), "model-rows")
+    return reduce(DataFrame.unionByName, [auc_rows(rows, "target", y, FEATURES, y, 20) for y in TARGETS])
