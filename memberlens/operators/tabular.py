@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memberlens.functions.expr import flag, normalised_code
 from memberlens.operators.windows import top_per_group
+from memberlens.sources.tables import columns_by_keyword
 
 
 def full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str], fill: float = 0) -> DataFrame:
@@ -204,3 +205,17 @@ def outlier_flags(areas: DataFrame, directions: Mapping[str, str], area: str) ->
         mean, sd = F.col(f"_stats.m_{c}"), F.col(f"_stats.s_{c}")
         picked.append(flag(F.col(c) > mean + sd if bad == "high" else F.col(c) < mean - sd).alias(f"{c}_outlier"))
     return joined.select(area, *picked)
+
+
+def keyword_directions(metadata: DataFrame, keywords: Mapping[str, str], columns: Iterable[str]) -> dict[str, str]:
+    """Columns whose description mentions a keyword, with the bad direction of that keyword.
+
+    A column that several keywords name takes the first of them; described columns that the table does not have are left out.
+    The metadata is as small as a table is wide.
+    """
+    order, present = {k: i for i, k in enumerate(keywords)}, set(columns)
+    found: dict[str, tuple[int, str]] = {}
+    for row in columns_by_keyword(metadata, keywords).collect():
+        if row["code"] in present:
+            found[row["code"]] = min(found.get(row["code"], (len(order), "")), (order[row["keyword"]], row["direction"]))
+    return {c: found[c][1] for c in sorted(found)}

@@ -281,6 +281,19 @@ def l14(t):
     return r.scored(t).select("row_id", F.round(total, 9).alias("total_score"), F.json_array_length(build).alias("parts"))
 
 
+@query("l14_parts", r.sql(r.SCORED, body="""
+SELECT row_id, feature, ROUND(CASE feature WHEN 'intercept' THEN 1 WHEN 'lr_score' THEN lr_score ELSE xgb_score END, 9)::DOUBLE AS value,
+       CASE feature WHEN 'intercept' THEN 0.25 WHEN 'lr_score' THEN 1.5 ELSE -0.75 END::DOUBLE AS coefficient,
+       ROUND(CASE feature WHEN 'intercept' THEN 0.25 WHEN 'lr_score' THEN 1.5 * lr_score ELSE -0.75 * xgb_score END, 9)::DOUBLE AS contribution
+FROM scored, (VALUES ('intercept'), ('lr_score'), ('xgb_score')) f(feature)"""))
+def l14_parts(t):
+    """The build-up itself, read back from its JSON."""
+    build, _ = ev.score_buildup(FIXED_WEIGHTS, 0.25)
+    part = F.from_json(build, "array<struct<feature:string,value:double,coefficient:double,contribution:double>>")
+    long = r.scored(t).select("row_id", F.explode(part).alias("p")).select("row_id", "p.*")
+    return long.select("row_id", "feature", F.round("value", 9).alias("value"), "coefficient", F.round("contribution", 9).alias("contribution"))
+
+
 def explained(t):
     return explained_once(t).drop("raw")
 
@@ -538,3 +551,31 @@ def l21_areas(t):
 def l22_areas(t):
     rows = stored(model_rows(t, (7, 14)), "model-rows")
     return reduce(DataFrame.unionByName, [auc_rows(rows, "target", y, FEATURES, y, 20) for y in TARGETS])
+
+
+@query("l19_individuals_with_buildups", checked_sql("""
+SELECT member_id, event_date, split, y_any_7d AS actual_event, TRUE AS logistic_adds_up, TRUE AS boosted_adds_up, TRUE AS class_follows FROM model WHERE event_date >= DATE '2024-01-05'"""))
+def l19_buildups(t):
+    """Individuals of all splits with both scores and both build-ups, from two fitted models; each build-up adds up to its score."""
+    rows = stored(model_rows(t), "model-rows")
+    train = rows.where("split = 'train'")
+    logistic, trees = tr.train_logistic(train, FEATURES, LABEL), tr.train_boosted(train, FEATURES, LABEL, maxIter=5, maxDepth=3)
+    scored = tr.score(trees, tr.score(logistic, rows, FEATURES, "lr"), FEATURES, "xgb")
+    moved = at.local_contributions(trees, rows, FEATURES, KEYS)
+    factors = at.local_factors(moved, FEATURES, KEYS, top_n=len(FEATURES), epsilon=0.0).select(*KEYS, "base_value", "increasing_factors", "decreasing_factors")
+    out = ev.consolidated_individuals(scored, LABEL, "lr", "xgb", ev.score_buildup(*tr.logistic_weights(logistic, FEATURES)), "2024-01-05", "event_date", boosted=factors)
+    lists = "array<struct<feature:string,contribution:double>>"
+    boosted = F.from_json("boosted_score_build", f"base_value double, increasing_factors {lists}, decreasing_factors {lists}")
+    parts = F.from_json("logistic_score_build", "array<struct<contribution:double>>")
+
+    def total(found):
+        return F.aggregate(found, F.lit(0.0), lambda a, x: a + x["contribution"])
+
+    def logit(p):
+        return F.ln(F.col(p) / (1 - F.col(p)))
+
+    # boosted probabilities are the logistic of twice the margin
+    return out.withColumn("b", boosted).select(
+        *KEYS, "split", "actual_event", (near(total(parts), F.col("logistic_total_score")) & near(F.col("logistic_total_score"), logit("logistic_prob"), 1e-6)).alias("logistic_adds_up"),
+        near(2 * (F.col("b.base_value") + total(F.col("b.increasing_factors")) + total(F.col("b.decreasing_factors"))), logit("boosted_prob"), 1e-6).alias("boosted_adds_up"),
+        (F.col("risk_class") == ev.risk_class(F.col("logistic_prob"))).alias("class_follows"))

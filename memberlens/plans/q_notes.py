@@ -80,6 +80,19 @@ def k42_objects(t):
                           size("population_baselines").alias("everywhere"))
 
 
+@query("k42_baseline_values", r.sql(SCORES, body="""
+SELECT member_id, scope, category, ROUND(mean, 6) AS mean FROM (
+  SELECT member_id, 'individual_baselines' AS scope, category, individual_baseline AS mean FROM base
+  UNION ALL SELECT member_id, 'market_baselines', category, market_baseline FROM base
+  UNION ALL SELECT member_id, 'population_baselines', category, population_baseline FROM base) WHERE mean IS NOT NULL"""))
+def k42_values(t):
+    """What the baseline objects hold, read back from their JSON."""
+    objects = nt.baseline_objects(nt.category_baselines(feed_scores(t)))
+    scopes = F.from_json("baselines_json", "map<string,map<string,double>>")
+    per_scope = objects.select("member_id", F.explode(scopes).alias("scope", "means"))
+    return per_scope.select("member_id", "scope", F.explode("means").alias("category", "mean")).withColumn("mean", F.round("mean", 6))
+
+
 #: Cues that the generated texts do contain.
 QUERY_CUES = {
     "Health": (["tion", "heing"], ["idiot", "stupid"]), "Program_Trust": (["thing"], ["loser", "scum"]), "Self": (["license"], ["worthless"]),

@@ -780,6 +780,24 @@ def k40(t):
     return tb.outlier_flags(areas, {"income": "low", "members": "high"}, "n_name")
 
 
+# Fixed for the comparison: descriptions of the area columns, as a metadata file would give them.
+AREA_LABELS = [("c1", "Estimate: median household income"), ("c2", "Estimate: persons below poverty level"), ("c3", "Estimate: total households"),
+               ("c4", "Estimate: median age"), ("c9", "Estimate: income of a column that is not there")]
+
+
+@query("k40_keyword_outliers", """
+WITH a AS (
+  SELECT n_name, CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS c1, COUNT(*) FILTER (c_acctbal < 0) AS c2 FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1)
+SELECT n_name, CASE WHEN c1 < (SELECT AVG(c1) - STDDEV_SAMP(c1) FROM a) THEN 1 ELSE 0 END AS c1_outlier, CASE WHEN c2 > (SELECT AVG(c2) + STDDEV_SAMP(c2) FROM a) THEN 1 ELSE 0 END AS c2_outlier FROM a""")
+def k40_keywords(t):
+    """Outlier columns and their bad sides chosen by keywords in the metadata."""
+    joined = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    areas = joined.groupBy("n_name").agg(
+        (money("c_acctbal") / F.count("*")).alias("c1"), F.count_if(F.col("c_acctbal") < 0).alias("c2"), F.count("*").alias("c3"), F.avg("c_custkey").alias("c4"))
+    metadata = src.inline(t.spark, AREA_LABELS, "column_code string, label string")
+    return tb.outlier_flags(areas, tb.keyword_directions(metadata, {"income": "low", "poverty": "high", "education": "low"}, areas.columns), "n_name")
+
+
 @query("k46_cohort_extraction", r.sql(COHORT_SQL, r.CLAIMS, r.CONTACTS, body="""
 SELECT 'claims' AS table_name, COUNT(*) AS row_count, COUNT(DISTINCT member_id) AS unique_members FROM claims WHERE member_id IN (SELECT member_id FROM cohort)
 UNION ALL SELECT 'contacts', COUNT(*), COUNT(DISTINCT member_id) FROM contacts WHERE member_id IN (SELECT member_id FROM cohort) AND contact_subject = 'individual'

@@ -102,3 +102,9 @@ def test_items_of_replies_of_unknown_shape(spark):
     out = nt.variant_items(spark.createDataFrame([r[:2] for r in replies], "id long, raw_response string"), keep=["id"])
     assert rows(out, "id", "kind", "depth", "category", "score", "value_type") == sorted([(i, *item) for i, _, items in replies for item in items], key=lambda r: tuple((x is None, str(x)) for x in r))
     assert nt.variant_items(spark.createDataFrame([], "id long, raw_response string"), keep=["id"]).count() == 0
+
+
+def test_columns_by_keywords_of_their_descriptions(spark):
+    metadata = spark.createDataFrame([("a", "Median income"), ("b", "poverty and income"), ("c", "age"), ("z", "income")], "column_code string, label string")
+    assert tb.keyword_directions(metadata, {"poverty": "high", "income": "low"}, ["a", "b", "c"]) == {"a": "low", "b": "high"}
+    assert tb.keyword_directions(metadata.limit(0), {"income": "low"}, ["a"]) == {}
