@@ -22,19 +22,19 @@ ASOF = "2002-01-01"
 
 def claim_log(t):
     """Claim and fill events of the whole tables, in the common shape."""
-    lines = r.claims(t)
-    mapped = ev.mapped_diagnoses(r.diagnoses(t), r.code_map(t))
+    s = r.claim_stage(t)
+    lines, mapped = r.claims(s), ev.mapped_diagnoses(r.diagnoses(s), r.code_map(t))
     return ev.event_log([
-        ev.diagnosis_events(lines, mapped), ev.line_events(lines), ev.fill_events(r.fills(t)),
+        ev.diagnosis_events(lines, mapped), ev.line_events(lines), ev.fill_events(r.fills(s)),
     ])
 
 
 def full_log(t):
     """One log of all feeds: claims, fills, admissions and scored notes."""
-    lines = r.claims(t)
-    mapped = ev.mapped_diagnoses(r.diagnoses(t), r.code_map(t))
+    s = r.claim_stage(t)
+    lines, mapped = r.claims(s), ev.mapped_diagnoses(r.diagnoses(s), r.code_map(t))
     return ev.event_log([
-        ev.diagnosis_events(lines, mapped), ev.line_events(lines), ev.fill_events(r.fills(t)),
+        ev.diagnosis_events(lines, mapped), ev.line_events(lines), ev.fill_events(r.fills(s)),
         ev.admission_events(r.feed(t), "ADT", "adt"), ev.note_events(r.note_scores(t)),
     ])
 
@@ -120,7 +120,8 @@ SELECT member_id, claim_id, claim_line_number, service_date AS event_date, CAST(
        {", ".join("has_" + c for c in codes.THEMATIC_GROUPS)}
 FROM dx_lines JOIN dx_claim USING (member_id, claim_id)"""))
 def k2(t):
-    events = ev.diagnosis_events(r.claims(t), ev.mapped_diagnoses(r.diagnoses(t), r.code_map(t)))
+    s = r.claim_stage(t)
+    events = ev.diagnosis_events(r.claims(s), ev.mapped_diagnoses(r.diagnoses(s), r.code_map(t)))
     return events.select(
         "member_id", "claim_id", "claim_line_number", "event_date", F.col("paid_amount").cast("double").alias("paid_amount"),
         "hcc_category", *ev.CONDITION_COLUMNS, *ev.THEME_COLUMNS,
@@ -162,7 +163,8 @@ signal AS (
 
 
 def claim_signal(t):
-    return ev.line_signal(r.claims(t), ev.mapped_diagnoses(r.diagnoses(t), r.code_map(t)), r.fills(t))
+    s = r.claim_stage(t)
+    return ev.line_signal(r.claims(s), ev.mapped_diagnoses(r.diagnoses(s), r.code_map(t)), r.fills(s))
 
 
 @query("k4_joined_signals", r.sql(CLAIM_SIGNAL, FEED_DAILY, body="""

@@ -585,11 +585,8 @@ def co_located(t, names=ALL_FEEDS):
     Order lines are read once and orders twice. Every feed is reduced before it is shuffled: to person-days with counts, or to
     the distinct rows that its measures can tell apart; a person who holds a third of all rows is a row per day.
     """
-    raw, out = Tables(t.spark, t.folder), Tables(t.spark, t.folder)
-    lines = r.claims(t)
-    if set(names) - set(MAIN_FEEDS):
-        lines = stored(lines.join(r.parts(t), "part_id"), "claim-lines")
-        raw.stages |= {"claims": lines, "diagnoses": r.diagnoses_of(lines), "fills": r.fills_of(lines)}
+    raw, out = r.claim_stage(t) if set(names) - set(MAIN_FEEDS) else t, Tables(t.spark, t.folder)
+    lines = r.claims(raw)
 
     def counted(df):
         return df.groupBy(df.columns).agg(F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memberlens.plans.registry import Tables, role
+from memberlens.sources.tables import stored
 
 # Brand number (1 to 25) -> category code.
 BRAND_CATEGORY = [
@@ -108,6 +109,15 @@ def parts(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("part_id"), _code(".").alias("icd_code"), F.col("p_name").alias("icd_desc"), F.col("p_type").alias("drug_type"))
 
 
+def claim_stage(t: Tables) -> Tables:
+    """Claims, diagnoses and fills from one stage of claim lines with their parts: lineitem, orders and part are read once."""
+    lines = stored(claims(t).join(parts(t).withColumn("has_part", F.lit(True)), "part_id", "left"), "claim-lines")
+    whole = lines.where("has_part")
+    out = Tables(t.spark, t.folder)
+    out.stages |= {"claims": lines, "diagnoses": diagnoses_of(whole), "fills": fills_of(whole)}
+    return out
+
+
 @role
 def diagnoses(t: Tables) -> DataFrame:
     """The part of a claim line as its diagnosis: a dotted code from brand and size."""

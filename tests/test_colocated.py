@@ -74,3 +74,12 @@ def test_counts_survive_the_reduction(spark, small_data):
     for block in (q.contact, q.sms, q.phone, q.k24, q.k30, q.k31):
         assert rows(block(feeds)) == rows(block(t)), block
     assert "k35_all_blocks" in ORACLES
+
+
+@pytest.mark.parametrize("name", ["k1_event_log", "k2_diagnosis_rollup", "k5_day_labels_30_60_90", "k4_signal_of_log"])
+def test_claim_lines_are_read_once(spark, small_data, no_broadcast, name):
+    from memberlens.plans.catalogue import QUERIES
+
+    seen, df = scans(spark, lambda: QUERIES[name](spark, small_data))
+    seen += [x for x in plan_lines(df) if "Scan parquet" in x]
+    assert sum("l_shipdate" in x for x in seen) == 1 and sum("o_custkey" in x for x in seen) == 1
