@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memberlens.functions import codes
 from memberlens.functions.expr import (
-    age_in_years, flag, gender_flags, is_ed_line, is_ip_line, months_crossed, one_hot, weekday_from_sunday,
+    age_in_years, flag, gender_flags, is_ed_line, is_ip_line, months_crossed, one_hot, synonym, weekday_from_sunday,
 )
 from memberlens.operators import lookback as lb
 from memberlens.operators import windows as wn
@@ -99,6 +99,26 @@ def member_day_table(features: DataFrame, members: DataFrame, labels: DataFrame,
     return out.select(*[F.coalesce(c, F.lit(0)).alias(c) if c in y else F.col(c) for c in out.columns])
 
 
+def feed_days(feed: DataFrame, horizons: Sequence[int], counts: Mapping[str, tuple[Column, str]], span: int = 7, setting: str = "setting",
+              date: str = "admit_date", scores: Mapping[str, str] = codes.NOTE_SCORE_COLUMNS) -> DataFrame:
+    """Member-days of one scored feed with counts of the days before, note scores and labels, from a single reduction.
+
+    The feed is brought to one row per person and day with everything that is asked of a day; windows and labels are range
+    frames over those rows, so it is read and shuffled once. ``counts`` maps a name to (condition, ``days`` or ``count``).
+    """
+    def of_day(condition: Column, kind: str) -> Column:
+        return F.count_if(condition) if kind == "count" else F.max(flag(condition)).cast("bigint")
+
+    days = feed.where(F.col("member_id").isNotNull() & F.col(date).isNotNull()).groupBy("member_id", F.col(date).alias("event_date")).agg(
+        F.max(flag(synonym(setting, codes.ED_SYNONYMS))).alias("any_ed_on_date"), F.max(flag(synonym(setting, codes.IP_SYNONYMS))).alias("any_ip_on_date"),
+        *[of_day(condition, kind).alias(f"_{name}") for name, (condition, kind) in counts.items()],
+        *[F.max(F.when(F.col("category") == c, F.col("score"))).alias(name) for c, name in scores.items()])
+    before = wn.trailing(span)
+    labelled = wn.with_labels(days.select("*", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"{n}_{span}d") for n in counts]), horizons)
+    y = [f"y_{k}_{n}d" for n in horizons for k in ("ed", "ip", "any")]
+    return labelled.select(*KEYS, *[f"{n}_{span}d" for n in counts], *scores.values(), *[F.coalesce(c, F.lit(0)).alias(c) for c in y])
+
+
 def longitudinal(features: DataFrame, deltas: Mapping[str, str] = {}, since: Mapping[str, str] = {},
                  rolling: Mapping[str, str] = {}, new: Mapping[str, str] = {}, n: int = 30, n_new: int = 30,
                  mode: str = "days") -> DataFrame:

@@ -508,14 +508,14 @@ def d5(t):
     return note_days(t)
 
 
+def feed_counts():
+    return {"cnt_ed": (F.col("event_type") == "error", "days"), "cnt_click": (F.col("event_type") == "click", "count")}
+
+
 def feed_features(t):
     """Note scores of the day with short windows of the feed's own counts."""
-    feed = r.feed(t)
-    anchors = feed.select("member_id", F.col("admit_date").alias("event_date")).distinct()
-    counts = lb.day_lookback(anchors, feed, [
-        lb.Measure("cnt_ed", F.col("event_type") == "error", "days"),
-        lb.Measure("cnt_click", F.col("event_type") == "click", "count"),
-    ], [lb.DaySpan("7d", 7)], fact_date="admit_date")
+    counts = lb.day_lookback(None, r.feed(t), [lb.Measure(n, condition, kind) for n, (condition, kind) in feed_counts().items()],
+                             [lb.DaySpan("7d", 7)], fact_date="admit_date")
     return counts.join(note_days(t), ["member_id", "event_date"], "left")
 
 
@@ -554,9 +554,8 @@ SELECT f.*, m.market, m.dob, m.gender, {", ".join(f"COALESCE(y_{k}_{n}d, 0) AS y
 FROM features f JOIN members m ON m.member_id = f.member_id
 LEFT JOIN labels l ON l.member_id = f.member_id AND l.event_date = f.event_date"""))
 def k11(t):
-    labels = ev.day_labels(ev.daily_signal(feed_log(t)), (7, 14))
-    members = r.members(t).select("member_id", "market", "dob", "gender")
-    return dy.member_day_table(feed_features(t), members, labels)
+    days = dy.feed_days(r.scored_feed(t), (7, 14), feed_counts())
+    return days.join(r.members(t).select("member_id", "market", "dob", "gender"), "member_id")
 
 
 @query("k12_longitudinal", r.sql(FEED_FEATURES, body=f"""

@@ -270,15 +270,16 @@ def spine(t: Tables) -> DataFrame:
 SPINE = ELIGIBILITY + ", spine AS (SELECT member_id, month FROM eligibility)"
 
 
-def note_scores(t: Tables) -> DataFrame:
-    """Scored notes from the events feed: the JSON value gives the category (k mod 7) and the score (1 to 5)."""
+def scored_feed(t: Tables) -> DataFrame:
+    """The feed with the note that each event carries: the JSON value gives the category (k mod 7) and the score (1 to 5)."""
     names = F.array(*[F.lit(n) for n in ("HEALTH", "PROGRAM_TRUST", "SELF", "RISK_HARM", "SOCIAL_STABILITY",
                                          "MED_ADHERENCE", "CARE_ENGAGEMENT")])
-    return feed(t).select(
-        "member_id", F.col("admit_date").alias("note_date"),
-        F.element_at(names, F.col("k") % 7 + 1).alias("category"), (F.col("k") % 5 + 1).cast("bigint").alias("score"),
-        "event_id",
-    )
+    return feed(t).select("*", F.element_at(names, F.col("k") % 7 + 1).alias("category"), (F.col("k") % 5 + 1).cast("bigint").alias("score"))
+
+
+def note_scores(t: Tables) -> DataFrame:
+    """Scored notes of the feed."""
+    return scored_feed(t).select("member_id", F.col("admit_date").alias("note_date"), "category", "score", "event_id")
 
 
 NOTE_SCORES = FEED + """,

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memberlens.plans import q_months as q
+from memberlens.plans.catalogue import QUERIES
 from memberlens.plans.registry import ORACLES, Tables
 from memberlens.sources.tables import bucketed, co_partitioned
 
@@ -78,8 +79,11 @@ def test_counts_survive_the_reduction(spark, small_data):
 
 @pytest.mark.parametrize("name", ["k1_event_log", "k2_diagnosis_rollup", "k5_day_labels_30_60_90", "k4_signal_of_log"])
 def test_claim_lines_are_read_once(spark, small_data, no_broadcast, name):
-    from memberlens.plans.catalogue import QUERIES
-
     seen, df = scans(spark, lambda: QUERIES[name](spark, small_data))
     seen += [x for x in plan_lines(df) if "Scan parquet" in x]
     assert sum("l_shipdate" in x for x in seen) == 1 and sum("o_custkey" in x for x in seen) == 1
+
+
+def test_member_days_come_from_one_reduction_of_the_feed(spark, small_data, no_broadcast):
+    lines = plan_lines(QUERIES["k11_member_day_table"](spark, small_data))
+    assert sum("event_type" in x for x in lines if "Scan parquet" in x) == 1
