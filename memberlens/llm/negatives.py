@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memberlens.llm.common import column
+from memberlens.llm.exact import exact, fits, floors, padded
 from memberlens.llm.order import batch_rows, numbered
 from memberlens.sources.tables import stored
 
@@ -62,8 +63,7 @@ class Shard:
     def __init__(self, dim: int, ids: np.ndarray, labels: Sequence[str], codes: np.ndarray, points: np.ndarray, lists: np.ndarray, scale: int = SCALE):
         self.dim, self.ids, self.labels, self.codes, self.lists = dim, ids, {x: i for i, x in enumerate(labels)}, codes, lists
         self.points = points
-        with np.errstate(over="ignore"):
-            self.whole = np.floor(points * scale)
+        self.whole = floors(points, scale)
         self.largest = float(np.abs(self.whole).max(initial=0))
         self.scale = scale
         self._exact = None
@@ -87,9 +87,8 @@ class Shard:
 
     def numbers(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and query in numbers whose sums of products are exact."""
-        with np.errstate(over="ignore"):
-            q = np.floor(query * self.scale)
-        if self.largest * float(np.abs(q).max(initial=0)) * len(q) < 2**53:
+        q = floors(query, self.scale)
+        if fits(self.largest, q):
             return self.whole, q
         if self._exact is None:
             self._exact = exact(self.points, self.scale)
@@ -138,19 +137,6 @@ class Shard:
                 del held[k:]
 
 
-def padded(vector) -> np.ndarray:
-    """As doubles; one zero for an empty vector."""
-    return np.asarray(vector, np.float64) if len(vector) else np.zeros(1)
-
-
-def exact(values: np.ndarray, scale: int) -> np.ndarray:
-    """floor(scale * x) in Python's whole numbers, also where the product is beyond a double."""
-    with np.errstate(over="ignore"):
-        floors = np.floor(values * scale)
-    whole = [int(f) if np.isfinite(f) else int(x) * scale for x, f in zip(values.ravel().tolist(), floors.ravel().tolist())]
-    return np.array(whole, object).reshape(values.shape)
-
-
 def shards(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """A stored row per shard. ``rows`` has id, label, dim, v; rows of one label lie together, a large label has many shards."""
     dealt = numbered(rows, ["dim", "label", F.xxhash64("id"), "id", "v"], "dealt")
