@@ -113,13 +113,14 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], now:
     return spark.read.parquet(path)
 
 
-def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), compression: str | None = None) -> None:
     """Write as a whole-table replacement, optionally partitioned so that later scans can skip files."""
     writer = df.write.mode("overwrite")
+    writer = writer.option("compression", compression) if compression else writer
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: Sequence[str] = (), compression: str | None = None) -> DataFrame:
     """Write a stage to the shared folder, under a name of its own, and read it back.
 
     What follows starts from the files: a long lineage ends here, a lost executor re-reads instead of recomputing, and
@@ -127,7 +128,7 @@ def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFr
     """
     spark = df.sparkSession
     folder = run_folder(spark, name)
-    replace_table(df, folder, partition_by)
+    replace_table(df, folder, partition_by, compression)
     return spark.read.schema(df.schema).parquet(folder).select(*df.columns)
 
 
