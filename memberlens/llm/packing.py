@@ -169,7 +169,7 @@ def packed_documents(cut: DataFrame, capacity: int = CAPACITY, group_items: int
 
 def packed_sequences(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """Packing of every document: the digest of each piece and its ids beside it."""
-    cut = stored(pieces(docs, vocabulary, capacity=capacity).withColumn("item", F.monotonically_increasing_id()), "pieces")
+    cut = stored(pieces(docs, vocabulary, capacity=capacity).withColumn("item", F.monotonically_increasing_id()), "pieces", compression="zstd")
     return cut.join(pack(cut.select("item", "length"), capacity), "item").drop("item").withColumn("ids_crc32", F.crc32("ids"))
 
 
