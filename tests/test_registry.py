@@ -10,8 +10,8 @@ from memberlens.plans.registry import TABLE_NAMES
 from tools.check_oracle import rows_of
 
 ROWS_ONLY = {
-    "d13_approximate_distinct", "k11_modelling_rows", "l1_logistic_weights", "l2_boosted_importances",
-    "l3_parameter_search", "l4_scores_all_splits", "l6_isotonic_calibration", "l15_local_factors",
+    "k11_modelling_rows", "l1_logistic_weights", "l2_boosted_importances",
+    "l3_parameter_search", "l4_scores_all_splits", "l15_local_factors",
     "l16_global_factors", "l20_key_drivers", "l18_ranked_weights", "l21_feature_ablation", "l22_targets",
 }
 SMOKE = [
