@@ -107,13 +107,14 @@ def apply(blocks: DataFrame, df: DataFrame, score: str, name: str = "calibrated"
     rows = in_ranges(marks, ["s", F.col("value").isNull(), "value"], "scores-and-ends")
     end = F.when(F.col("value").isNotNull(), F.struct("s", "value"))
     parts = rows.groupBy("part").agg(F.max(end).alias("last"), F.min(end).alias("first"))
-    by_part = Window.orderBy("part")  # a row per range
+    # both directions look back from the current row: a frame that reaches the end of its group is summed anew for every row
+    by_part, from_end = Window.orderBy("part"), Window.orderBy(F.desc("part"))  # a row per range
     handed = parts.select("part", F.last("last", True).over(by_part.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-                          F.first("first", True).over(by_part.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    inside = Window.partitionBy("part").orderBy("place")
+                          F.last("first", True).over(from_end.rowsBetween(Window.unboundedPreceding, -1)).alias("after"))
+    inside, back = Window.partitionBy("part").orderBy("place"), Window.partitionBy("part").orderBy(F.desc("place"))
     seen = rows.join(F.broadcast(handed), "part").select(
         "s", "value", F.coalesce(F.last(end, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "before").alias("below"),
-        F.coalesce(F.first(end, True).over(inside.rowsBetween(0, Window.unboundedFollowing)), "after").alias("above"))
+        F.coalesce(F.last(end, True).over(back.rowsBetween(Window.unboundedPreceding, 0)), "after").alias("above"))
     share = (F.col("s") - F.col("below.s")) / (F.col("above.s") - F.col("below.s"))
     value = F.when(F.col("above").isNull() | (F.col("below.s") == F.col("s")), F.col("below.value")).when(
         F.col("below").isNull() | (F.col("below.value") == F.col("above.value")), F.col("above.value")).otherwise(
