@@ -146,6 +146,38 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(table)
 
 
+def kept_in_place(df: DataFrame, name: str, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """``bucketed`` for rows that a shuffle has already hashed by ``key``: written where they lie, without another shuffle.
+
+    Cuts a long chain of joins and windows, whose sorts would all hold memory of one task. Partitions are not merged meanwhile, so
+    a task has the rows of one bucket; rows that lie otherwise are written correctly, in more files.
+    """
+    spark = df.sparkSession
+    conf, table = "spark.sql.adaptive.coalescePartitions.enabled", f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key, *order)
+        writer.option("path", run_folder(spark, name)).saveAsTable(table)
+    finally:
+        spark.conf.set(conf, before)
+    return spark.table(table)
+
+
+#: Rows of a source that a task may stand for.
+TASK_ROWS = 1_000_000
+
+
+def spread(df: DataFrame, key: str | Sequence[str], source: DataFrame) -> DataFrame:
+    """Rows hashed by ``key`` into tasks whose number follows the rows of ``source``, and never fewer than a shuffle has.
+
+    A number that is asked for is not lowered at run time, where small rows that multiply later would be merged into few tasks.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-source.count() // TASK_ROWS))
+    return df.repartition(n, *([key] if isinstance(key, str) else key))
+
+
 @contextmanager
 def co_partitioned(spark: SparkSession):
     """While an action runs, tables hashed by some of a join's keys are joined where they lie."""
