@@ -16,6 +16,7 @@ from memberlens.functions.expr import (
 )
 from memberlens.operators.tabular import full_outer
 from memberlens.operators.windows import with_labels
+from memberlens.sources.tables import spread
 
 CONDITION_COLUMNS = [f"cnt_hcc_{name}" for name in codes.CONDITION_GROUPS] + ["cnt_hcc_other_complex"]
 THEME_COLUMNS = [f"has_{name}" for name in codes.THEMATIC_GROUPS]
@@ -117,11 +118,12 @@ def diagnosis_events(lines: DataFrame, mapped: DataFrame) -> DataFrame:
 
     Diagnoses are rolled up per claim before the join; joining first would multiply lines by diagnoses.
     """
-    distinct_lines = lines.dropDuplicates([
+    claim = ["member_id", "claim_id"]
+    distinct_lines = spread(lines, claim, lines).dropDuplicates([
         "member_id", "claim_id", "claim_line_number", "service_date", "service_end_date", "place_of_service",
         "revenue_code", "hcpcs_code", "paid_amount",
     ])
-    joined = distinct_lines.join(diagnosis_rollup(mapped), ["member_id", "claim_id"])
+    joined = distinct_lines.join(diagnosis_rollup(spread(mapped, claim, lines)), claim)
     return _claim_base(joined, ["hcc_category", *CONDITION_COLUMNS, *THEME_COLUMNS]).withColumns({
         "event_type": F.lit("CLAIM_DIAGNOSIS"), "code_type": F.lit("ICD10"),
     })
