@@ -32,6 +32,9 @@ from memberlens.llm.tokens import encoded
 #: Tokens after which a block ends; a longer document has a block of its own.
 BLOCK_TOKENS = 1 << 20
 
+#: Ids below this are ranked by a table over all of them.
+TABLE_IDS = 1 << 22
+
 BLOCKS = "part int, block int, first long, tokens long, keys binary, counts binary, ranked binary, control binary, data binary"
 NULL_KEY = np.iinfo(np.int64).min
 
@@ -47,11 +50,17 @@ LENGTHS = code_table()
 
 def encode_ids(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(ranked, control, data) of unsigned 32-bit ids."""
-    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    top = int(ids.max()) if len(ids) else 0
+    if top < TABLE_IDS:  # any vocabulary: counted and ranked by tables over the ids, without a sort of the tokens
+        every = np.bincount(ids, minlength=1)
+        values = np.flatnonzero(every)
+        counts, place = every[values], ids
+    else:
+        values, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.lexsort((values, -counts))
-    rank_of = np.empty(len(order), np.uint32)
-    rank_of[order] = np.arange(len(order), dtype=np.uint32)
-    ranks = rank_of[inverse]
+    rank_of = np.empty(top + 1 if top < TABLE_IDS else len(order), np.uint32)
+    rank_of[values[order] if top < TABLE_IDS else order] = np.arange(len(order), dtype=np.uint32)
+    ranks = rank_of[place]
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     padded[:len(ranks)] = size - 1

@@ -98,3 +98,14 @@ def test_best_fit_prefers_the_tightest_bin():
 
 def test_empty_table(spark):
     assert packing.packed_digest(brute.frame(spark, []), WORD).count() == 0
+
+
+def test_ids_of_a_vocabulary_are_ranked_without_a_sort(monkeypatch):
+    for ids in ([], [0], [7, 7, 3, 50_000, 3, 7], [2**32 - 1, 5, 5]):
+        ids = np.array(ids, np.uint32)
+        values, counts = np.unique(ids, return_counts=True)
+        ranked = tokenfile.encode_ids(ids)[0]
+        assert np.frombuffer(ranked, "<u4").tolist() == values[np.lexsort((values, -counts))].tolist()
+    monkeypatch.setattr(np, "unique", None)
+    ids = np.array([7, 7, 3, 50_000], np.uint32)
+    assert (tokenfile.decode_ids(*tokenfile.encode_ids(ids), 4) == ids).all()
