@@ -15,7 +15,6 @@ are written as Parquet to the shared folder and read again, so a lost executor c
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,31 +37,23 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return rewritten(found, decontamination.without_spans, "start", "end").select(docs.columns)
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns),
+                                          change=decontamination.without_spans)
+    return counted(found).select(docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.find(docs, pii.fit(docs), keep=tuple(docs.columns))
-    return rewritten(found, pii.masked, "kind", "start", "end").select(docs.columns)
+    found = pii.find(docs, pii.fit(docs), keep=tuple(docs.columns), change=pii.masked)
+    return counted(found).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(docs, vocabulary("word_bpe_49k.json"))
 
 
-def rewritten(found: DataFrame, change, *fields: str) -> DataFrame:
-    """Texts changed by their spans; only rows with spans are changed. ``n_chars`` follows."""
-
-    def run(batches):
-        for frame in batches:
-            spans = [[tuple(s[f] for f in fields) for s in row] for row in frame["spans"]]
-            frame["text"] = pd.Series([change(t, s) if s else t for t, s in zip(frame["text"], spans)], index=frame.index, dtype=object)
-            yield frame
-
-    plain = found.select("text", "spans", *[c for c in found.columns if c not in ("text", "spans")])
-    out = plain.mapInPandas(run, plain.schema)
-    return out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+def counted(found: DataFrame) -> DataFrame:
+    """``n_chars`` follows the texts that were changed, those with spans."""
+    return found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 STAGES = [

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -166,10 +166,11 @@ def in_order(names: set[str | None]) -> list[str | None]:
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                   item_text: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, shard_words: int = SHARD_WORDS,
-                  block_words: int = BLOCK_WORDS) -> DataFrame:
+                  block_words: int = BLOCK_WORDS, change: Callable[[str, list[tuple[int, int]]], str] | None = None) -> DataFrame:
     """key, n_words, spans (in words, end exclusive), items (keys as text, sorted, null last) of every document.
 
-    ``keep`` names further columns to hand through.
+    ``keep`` names further columns to hand through. With ``change``, a text that has spans is handed through as
+    ``change(text, spans)``, from the Python step that settles them.
     """
     spark, docs = docs.sparkSession, in_text_batches(docs)
     keep = tuple(c for c in keep if c != key)
@@ -180,14 +181,14 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     block, after = next(blocks, []), next(blocks, None)
     if after is None:
         sent = spark.sparkContext.broadcast(Windows(block, window))
-        out = out.mapInPandas(shard_search(sent, shard_words), out.schema)
+        out = out.mapInPandas(shard_search(sent, shard_words, change), out.schema)
     else:
         found = None
         while block is not None:
             part = block_findings(docs, text, Windows(block, window), shard_words)
             found = part if found is None else found.unionByName(part)
             block, after = after, next(blocks, None)
-        out = with_findings(out, found)
+        out = with_findings(out, found, change)
     return out.select(F.col("key").alias(key), "n_words", "spans", "items", *restored(keep, text))
 
 
@@ -209,7 +210,7 @@ def block_findings(docs: DataFrame, text: str, windows: Windows, shard_words: in
     return part
 
 
-def with_findings(out: DataFrame, found: DataFrame) -> DataFrame:
+def with_findings(out: DataFrame, found: DataFrame, change=None) -> DataFrame:
     """Spans and items of all blocks at every document with their text."""
     found = found.groupBy("digest").agg(F.flatten(F.collect_list("found_spans")).alias("found_spans"), F.flatten(F.collect_list("found_items")).alias("found_items"))
     digest = F.unhex(F.sha2(F.col("body").cast("binary"), 256))
@@ -220,12 +221,20 @@ def with_findings(out: DataFrame, found: DataFrame) -> DataFrame:
             frame["n_words"] = [len(words_of(t)) for t in frame["body"]]
             frame["spans"] = [[{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in spans])] for spans in frame["spans"]]
             frame["items"] = [in_order(set(names)) for names in frame["items"]]
-            yield frame
+            yield changed(frame, change)
 
     return met.mapInPandas(run, met.schema)
 
 
-def shard_search(sent, shard_words: int):
+def changed(frame: pd.DataFrame, change) -> pd.DataFrame:
+    """The batch with ``change`` made to the texts that have spans."""
+    if change is not None:
+        spans = [[(x["start"], x["end"]) for x in row] for row in frame["spans"]]
+        frame["body"] = pd.Series([change(t, s) if s else t for t, s in zip(frame["body"], spans)], index=frame.index, dtype=object)
+    return frame
+
+
+def shard_search(sent, shard_words: int, change=None):
     @by_small_batches("body")
     def run(batches):
         for frame in batches:
@@ -248,7 +257,7 @@ def shard_search(sent, shard_words: int):
                 for old, new in zip(frame["spans"], spans)
             ]
             frame["items"] = [in_order({*old, *(names[k] for k in new)}) for old, new in zip(frame["items"], items)]
-            yield frame
+            yield changed(frame, change)
 
     return run
 

@@ -15,7 +15,7 @@ read, other columns may have any names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +41,7 @@ WINDOW = 512
 SHARED = 32
 
 #: Windows decoded side by side.
-BATCH = 2048
+BATCH = 1024
 
 #: Added to the memory at each step, so that it fades to this and not to slow denormal numbers.
 TINY = np.float32(1e-20)
@@ -384,8 +384,13 @@ def added_spans(base: list[Span], label: np.ndarray, margin: np.ndarray) -> list
     ]
 
 
-def find(docs: DataFrame, tagger: Tagger | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, base and spans (base and added ones together) of every document; ``keep`` names columns to hand through."""
+def find(docs: DataFrame, tagger: Tagger | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (),
+         change: Callable[[str, list[tuple[str, int, int]]], str] | None = None) -> DataFrame:
+    """key, base and spans (base and added ones together) of every document; ``keep`` names columns to hand through.
+
+    With ``change``, a text that has spans is handed through as ``change(text, spans)``, from the step that found them: a second
+    Python step would hold a second worker beside each of the first.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(tagger)
     keep = tuple(c for c in keep if c != key)
     rows = docs.select(column(key).alias("key"), column(text).alias("body"), F.array().cast(SPANS).alias("base"), F.array().cast(SPANS).alias("spans"), *carried(keep, text))
@@ -408,6 +413,8 @@ def find(docs: DataFrame, tagger: Tagger | None, key: str = "doc_id", text: str
                     a, size = b, 0
                 if b < len(texts):
                     size += len(texts[b])
+            if change is not None:
+                frame["body"] = pd.Series([change(t, [(KINDS[k], a, b) for a, k, b in s]) if s else t for t, s in zip(frame["body"], both)], index=frame.index, dtype=object)
             yield frame.assign(base=[shown(s) for s in base], spans=[shown(s) for s in both])
 
     out = in_text_batches(rows).mapInPandas(run, rows.schema)

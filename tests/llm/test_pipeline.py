@@ -45,3 +45,12 @@ def test_empty_and_awkward_tables(spark, fresh_dir):
     assert corpus_pipeline.run(spark, fresh_dir + "/e").count() == 0
     tables(spark, fresh_dir + "/a", brute.awkward(), [(1, None)])
     assert corpus_pipeline.run(spark, fresh_dir + "/a").count() > 0
+
+
+def test_texts_are_changed_in_the_step_that_finds_the_spans(spark, fresh_dir):
+    rows, items = rows_with_everything()
+    tables(spark, fresh_dir, rows, items)
+    docs = spark.read.parquet(f"{fresh_dir}/documents.parquet")
+    for stage in (corpus_pipeline.without_benchmark, corpus_pipeline.without_personal_data):
+        plan = stage(spark, docs, fresh_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInPandas") == 1
