@@ -9,6 +9,8 @@ their ids, as the library does by default; what stands between two of them is a
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -37,7 +39,16 @@ def byte_letters() -> dict[int, int]:
     return {b: b if b in shown else next(rest) for b in range(256)}
 
 
+def little_endian(ids: list[int]) -> bytes:
+    """Unsigned 32-bit integers as bytes; for a few of them far quicker than a numpy array."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 _LETTERS = byte_letters()
+_SPACE = chr(_LETTERS[0x20])
 _LOADED: dict[str, WordEncoder] = {}
 
 
@@ -62,8 +73,9 @@ class WordEncoder:
         """Ids of one word or run of stops, from the model itself."""
         ids = self.known.get(word)
         if ids is None:
-            shown = word.encode().decode("latin-1").translate(_LETTERS)
-            ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            # ASCII letters and stops show themselves
+            shown = word.replace(" ", _SPACE) if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            ids = little_endian([t.id for t in self.model.tokenize(shown)])
             self.remember(word, ids)
         return ids
 

@@ -4,8 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from memberlens.llm import packing, tokenfile
-from memberlens.llm.tokens import encoder
+from memberlens.llm import packing, tokenfile, tokens
+from memberlens.llm.tokens import WordEncoder, encoder
 from tests.llm import brute
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -109,3 +109,11 @@ def test_ids_of_a_vocabulary_are_ranked_without_a_sort(monkeypatch):
     monkeypatch.setattr(np, "unique", None)
     ids = np.array([7, 7, 3, 50_000], np.uint32)
     assert (tokenfile.decode_ids(*tokenfile.encode_ids(ids), 4) == ids).all()
+
+
+def test_ids_of_a_new_word_need_no_numpy_array(monkeypatch):
+    for path in (WORD, BYTE):
+        enc, wanted = WordEncoder(path), encoder(path).plain("Zyxlthon, été zyxlthonea")
+        with monkeypatch.context() as m:
+            m.setattr(tokens.np, "array", None)
+            assert enc.encode("Zyxlthon, été zyxlthonea") == wanted
