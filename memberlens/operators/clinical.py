@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -121,63 +121,63 @@ def care_coordination(spine: DataFrame, treatments: DataFrame, required: DataFra
 
 
 def pharmacy_months(spine: DataFrame, fills: DataFrame, classes: Mapping[str, Column], mode: str = "month",
-                    adherent_at: float = codes.ADHERENT_AT) -> DataFrame:
+                    adherent_at: float = codes.ADHERENT_AT, place: Callable[[DataFrame], DataFrame] = lambda months: months) -> DataFrame:
     """Per drug class: ever prescribed, number of drugs, possession ratio, adherence, missed refill and new drug.
 
     ``mode='month'`` works on calendar months: the last three are ``m-2`` to ``m``, and refills and first fills count
     for the month they fall in. ``mode='date'`` compares fill dates with the first day of the month, as the published
     script does: the window is ``[m-2, first day of m]`` and only fills on a first day count as refills or new drugs.
 
-    A fill is visible from the month ``opens`` to two months after its own. Days of supply are added when it opens and
-    taken back after its last month. A drug counts once however many of its fills are visible: each fill carries it
-    until it closes or the drug's next fill opens. Everything is then one running pass per member, without joins.
+    Fills become one row per member and month, and a spine month looks at three of them: the two months before as a whole
+    and, of its own, the fills that count at once. A drug counts once however many of its fills lie there: at its first fill
+    in these months, whose previous one lies at least as many months before it as the months reach back from it. ``place``
+    may lay the rows of fills where those of the spine lie.
     """
-    by_date = mode == "date"
-    taken = F.explode(F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in classes.items()])))
+    by_date, names = mode == "date", list(classes)
+    today = "_now" if by_date else ""  # what counts at once of the own month: else all of it
+    taken = F.explode(F.array(*[F.when(hit, F.lit(i)) for i, hit in enumerate(classes.values())]))
     long = fills.where(F.col("filled_date").isNotNull()).select(
-        "member_id", "ndc", "filled_date", "days_supply", taken.alias("class")).distinct()
-    own, on_first = month_number("filled_date"), F.dayofmonth("filled_date") == 1
-    opens = F.when(on_first, own).otherwise(own + 1) if by_date else own
+        "member_id", "ndc", "filled_date", "days_supply", taken.alias("class")).where(F.col("class").isNotNull()).distinct()
     drug = W.partitionBy("member_id", "class", "ndc").orderBy("filled_date", "days_supply")
-    seen = long.select("member_id", "class", F.col("days_supply").alias("_days"), opens.alias("_opens"), own.alias("_own"),
-                       (on_first if by_date else F.lit(True)).alias("_counts"),
-                       F.lead(opens).over(drug).alias("_next"), (F.row_number().over(drug) == 1).alias("_first"))
-    closes = F.least(F.col("_own") + 3, F.coalesce(F.col("_next"), F.col("_own") + 3))
-
-    def change(kind: str, month: Column, value: Column, when: Column | None = None) -> Column:
-        cell = F.struct(month.alias("m"), F.lit(kind).alias("kind"), value.cast("bigint").alias("v"))
-        return cell if when is None else F.when(when, cell)
-
-    one, visible = F.lit(1), F.col("_opens") < closes
-    changes = F.array_compact(F.array(
-        change("ever", F.col("_opens"), one),
-        change("days", F.col("_opens"), F.col("_days")), change("days", F.col("_own") + 3, -F.col("_days")),
-        change("drugs", F.col("_opens"), one, visible), change("drugs", closes, -one, visible),
-        change("refill", F.col("_own"), one, F.col("_counts")), change("start", F.col("_own"), one, F.col("_counts") & F.col("_first")),
-    ))
-    kinds, names = ["ever", "days", "drugs", "refill", "start"], list(classes)
-    by_month = seen.select("member_id", "class", F.explode(changes).alias("c")).groupBy("member_id", F.col("c.m").alias("_m")).agg(*[
-        F.sum(F.when((F.col("class") == n) & (F.col("c.kind") == k), F.col("c.v"))).alias(f"{k}_{n}") for n in names for k in kinds])
+    own = month_number("filled_date")
+    seen = long.select("member_id", "class", own.alias("_m"), F.col("days_supply").cast("bigint").alias("_days"),
+                       (F.dayofmonth("filled_date") == 1 if by_date else F.lit(True)).alias("_now"),
+                       (own - F.lag(own).over(drug)).alias("_gap"))
+
+    def fresh(months: int) -> Column:
+        return F.col("_gap").isNull() | (F.col("_gap") >= months)
+
+    measures = []
+    for i, n in enumerate(names):
+        hit, now = F.col("class") == i, (F.col("class") == i) & F.col("_now")
+        for word, those in {"": hit, today: now}.items():
+            measures += [F.sum(F.when(those, F.col("_days"))).alias(f"days{word}_{n}"), F.count_if(those & fresh(1)).alias(f"drugs{word}_{n}")]
+        measures += [F.count_if(hit & fresh(2)).alias(f"fresh_{n}"), F.count_if(now & fresh(3)).alias(f"fresh_now_{n}"),
+                     F.count_if(now & F.col("_gap").isNull()).alias(f"start_{n}")]
+    by_month = seen.groupBy("member_id", "_m").agg(*measures)
+    facts = by_month.select("member_id", "_m", F.struct(*by_month.columns[2:]).alias("_f"))
     marks = spine.select("member_id", month_number("month").alias("_m"), F.lit(1).alias("_spine"), F.col("month"))
     month = W.partitionBy("member_id").orderBy("_m")
-    so_far, now, before = month.rangeBetween(W.unboundedPreceding, 0), month.rangeBetween(0, 0), month.rangeBetween(-1, -1)
+    wide = marks.unionByName(place(facts), allowMissingColumns=True).select(
+        "member_id", "month", "_spine",
+        *[F.first("_f", ignorenulls=True).over(month.rangeBetween(-back, -back)).alias(f"_f{back}") for back in range(3)],
+        *[F.sum(f"_f.drugs_{n}").over(month.rangeBetween(W.unboundedPreceding, -1)).alias(f"_before_{n}") for n in names],
+    ).where(F.col("_spine") == 1)
 
-    def total(kind: str, name: str, frame) -> Column:
-        return F.coalesce(F.sum(f"{kind}_{name}").over(frame), F.lit(0))
+    def cell(name: str, back: int = 0) -> Column:
+        return F.coalesce(F.col(f"_f{back}.{name}"), F.lit(0))
 
-    wide = marks.unionByName(by_month, allowMissingColumns=True).select("member_id", "month", "_spine", *[
-        total(k, n, f).alias(f"{w}_{n}") for n in names for k, w, f in (
-            ("ever", "ever", so_far), ("days", "days", so_far), ("drugs", "drugs", so_far), ("refill", "now", now),
-            ("refill", "prev", before), ("start", "start", now))
-    ]).where(F.col("_spine") == 1)
     out = []
     for n in names:
-        ever, mpr = F.col(f"ever_{n}") > 0, F.col(f"days_{n}") / F.lit(90.0)
+        now, before = cell(f"drugs{today}_{n}") > 0, cell(f"drugs{today}_{n}", 1) > 0
+        ever = now | (F.col(f"_before_{n}") > 0)
+        mpr = (cell(f"days_{n}", 2) + cell(f"days_{n}", 1) + cell(f"days{today}_{n}")) / F.lit(90.0)
         out += [
-            flag(ever).alias(f"{n}_ever_prescribed"), F.col(f"drugs_{n}").alias(f"num_{n}_drugs_last_3_months"),
+            flag(ever).alias(f"{n}_ever_prescribed"),
+            (cell(f"drugs_{n}", 2) + cell(f"fresh_{n}", 1) + cell(f"fresh_now_{n}")).alias(f"num_{n}_drugs_last_3_months"),
             gated(ever, mpr).alias(f"{n}_mpr_last_3_months"), gated(ever, at_least(mpr, adherent_at)).alias(f"{n}_med_adherent"),
-            flag((F.col(f"prev_{n}") > 0) & (F.col(f"now_{n}") == 0)).alias(f"{n}_missed_refill_this_month"),
-            flag(F.col(f"start_{n}") > 0).alias(f"{n}_new_drug_this_month"),
+            flag(before & ~now).alias(f"{n}_missed_refill_this_month"),
+            flag(cell(f"start_{n}") > 0).alias(f"{n}_new_drug_this_month"),
         ]
     return wide.select(*KEYS, *out)
 

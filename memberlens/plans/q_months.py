@@ -339,13 +339,13 @@ LEFT JOIN d_{n} ON d_{n}.member_id = s.member_id AND d_{n}.m = s.month""" for n
     return r.sql(r.SPINE, r.FILLS, *parts, body="SELECT s.member_id, s.month, " + ", ".join(cols) + " FROM spine s" + joins)
 
 
-def pharmacy(t, mode="month"):
-    return cl.pharmacy_months(r.spine(t), r.fills(t), {n: F.col(f"is_{c}") for n, c in DRUGS.items()}, mode)
+def pharmacy(t, mode="month", place=lambda months: months):
+    return cl.pharmacy_months(r.spine(t), r.fills(t), {n: F.col(f"is_{c}") for n, c in DRUGS.items()}, mode, place=place)
 
 
 @query("k29_pharmacy_months", _pharmacy_sql("month"))
 def k29(t):
-    return pharmacy(t)
+    return pharmacy(t, place=lambda months: r.beside_spine(t, months))
 
 
 @query("k29_pharmacy_months_by_date", _pharmacy_sql("date"))
