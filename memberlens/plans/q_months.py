@@ -350,7 +350,7 @@ def k29(t):
 
 @query("k29_pharmacy_months_by_date", _pharmacy_sql("date"))
 def k29_date(t):
-    return pharmacy(t, "date")
+    return pharmacy(t, "date", lambda months: r.beside_spine(t, months))
 
 
 # ---- windows over months -------------------------------------------------------------------------------

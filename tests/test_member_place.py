@@ -14,7 +14,7 @@ def plan_lines(df):
     return df._jdf.queryExecution().executedPlan().toString().split("\n")
 
 
-@pytest.mark.parametrize("name", ["k29_pharmacy_months"])
+@pytest.mark.parametrize("name", ["k29_pharmacy_months", "k29_pharmacy_months_by_date"])
 def test_fills_meet_the_spine_where_it_lies(spark, small_data, name):
     lines = plan_lines(QUERIES[name](spark, small_data))
     assert any("Union" in x for x in lines)
