@@ -7,7 +7,7 @@ anchors and facts are never formed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -207,12 +207,12 @@ def merged_counts(left: Column | str, *others: Column | str) -> Column:
 
 
 def month_windows(spine: DataFrame, sources: Sequence[tuple[DataFrame, str, Sequence[MonthMeasure]]],
-                  key: str = "member_id", month: str = "month") -> DataFrame:
+                  key: str = "member_id", month: str = "month", place: Callable[[DataFrame], DataFrame] = lambda months: months) -> DataFrame:
     """All month-window measures of all sources in one pass over a distinct (person, month) spine.
 
     Each source is (facts, date column, measures). Facts are reduced to (person, month); months are disjoint, so
     counts of distinct dates add up over them. Sources and spine are then unioned, and every measure is a range frame
-    over the month number of one sorted window.
+    over the month number of one sorted window. ``place`` may lay the reduced facts where the rows of the spine lie.
     """
     parts = [
         spine.select(F.col(key), month_number(month).alias("_m"), F.lit(1).alias("_spine"), F.col(month).alias("_month"))
@@ -230,7 +230,7 @@ def month_windows(spine: DataFrame, sources: Sequence[tuple[DataFrame, str, Sequ
             )
         else:
             monthly = dated.groupBy(F.col(key), month_number(date).alias("_m")).agg(*[_daily(m).alias(b) for b, m in own])
-        parts.append(monthly)
+        parts.append(place(monthly))
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part, allowMissingColumns=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -79,7 +79,8 @@ def engagement_months(spine: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def contact_metrics(spine: DataFrame, contacts: DataFrame, tried_from: int = 2, succeeded_from: int = 2,
-                    intense_from: int = 10, support_from: int = 5, weight: str | None = None) -> DataFrame:
+                    intense_from: int = 10, support_from: int = 5, weight: str | None = None,
+                    place: Callable[[DataFrame], DataFrame] = lambda months: months) -> DataFrame:
     """Contact attempts of the month: counts, success rate and intensity flags.
 
     ``weight`` names the number of attempts that a row stands for, where contacts were added up before. ``tried_from`` and ``succeeded_from`` default to 2 because the published rule asks for more than one attempt.
@@ -89,7 +90,7 @@ def contact_metrics(spine: DataFrame, contacts: DataFrame, tried_from: int = 2,
     counts = lb.month_windows(spine, [(own, "contact_date", [
         lb.MonthMeasure({f"{status}_contact_attempts": (0, 0)}, F.when(F.col("status") == status, n).otherwise(0), "whole")
         for status in ("successful", "unsuccessful")
-    ])])
+    ])], place=place)
     ok, total = F.col("successful_contact_attempts"), F.col("total_contact_attempts")
     return counts.withColumn("total_contact_attempts", ok + F.col("unsuccessful_contact_attempts")).select(
         "*",
@@ -122,7 +123,8 @@ def contact_trend(members: DataFrame, contacts: DataFrame, asof_month: str) -> D
     )
 
 
-def responsiveness(spine: DataFrame, calls: DataFrame, within_days: int = 2, missed_at_most: int = 1) -> DataFrame:
+def responsiveness(spine: DataFrame, calls: DataFrame, within_days: int = 2, missed_at_most: int = 1,
+                   place: Callable[[DataFrame], DataFrame] = lambda months: months) -> DataFrame:
     """1 in months with a missed call that no longer call followed within the given days."""
     dated = calls.withColumnRenamed("contact_date", "event_date")
     missed = dated.where(F.col("duration") <= missed_at_most)
@@ -130,16 +132,17 @@ def responsiveness(spine: DataFrame, calls: DataFrame, within_days: int = 2, mis
     followed = lb.first_followup(missed, answered, within_days)
     return lb.month_windows(spine, [(followed, "event_date", [
         lb.MonthMeasure({"is_potentially_not_responsive": (0, 0)}, F.col("first_followup").isNull()),
-    ])])
+    ])], place=place)
 
 
-def message_flags(spine: DataFrame, messages: DataFrame, burst: int = 5, weight: str | None = None) -> DataFrame:
+def message_flags(spine: DataFrame, messages: DataFrame, burst: int = 5, weight: str | None = None,
+                  place: Callable[[DataFrame], DataFrame] = lambda months: months) -> DataFrame:
     """Any message in the month, and any day with at least ``burst`` messages (``weight`` of them in a row)."""
     per_day = messages.groupBy("member_id", "contact_date").agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     return lb.month_windows(spine, [(per_day, "contact_date", [
         lb.MonthMeasure({"texted_in_month": (0, 0)}, F.col("n") > 0),
         lb.MonthMeasure({"likes_to_converse_by_text_in_month": (0, 0)}, F.col("n") >= burst),
-    ])])
+    ])], place=place)
 
 
 def engagement_flags(spine: DataFrame, engagement: DataFrame, contact: DataFrame, phone: DataFrame,

@@ -91,9 +91,9 @@ contact AS (
         GROUP BY 1, 2))"""
 
 
-def contact(t):
+def contact(t, place=lambda months: months):
     contacts = r.contacts(t)
-    return mo.contact_metrics(r.spine(t), contacts, weight="n" if "n" in contacts.columns else None, tried_from=1, succeeded_from=1, intense_from=3, support_from=2)
+    return mo.contact_metrics(r.spine(t), contacts, weight="n" if "n" in contacts.columns else None, tried_from=1, succeeded_from=1, intense_from=3, support_from=2, place=place)
 
 
 @query("k18_contact_metrics", r.sql(r.SPINE, CONTACT, body="SELECT * FROM contact"))
@@ -129,8 +129,8 @@ phone AS (
     GROUP BY 1, 2) f ON f.member_id = s.member_id AND f.month = s.month)"""
 
 
-def phone(t):
-    return mo.responsiveness(r.spine(t), r.contacts(t), within_days=30)
+def phone(t, place=lambda months: months):
+    return mo.responsiveness(r.spine(t), r.contacts(t), within_days=30, place=place)
 
 
 @query("k20_responsiveness", r.sql(r.SPINE, r.CONTACTS, PHONE, body="SELECT * FROM phone"))
@@ -147,9 +147,9 @@ sms AS (
   GROUP BY 1, 2)"""
 
 
-def sms(t):
+def sms(t, place=lambda months: months):
     fills = r.fills(t).withColumnRenamed("filled_date", "contact_date")
-    return mo.message_flags(r.spine(t), fills, burst=2, weight="n" if "n" in fills.columns else None)
+    return mo.message_flags(r.spine(t), fills, burst=2, weight="n" if "n" in fills.columns else None, place=place)
 
 
 @query("k21_message_bursts", r.sql(r.SPINE, r.FILLS, SMS, body="SELECT * FROM sms"))
@@ -163,8 +163,20 @@ flags AS (
   FROM engagement e JOIN contact c USING (member_id, month) JOIN phone p USING (member_id, month) JOIN sms x USING (member_id, month))"""
 
 
-def flags(t):
-    return mo.engagement_flags(r.spine(t), mo.engagement_months(r.spine(t), r.members(t)), contact(t), phone(t), sms(t))
+def flags(t, place=lambda months: months):
+    return mo.engagement_flags(r.spine(t), mo.engagement_months(r.spine(t), r.members(t)), contact(t, place), phone(t, place), sms(t, place))
+
+
+def trends(t, place=lambda months: months):
+    return mo.engagement_trends(flags(t, place)).select(
+        "member_id", "month", "became_non_responsive", "became_responsive", "increase_in_missed_calls", "started_texting",
+        "stopped_texting", "started_conversing", "stopped_conversing", "success_rate_increased", "success_rate_decreased")
+
+
+def beside_spine(t, table):
+    """A table of member-months as a stage: its facts are laid where the spine is made, and its blocks are joined there."""
+    with co_partitioned(t.spark):
+        return stored(table(t, lambda months: r.beside_spine(t, months)), "member-month-table")
 
 
 ALL_FLAGS = (r.SPINE, r.MEMBERS, ENGAGEMENT, CONTACT, PHONE, r.FILLS, SMS, FLAGS)
@@ -172,7 +184,7 @@ ALL_FLAGS = (r.SPINE, r.MEMBERS, ENGAGEMENT, CONTACT, PHONE, r.FILLS, SMS, FLAGS
 
 @query("k23_engagement_flags", r.sql(*ALL_FLAGS, body="SELECT * FROM flags"))
 def k23(t):
-    return flags(t)
+    return beside_spine(t, flags)
 
 
 @query("k22_engagement_trends", r.sql(*ALL_FLAGS, body="""
@@ -188,9 +200,7 @@ SELECT member_id, month,
        CASE WHEN success_rate_this_month - LAG(success_rate_this_month) OVER w <= -0.2 THEN 1 ELSE 0 END AS success_rate_decreased
 FROM flags WINDOW w AS (PARTITION BY member_id ORDER BY month)"""))
 def k22(t):
-    return mo.engagement_trends(flags(t)).select(
-        "member_id", "month", "became_non_responsive", "became_responsive", "increase_in_missed_calls", "started_texting",
-        "stopped_texting", "started_conversing", "stopped_conversing", "success_rate_increased", "success_rate_decreased")
+    return beside_spine(t, trends)
 
 
 # ---- conditions and treatment --------------------------------------------------------------------------
@@ -567,10 +577,9 @@ def all_blocks(t, keep=lambda block: block):
     """The wide table with every block: calendar, contacts and their trends, conditions, treatment, care coordination,
     pharmacy, facilities and real-time feeds beside the main ones. ``keep`` may make each block a stage."""
     care = coordination(t)
-    trends = k22(t)
     names = ["is_ever_selected", "is_selected_month", "is_ever_engaged", "is_engaged_month"]  # are in the main blocks
     blocks = [
-        b7(t), flags(t).drop(*names), trends, k24(t), k26(t), care, pharmacy(t), k30(t), k31(t),
+        b7(t), flags(t).drop(*names), trends(t), k24(t), k26(t), care, pharmacy(t), k30(t), k31(t),
     ]
     return mo.star_join(keep(consolidated(t)), [keep(b) for b in blocks])
 

@@ -170,13 +170,13 @@ def kept_in_place(df: DataFrame, name: str, key: str, order: Sequence[str] = (),
 TASK_ROWS = 1_000_000
 
 
-def spread(df: DataFrame, key: str | Sequence[str], source: DataFrame) -> DataFrame:
-    """Rows hashed by ``key`` into tasks whose number follows the rows of ``source``, and never fewer than a shuffle has.
+def spread(df: DataFrame, key: str | Sequence[str], source: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """Rows hashed by ``key`` into tasks whose number follows the rows of ``source``, ``rows`` each, and never fewer than a shuffle has.
 
     A number that is asked for is not lowered at run time, where small rows that multiply later would be merged into few tasks.
     """
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-source.count() // TASK_ROWS))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-source.count() // rows))
     return df.repartition(n, *([key] if isinstance(key, str) else key))
 
 

@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from memberlens.operators import clinical as cl
+from memberlens.plans import q_months as q
 from memberlens.plans.catalogue import QUERIES
+from memberlens.plans.registry import Tables
+from memberlens.sources import tables as st
 
 from tests.helpers import rows
 
@@ -52,3 +55,35 @@ def test_pharmacy_months_equal_all_pairs(spark, mode):
     got = cl.pharmacy_months(spark.createDataFrame(spine, "member_id long, month date"), facts, {"all": F.lit(True), "none": F.lit(False)}, mode)
     assert sorted(tuple(x)[:8] for x in got.collect()) == by_hand(spine, fills, mode)
     assert {x[2:] for x in rows(got.select("member_id", "month", *[c for c in got.columns if "none" in c]))} == {(0, 0, None, None, 0, 0)}
+
+
+@pytest.fixture()
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", ["k22_engagement_trends", "k23_engagement_flags"])
+def test_blocks_are_joined_where_the_spine_lies(spark, small_data, no_broadcast, monkeypatch, name):
+    plans = []
+    monkeypatch.setattr(q, "stored", lambda df, name: plans.append(plan_lines(df)) or df)
+    df = QUERIES[name](spark, small_data)
+    lines = [*plans, plan_lines(df)][0]
+    below = [lines[i + 1] for i, x in enumerate(lines) if "Exchange" in x]
+    # one union has its rows shuffled: the person-days of the follow-up search
+    assert sum("Union" in x for x in lines) == 4 and sum("Union" in x for x in below) == 1
+    assert not any("Window" in x or "Join" in x for x in below)
+    assert all("HashAggregate" in lines[i + 1] for i, x in enumerate(lines) if "Exchange" in x and ", month#" in x)
+
+
+@pytest.mark.parametrize("name, table", [("k22_engagement_trends", q.trends), ("k23_engagement_flags", q.flags)])
+def test_placed_blocks_have_the_same_rows(spark, small_data, name, table):
+    assert rows(QUERIES[name](spark, small_data)) == rows(table(Tables(spark, small_data)))
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_rows_of_a_task_may_be_chosen(spark):
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert st.spread(spark.range(5), "id", spark.range(10 * few + 11), 10).rdd.getNumPartitions() == few + 2
