@@ -4,6 +4,7 @@ import pytest
 
 from memberlens.operators import months as mo
 from memberlens.plans import q_history as qh
+from memberlens.plans import q_months as qm
 from memberlens.plans.registry import Tables
 from memberlens.sources import tables as st
 
@@ -37,7 +38,7 @@ def test_limits_of_broadcasts_come_back(spark, before):
         spark.conf.unset(measured)
 
 
-@pytest.mark.parametrize("module, name", [(qh, "k7_chain")])
+@pytest.mark.parametrize("module, name", [(qh, "k7_chain"), (qm, "k35")])
 def test_wide_queries_broadcast_no_stage(spark, small_data, module, name):
     """Plans of the stages that the chain and the wide table write: what lies in files by member is joined there."""
     seen = []
